@@ -1,7 +1,15 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
+import sys
+
+from pyspark import cloudpickle
+
+from .media import op2_media
 from .mixing import op3_mixing
 from .urlfilter import OP4_SQL, op4_url_filter
+from .warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_media, op3_mixing, op4_url_filter, op10_warc)}
 ORACLES = {"op4_url_filter": OP4_SQL}
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
