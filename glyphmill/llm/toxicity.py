@@ -137,7 +137,7 @@ def trained(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unla
     few = toxic.orderBy(*order).limit(positives).withColumn("toxic", F.lit(1))
     rest = docs.select("doc_id").where("doc_id is not null").join(toxic, "doc_id", "left_anti").orderBy(*order).limit(unlabelled).withColumn("toxic", F.lit(0))
     picked = written(few.union(rest).dropDuplicates(["doc_id"]), "picked")  # positives + unlabelled rows at most
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").repartition(16), "sample")
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).repartition(16), "sample")  # copies count once
     top = chosen(sample, features)
     if not top:
         return none
