@@ -16,7 +16,6 @@ import datetime
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +43,14 @@ class Permutation:
     """A keyed permutation of range(n) without fixed points, for each name and n."""
 
     def __init__(self, key: bytes):
-        self.key, self.back = key, False
+        self.key, self.back, self.late = key, False, None
+
+    def late_days(self) -> tuple[list[int], dict[int, int]]:
+        """Ordinals of the days after the 12th of their month, which only month/day order can write, and their places."""
+        if self.late is None:
+            days = [n for n in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(n).day > 12]
+            self.late = days, {n: k for k, n in enumerate(days)}
+        return self.late
 
     def round(self, name: str, n: int, step: int, value: int) -> int:
         return int.from_bytes(hashlib.blake2b(f"{name}/{n}/{step}/{value}".encode(), key=hashlib.sha256(self.key).digest(), digest_size=32).digest(), "big")
@@ -146,13 +152,6 @@ def ssn(text: str, p: Permutation) -> str | None:
     return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
-@lru_cache
-def late_days() -> tuple[list[int], dict[int, int]]:
-    """Ordinals of the days after the 12th of their month, which only month/day order can write."""
-    days = [n for n in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(n).day > 12]
-    return days, {n: k for k, n in enumerate(days)}
-
-
 def date(text: str, p: Permutation) -> str | None:
     sep = "-" if "-" in text else "/" if "/" in text else "."
     a, b, c = map(int, text.split(sep))
@@ -165,14 +164,14 @@ def date(text: str, p: Permutation) -> str | None:
     if not FIRST_DAY <= at <= LAST_DAY:
         return None
     if month_first:
-        days, place = late_days()
+        days, place = p.late_days()
         new = datetime.date.fromordinal(days[p("late date", len(days), place[at])])
     else:
         new = datetime.date.fromordinal(FIRST_DAY + p("date", LAST_DAY - FIRST_DAY + 1, at - FIRST_DAY))
     if sep == "-":
         return new.isoformat()
     first, second = (new.month, new.day) if month_first else (new.day, new.month)
-    wide = text[1] != sep and text[4] == "/" or text[1] != sep and text[4] == "."
+    wide = len(text) == 10
     return f"{first:02d}{sep}{second:02d}{sep}{new.year}" if wide else f"{first}{sep}{second}{sep}{new.year}"
 
 
