@@ -25,9 +25,9 @@ WORDS = r"[^\x20\x09-\x0D]+"
 TOLERANCE = 1e-9
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words) of each document."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, source and size (words) of each document."""
+    return docs.select(*keys, "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -89,19 +89,28 @@ def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
         if part[k] > 1e-9 and error >= size[k] / 2:
             copies[k] += 1
             error -= size[k]
-    return pdf.assign(copies=copies)[["doc_id", "source", "size", "source_size", "target", "rate", "copies"]]
+    return pdf.assign(copies=copies).drop(columns="docs")
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate and copies of each document (columns doc_id, text, source)."""
-    sizes = written(sized(kept_columns(docs, ["doc_id", "text", "source"])), "sizes")
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, bucket_rows: int = BUCKET_ROWS, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """keys (doc_id among them), source, size, source_size, target, rate and copies of each document."""
+    sizes = written(sized(kept_columns(docs, [*keys, "text", "source"]), keys), "sizes")
     found = balanced(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), weights, share, most), most)
     found = found.withColumnRenamed("source", "of")
     rows = sizes.join(found, sizes["source"].eqNullSafe(found["of"])).drop("of", "multiplier")
-    bucket = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("docs") / float(bucket_rows)).cast("long")).alias("bucket")
-    kinds = ", ".join(f"{n} {t}" for n, t in [("doc_id", dict(docs.dtypes)["doc_id"]), ("source", "string"), ("size", "long"), ("source_size", "long"), ("target", "double"), ("rate", "double"), ("copies", "long")])
+    bucket = F.pmod(F.xxhash64(*keys, "size"), F.ceil(F.col("docs") / float(bucket_rows)).cast("long")).alias("bucket")
+    kinds = ", ".join([f"`{n}` {t}" for n, t in rows.dtypes if n != "docs"] + ["copies long"])
     return rows.groupBy("source", bucket).applyInPandas(rounded, kinds)
 
 
+def copied(docs: DataFrame, **how: object) -> DataFrame:
+    """docs as the mix takes them: a row a copy, numbered from 1 in column copy. Rows must differ in doc_id or text."""
+    names = [n for n in docs.columns if n != "copy"]
+    rows = docs.select(*[f"`{n}`" for n in names]).withColumn("_text", F.xxhash64("text"))
+    taken = mixed(rows, keys=("doc_id", "_text"), **how).where("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_of"), "copies")
+    out = rows.join(taken, rows["doc_id"].eqNullSafe(taken["_doc"]) & rows["_text"].eqNullSafe(taken["_of"]))
+    return out.select(*[f"`{n}`" for n in names], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

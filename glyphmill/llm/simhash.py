@@ -6,6 +6,11 @@ bit or none always share one. Of at most three errors at most one segment has mo
 near agree on both codewords of some pair of segments: one side emits its nearest codeword of the first and all near
 ones of the second, the other the reverse. Equal keys meet, the distance is verified, and components are taken.
 
+Three bits of one fingerprint only tell copies with very few edits. similar() finds documents whose shingle sets have a
+given Jaccard similarity: a document gives the fingerprints of several samples of its shingles, drawn by min-hash so that
+similar documents draw the same ones; those that share a sample's fingerprint meet in the same blocks and are verified
+on a longer sketch.
+
 Equal fingerprints are one node throughout. Keys that many fingerprints share are dealt out as a grid of blocks of at
 most `block_rows` rows a side, so that no task gets a whole one; a task keeps only a spanning forest of its links.
 
@@ -15,7 +20,7 @@ passed over as a component's id unless all of its are null. Empty tables give no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, kept_columns, table, utf8, written
+from .common import dropped, joined, kept_columns, table, utf8, written
 from .graph import components
-from .words import repeats
+from .words import mixed, repeats
 
 SEGMENTS, DISTANCE, SHINGLE, SEED = (22, 21, 21), 3, 3, 42
 BLOCK_ROWS, PAIRS, FOREST = 8192, 1 << 21, 1 << 20
+#: Samples of a document for similar(): 0.98 of pairs at 0.8 share one of 12 of 4 shingles' min-hashes.
+BANDS, ROWS, SKETCH = 12, 4, 256
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the Golay code of 23 bits, 12 of them information.
 GENERATOR, LENGTH, PARITY = 0b110001110101, 23, 11
 
@@ -58,27 +65,23 @@ def golay(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return upper, errors, counts
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64 bits, each set if it is in over half the hashes of the word shingles (A-Z lowered; fewer words: all of them)."""
-    words = text.lower().split()
-    if not words:
+def fingerprint(text: bytes, shingle: int = SHINGLE, once: bool = False) -> int:
+    """64 bits, each set if it is in over half the shingle hashes; with `once`, repeats count once."""
+    h = shingle_hashes(text, shingle)
+    if not len(h):
         return 0
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-    starts, last = [0, *ends], max(0, len(words) - shingle)
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[starts[k] : ends[min(k + shingle, len(words)) - 1] - 1], seed) for k in range(last + 1)], np.uint64)
+    h = np.unique(h) if once else h
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprinted(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprinted(docs: DataFrame, shingle: int = SHINGLE, once: bool = False) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py(), shingle) for x in utf8(batch.column(1))], np.uint64)
+            found = np.array([fingerprint(x.as_py(), shingle, once) for x in utf8(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     return kept_columns(docs, ["doc_id", "text"]).mapInArrow(make, f"doc_id {kind}, fp long")
@@ -166,52 +169,149 @@ class Links:
         return u, v
 
 
-def linked(group: np.ndarray, side: np.ndarray, fp: np.ndarray, distance: int, links: Links) -> None:
-    """Adds the links between the two sides of each group; rows are sorted by group and side."""
-    bits = fp.view(np.uint64)
+def numbers(column: pa.Array) -> np.ndarray:
+    """A column as an array; binaries of one length as rows of bytes."""
+    if pa.types.is_binary(column.type):
+        raw, off = joined(column)
+        return raw.reshape(len(column), -1 if len(column) else 0)
+    return column.to_numpy(zero_copy_only=False)
+
+
+def linked(group: np.ndarray, rows: list[np.ndarray], test: Callable, pairs: int, links: Links) -> None:
+    """Adds the pairs of each group's sides that pass test; rows (block, key, side, fp, ...) are sorted by group and side."""
+    side, fp = rows[2], rows[3]
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([first, [len(group)]]))
+    own = np.repeat(side[first] == 2, size) if len(first) else np.zeros(0, bool)
     left = np.add.reduceat(side == 0, first).astype(np.int64) if len(first) else size
-    right = size - left
-    row, count = repeats(first, left), np.repeat(right, left)  # each row of side 0, and the rows it meets
-    to = np.repeat(first + left, left)
+    end = np.repeat(first + size, size)
+    row = np.flatnonzero(own | (side == 0))  # each row that meets others, and those: the later ones, or side 1
+    to = np.where(own[row], row + 1, np.repeat(first + left, size)[row])
+    count = end[row] - to
     done = np.concatenate([[0], np.cumsum(count)])
     at = 0
     while at < len(row):
-        end = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS, "right")) - 1)
-        a, b = np.repeat(row[at:end], count[at:end]), repeats(to[at:end], count[at:end])
-        near = np.flatnonzero((np.bitwise_count(bits[a] ^ bits[b]) <= distance) & (bits[a] != bits[b]))
+        stop = max(at + 1, int(np.searchsorted(done, done[at] + pairs, "right")) - 1)
+        a, b = np.repeat(row[at:stop], count[at:stop]), repeats(to[at:stop], count[at:stop])
+        near = np.flatnonzero(fp[a] != fp[b])
+        near = near[test(rows, a[near], b[near])]
         if len(near):
             links.add(*forest(fp[a[near]], fp[b[near]]))
-        at = end
+        at = stop
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """u and v: links between distinct fingerprints (column fp) that have the components of all links of at most `distance` bits."""
-    rows = keyed(fps)
-    hot = rows.groupBy("key").agg(F.ceil(F.sum(1 - F.col("side")) / block_rows).alias("left"), F.ceil(F.sum("side") / block_rows).alias("right"))
-    hot = written(hot.where("left > 1 or right > 1"), "hot")
+def gridded(rows: DataFrame, sides: bool, block_rows: int) -> DataFrame:
+    """rows (key, side, ...) with block: a key's two sides are dealt out as a grid of blocks of at most block_rows rows a side.
+
+    Without sides, all rows of a key are both sides: they are doubled only in keys of more than one block.
+    """
+    left, right = (F.ceil(F.sum(1 - F.col("side")) / block_rows), F.ceil(F.sum("side") / block_rows)) if sides else (F.ceil(F.count(F.lit(1)) / block_rows),) * 2
+    hot = written(rows.groupBy("key").agg(left.alias("left"), right.alias("right")).where("left > 1 or right > 1"), "hot")
+    if not sides:
+        rows = rows.join(hot.select("key", "left"), "key", "left").withColumn("side", F.explode(F.when(F.col("left") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(2))))).drop("left")
     dealt = rows.join(hot, "key", "left").withColumns({"left": F.coalesce("left", F.lit(1)), "right": F.coalesce("right", F.lit(1))})
     own = F.pmod(F.xxhash64("fp"), F.when(F.col("side") == 0, F.col("left")).otherwise(F.col("right"))).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.when(F.col("side") == 0, F.col("right")).otherwise(F.col("left")) - 1).cast("int"))))
     grid = F.when(F.col("side") == 0, F.xxhash64("key", "own", "other")).otherwise(F.xxhash64("key", "other", "own"))
-    dealt = dealt.select(grid.alias("block"), "key", "side", "fp").repartition("block").sortWithinPartitions("block", "key", "side")
+    return dealt.withColumn("block", grid).drop("own", "other", "left", "right").repartition("block")
+
+
+def met(rows: DataFrame, test: Callable[[list[np.ndarray], np.ndarray, np.ndarray], np.ndarray], pairs: int) -> DataFrame:
+    """u and v: a spanning forest, for each task, of the pairs of a block's sides that pass test.
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: block, key, side (0 and 1 meet; rows of side 2 meet each other), fp and what test takes.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, tail = Links(), None
         for batch in batches:
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            now = [numbers(batch.column(k)) for k in range(batch.num_columns)]
             now = now if tail is None else [np.concatenate(x) for x in zip(tail, now, strict=True)]
             group = now[0] ^ now[1] * np.int64(0x9E3779B97F4A7C1)  # a block is one key's, but for equal hashes
             cut = int(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))[-1]) if len(group) else 0
-            linked(group[:cut], now[2][:cut], now[3][:cut], distance, found)
+            linked(group[:cut], [x[:cut] for x in now], test, pairs, found)
             tail = [x[cut:] for x in now]
         if tail is not None:
-            linked(tail[0] ^ tail[1] * np.int64(0x9E3779B97F4A7C1), tail[2], tail[3], distance, found)
+            linked(tail[0] ^ tail[1] * np.int64(0x9E3779B97F4A7C1), tail, test, pairs, found)
         u, v = found.cut()
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return dealt.mapInArrow(meet, "u long, v long")
+    return rows.sortWithinPartitions("block", "key", "side").mapInArrow(find, "u long, v long")
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """u and v: links between distinct fingerprints (column fp) that have the components of all links of at most `distance` bits."""
+
+    def near(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        bits = rows[3].view(np.uint64)
+        return np.bitwise_count(bits[a] ^ bits[b]) <= distance
+
+    return met(gridded(keyed(fps), True, block_rows).select("block", "key", "side", "fp"), near, PAIRS)
+
+
+def shingle_hashes(text: bytes, shingle: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each run of `shingle` words (A-Z lowered, single spaces; fewer words: all of them)."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+    starts, last = [0, *ends], max(0, len(words) - shingle)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[starts[k] : ends[min(k + shingle, len(words)) - 1] - 1], seed) for k in range(last + 1)], np.uint64)
+
+
+def min_hashes(h: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """The least value in each of n classes that a hash deals h to; a class without any takes the least of a hash of its own."""
+    x = mixed(h + np.uint64(salt << 32))
+    none = np.iinfo(np.uint64).max
+    out = np.full(n, none)
+    np.minimum.at(out, (x % np.uint64(n)).astype(np.int64), x)
+    empty = np.flatnonzero(out == none)
+    if len(empty):
+        out[empty] = mixed(h[None, :] + (np.uint64(salt << 32 | 1 << 31) + empty.astype(np.uint64))[:, None]).min(1)
+    return out
+
+
+def sampled(text: bytes, shingle: int, bands: int, rows: int, sketch: int) -> tuple[np.ndarray, bytes] | None:
+    """Fingerprints of `bands` samples of `rows` shingles, and a byte for each of `sketch` min-hashes; None without words."""
+    h = np.unique(shingle_hashes(text, shingle))
+    if not len(h):
+        return None
+    drawn = min_hashes(h, bands * rows, 1)
+    ones = np.unpackbits(drawn.view(np.uint8).reshape(bands, rows, 8), axis=2, bitorder="little").sum(1, dtype=np.int64)
+    prints = np.packbits(2 * ones > rows, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return prints, (mixed(min_hashes(h, sketch, 2)) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, sketch: int = SKETCH, block_rows: int = 2048) -> DataFrame:
+    """u and v: links between texts (by xxhash64 of the text, column fp) whose shingle sets are that similar.
+
+    Column text is read; equal texts are one node. The similarity is that of the sketches (`sketch` min-hashes).
+    """
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            held: list[tuple] = []
+            for text, fp in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                if fp not in seen and (found := sampled(text.as_py(), shingle, bands, rows, sketch)):
+                    seen.add(fp)
+                    held.append((found[0], fp, found[1]))
+            yield pa.RecordBatch.from_arrays([pa.array([h[0].view(np.int64).tolist() for h in held], pa.list_(pa.int64())), pa.array([h[1] for h in held], pa.int64()), pa.array([h[2] for h in held], pa.binary())], names=["keys", "fp", "sketch"])
+
+    found = written(texts.mapInArrow(make, "keys array<long>, fp long, sketch binary"), "samples")
+    each = found.select(F.posexplode("keys").alias("band", "value"), "fp").select(F.xxhash64("band", "value").alias("key"), "fp")
+    shared = written(each.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("key"), "shared")
+    pairs = each.join(shared, "key").distinct()
+    few = written(pairs.join(found.dropDuplicates(["fp"]).select("fp", "sketch"), "fp"), "met")
+
+    def alike(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        same = (rows[4][a] == rows[4][b]).mean(1)
+        return (same - 1 / 256) / (1 - 1 / 256) >= similarity  # equal bytes by chance taken off
+
+    return met(gridded(few, False, block_rows).select("block", "key", "side", "fp", "sketch"), alike, 1 << 15)
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -229,6 +329,34 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, b
     return docs.join(named, "fp")
 
 
+def named(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE) -> DataFrame:
+    """node (xxhash64 of the text) and first (the least doc_id of its group) of the texts that have near-duplicates or copies.
+
+    Texts are linked if their sets of shingles are that similar, or their fingerprints (repeats counted once) at most
+    `distance` bits apart; texts without any word are one group.
+    """
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    prints = written(fingerprinted(own.select(F.col("node").alias("doc_id"), "text"), shingle, True).distinct(), "fingerprints")
+    roots = components(links(prints.select("fp").distinct(), distance)).withColumnRenamed("node", "fp")
+    hung = written(prints.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("fp"), F.col("doc_id").alias("u")), "hung")
+    least = written(hung.groupBy("fp").agg(F.min("u").alias("v"), F.max("u").alias("high")).where("v < high").select("fp", "v"), "least")
+    near = components(similar(own, shingle, similarity).union(hung.join(least, "fp").select("u", "v")))
+    ids = written(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "ids")
+    both = written(ids.join(near, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+    out = both.groupBy("root").agg(F.min("first").alias("first"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "first")
+    return written(both.select("node", "root").join(written(out, "firsts"), "root").select("node", "first"), "named")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the least doc_id, any one of those that repeat it."""
+    names = docs.columns
+    groups = named(docs, shingle, similarity, distance)
+    rows = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).join(groups.select(F.col("node").alias("_node"), F.col("first").alias("_first"), F.lit(True).alias("_group")), "_node", "left")
+    alone = rows.where("_group is null").select(*[f"`{n}`" for n in names])
+    kept = rows.where(F.col("_group") & F.col("doc_id").eqNullSafe(F.col("_first"))).withColumn("_node", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("_node").cast("string"))))
+    return alone.unionByName(kept.dropDuplicates(["_node"]).select(*[f"`{n}`" for n in names]))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = grouped(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

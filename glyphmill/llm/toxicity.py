@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Positives are documents whose label says toxic; everything else, labelled or not, is unlabelled text. A linear model over
-words and byte n-grams within words is fitted in numpy by minimising prior * R+ + max(0, Ru - prior * R-), the risk
+words, byte n-grams within words and beginnings of words is fitted in numpy by minimising prior * R+ + max(0, Ru - prior * R-), the risk
 corrected by the class prior (the toxic share among labelled rows of the training folds) and kept from going negative.
 
 Fitting takes a bounded sample, by a hash of doc_id: at most `positives` toxic and `unlabelled` other documents, whole
@@ -27,7 +27,7 @@ from .common import joined, slices, table, utf8, written
 from .words import LOWER, Words, mixed
 
 FOLDS, POSITIVES, UNLABELLED, FEATURES, BITS = 5, 3000, 9000, 1024, 20
-GRAMS = (4, 5, 6)
+GRAMS, STEMS, LEAST_Z, LEAST_SHARE = (4, 5, 6), (5, 6, 7, 8), 5.0, 0.02
 STEPS, RATE, DECAY, SLACK = 300, 0.05, 1e-3, 0.0
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[128:] = True
@@ -44,7 +44,7 @@ def fold(doc_id: Column) -> Column:
 
 
 def buckets(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Text index and hash bucket of each feature's occurrences in lowered texts: words, then n-grams inside words."""
+    """Text index and hash bucket of each feature's occurrences in lowered texts: words, n-grams inside words, and what words begin with."""
     shift = np.uint64(64 - BITS)
     w = Words(raw, off, LETTER)
     yield w.text, (w.hash >> shift).astype(np.int64)
@@ -62,6 +62,12 @@ def buckets(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
             code = code << np.uint64(8) | raw[k : k + m].astype(np.uint64)
         at = np.flatnonzero(ok)
         yield of[at], (mixed(code[at] + np.uint64(n << 56)) >> shift).astype(np.int64)
+    for n in STEMS:
+        long = np.flatnonzero(w.end - w.start >= n)
+        code = np.zeros(len(long), np.uint64)
+        for k in range(n):
+            code = code * np.uint64(0x100000001B3) + raw[w.start[long] + k].astype(np.uint64)
+        yield w.text[long], (mixed(code + np.uint64(n << 56 | 1 << 55)) >> shift).astype(np.int64)
 
 
 def present(part: pa.RecordBatch, column: int, place: np.ndarray, features: int) -> np.ndarray:
@@ -76,7 +82,10 @@ def present(part: pa.RecordBatch, column: int, place: np.ndarray, features: int)
 
 
 def chosen(sample: DataFrame, features: int) -> list[int]:
-    """The buckets that set positives (toxic = 1) of the sample most apart from the rest, by a two-proportion z score."""
+    """The buckets that set positives (toxic = 1) of the sample most apart from the rest, by a two-proportion z score.
+
+    A bucket must be in LEAST_SHARE of the positives, so that what a few near copies of one text share doesn't count.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, docs = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
@@ -98,7 +107,8 @@ def chosen(sample: DataFrame, features: int) -> list[int]:
     p, u = F.col("toxic") / total.toxic, F.col("rest") / total.rest
     both = (F.col("toxic") + F.col("rest") + 1) / (total.toxic + total.rest + 2)
     z = (p - u) / F.sqrt(both * (1 - both) * (1 / total.toxic + 1 / total.rest))
-    return [r.bucket for r in counts.where("bucket >= 0").orderBy(z.desc(), "bucket").limit(features).collect()]
+    strong = counts.where((F.col("bucket") >= 0) & (z >= LEAST_Z) & (p >= LEAST_SHARE))
+    return [r.bucket for r in strong.orderBy(z.desc(), "bucket").limit(features).collect()]
 
 
 def fitted(x: np.ndarray, toxic: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
