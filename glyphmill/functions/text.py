@@ -110,7 +110,7 @@ def visible(text: Column, backslash: bool = False) -> Column:
     return out
 
 
-def spaced_hex(data: Column, width: int = 2) -> Column:
+def spaced_hex(data: Column, width: int = 1) -> Column:
     """Upper-case hex in groups of `width` bytes."""
     return F.regexp_replace(F.hex(data), rf"(.{{{2 * width}}})(?!$)", "$1 ")
 
