@@ -1,10 +1,10 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Positives are documents whose label says toxic; everything else, labelled or not, is unlabelled text. A linear model over
+Positives are documents whose label says toxic; the unlabelled text is drawn from all documents. A linear model over
 words, byte n-grams within words and beginnings of words is fitted in numpy by minimising prior * R+ + max(0, Ru - prior * R-), the risk
 corrected by the class prior (the toxic share among labelled rows of the training folds) and kept from going negative.
 
-Fitting takes a bounded sample, by a hash of doc_id: at most `positives` toxic and `unlabelled` other documents, whole
+Fitting takes a bounded sample, by a hash of doc_id: at most `positives` toxic and `unlabelled` of all documents, whole
 texts; features are counted by Spark and the `features` strongest are kept, so that the driver only sees sparse rows of
 them. Scoring takes every document; the model it sends to the tasks has a fixed size.
 
@@ -28,7 +28,7 @@ from .words import LOWER, Words, mixed
 
 FOLDS, POSITIVES, UNLABELLED, FEATURES, BITS = 5, 3000, 9000, 1024, 20
 GRAMS, STEMS, LEAST_Z, LEAST_SHARE = (4, 5, 6), (5, 6, 7, 8), 5.0, 0.02
-STEPS, RATE, DECAY, SLACK = 300, 0.05, 1e-3, 0.0
+STEPS, RATE, DECAY, SLACK = 800, 0.05, 3e-4, 0.0
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[128:] = True
 
@@ -145,9 +145,10 @@ def trained(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unla
     if not share:
         return none
     few = toxic.orderBy(*order).limit(positives).withColumn("toxic", F.lit(1))
-    rest = docs.select("doc_id").where("doc_id is not null").join(toxic, "doc_id", "left_anti").orderBy(*order).limit(unlabelled).withColumn("toxic", F.lit(0))
-    picked = written(few.union(rest).dropDuplicates(["doc_id"]), "picked")  # positives + unlabelled rows at most
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).repartition(16), "sample")  # copies count once
+    # unlabelled text is drawn from all documents, confirmed ones too: the prior is their share in it
+    rest = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(*order).limit(unlabelled).withColumn("toxic", F.lit(0))
+    picked = written(few.union(rest), "picked")  # positives + unlabelled rows at most
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").distinct().repartition(16), "sample")  # copies count once
     top = chosen(sample, features)
     if not top:
         return none
