@@ -12,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from glyphmill.functions.text import WS
 
@@ -109,12 +110,12 @@ def plain(text: str) -> str:
     return html.unescape(re.sub(r"</?[A-Za-z][^<>]*>", "", text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _tables(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else without_tables(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _plain(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else plain(t))
 

@@ -72,7 +72,7 @@ def checkpoint(spark: SparkSession, path: str) -> DataFrame:
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """path and text of whole files, line ends as LF."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), unix_newlines(F.col("value")).alias("text"))
 
 
