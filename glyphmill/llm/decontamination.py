@@ -255,3 +255,16 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = marked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP7_SQL = r"""
+with i as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+b as (select distinct item_id, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda j: array_to_string(w[j:j + k - 1], ' '))) as win from (select *, least(10, len(w)) as k from i where len(w) > 0)),
+d as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
+x as (select doc_id, k, unnest(generate_series(1, len(w) - k + 1)) as j, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda j: array_to_string(w[j:j + k - 1], ' '))) as win from d, (select distinct k from b) where len(w) >= k),
+m as (select x.doc_id, x.j, x.k, b.item_id from x join b on x.k = b.k and x.win = b.win),
+h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(j, j + k - 1)) as p from m) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, item_id::varchar as id from m) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (doc_id) left join t using (doc_id)
+"""

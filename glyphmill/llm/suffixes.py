@@ -290,3 +290,16 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents")).drop("spans")
+
+
+OP9_SQL = """
+with d as (select doc_id, encode(coalesce(text, '')) as t, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, k, md5(array_slice(t, k + 1, k + 200)) as s from (select doc_id, t, unnest(generate_series(0, octet_length(t) - 200)) as k from d where octet_length(t) >= 200)),
+r as (select s from w group by s having count(*) > 1),
+m as (select doc_id, k, k - coalesce(lag(k) over (partition by doc_id order by k), -1000) > 200 as fresh from w semi join r using (s)),
+g as (select doc_id, k, sum(fresh::int) over (partition by doc_id order by k) as g from m),
+x as (select doc_id, min(k) as a, max(k) + 200 as b from g group by doc_id, g),
+e as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from x),
+k as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as kept from e join d using (doc_id) group by doc_id)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join k using (doc_id)
+"""

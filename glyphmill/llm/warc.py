@@ -232,3 +232,13 @@ def read_back(paths: DataFrame) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = read_back(archived(table(spark, sf_dir, "pages"), scratch(spark, "warc")))
     return out.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.when(F.col("kind") == "revisit", F.col("refers_to")).alias("refers_to"), "problem")
+
+
+OP10_SQL = """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+q as (select *, min(page_id) over (partition by html) as first from p),
+d as (select h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * (k // 4) + 1, 5))::int >> (15 - 5 * (k % 4)))::int & 31) + 1, 1), '' order by k) as digest
+   from (select distinct h from p), (select unnest(generate_series(0, 31)) as k) group by h)
+select page_id, octet_length(encode(html)) as payload_bytes, digest as payload_digest, case when page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+   case when page_id is distinct from first then first end as refers_to, null::varchar as problem from q join d using (h)
+"""
