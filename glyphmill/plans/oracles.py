@@ -132,3 +132,5 @@ ORACLES: dict[str, str] = {
     "token_descriptions": f"{ENC} select kind || ' ''' || token || '''' || case when code is not null then ' code=' || code else '' end || case when mod <> 'NONE' then ' ' || mod else '' end as line, count(*) as n from e where type = 'WORD' group by all",
     "renderings": r"select doc_id, replace(replace(replace(substr(text, 1, 60), chr(9), '\t'), chr(13), '\r'), chr(10), '\n') as visible, trim(regexp_replace(hex(encode(substr(text, 1, 5))), '(..)', '\1 ', 'g')) as hex, printf('%02d:%02d:%02d', n_chars // 3600, n_chars // 60 % 60, n_chars % 60) as elapsed, length(text) as characters, octet_length(encode(text)) as bytes, round(100.0 * length(text)::double / octet_length(encode(text)), 6) as share from documents",
 }
+ORACLES["encode_hex_native"] = ORACLES["encode_hex_per_doc"]
+ORACLES["decode_roundtrip_native"] = ORACLES["decode_roundtrip"]

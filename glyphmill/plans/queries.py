@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import codes, text
-from glyphmill.operators import codec, curation, dictionary, evaluate, tokens, wikitext
+from glyphmill.operators import arrowcodec, codec, curation, dictionary, evaluate, tokens, wikitext
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -213,11 +213,24 @@ def byte_identity_check(spark, sf):
 
 @query
 def encode_hex_per_doc(spark, sf):
+    return arrowcodec.encode(docs(spark, sf), words(spark, sf)).select("doc_id", F.octet_length("encoded").alias("bytes"), F.sha2(F.hex("encoded"), 256).alias("hex_sha256"))
+
+
+@query
+def encode_hex_native(spark, sf):
+    """encode_hex_per_doc by the codec of DataFrame functions alone."""
     return codec.encode(docs(spark, sf), words(spark, sf)).select("doc_id", F.octet_length("encoded").alias("bytes"), F.sha2(F.hex("encoded"), 256).alias("hex_sha256"))
 
 
 @query
 def decode_roundtrip(spark, sf):
+    known = words(spark, sf).cache()
+    return arrowcodec.decode(arrowcodec.encode(docs(spark, sf), known), known).select("doc_id", "text")
+
+
+@query
+def decode_roundtrip_native(spark, sf):
+    """decode_roundtrip by the codec of DataFrame functions alone."""
     known = words(spark, sf)
     return codec.decode(codec.encode(docs(spark, sf), known), known).select("doc_id", "text")
 

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.text import base_name, strip, unix_newlines
 
-# Column names and file names of the formats.
+# Column names of the formats.
 DICTIONARY_COLUMNS = "Ranking INT, Token INT, Palabra STRING, Frecuencia BIGINT"
-DICTIONARY_FILE = r"(?i)^LexiCorpus_(\d+)_(.+)\.csv$"
 PAGE = "title STRING, ns STRING, id STRING, redirect STRUCT<_title: STRING>, revision STRUCT<text: STRUCT<_VALUE: STRING>>"
 MANIFEST = "selection_order INT, valid_article_order INT, identifier STRING, source_code STRING, page_id STRING, title STRING, snapshot_date STRING, segment STRING, source_url STRING, original_wikitext_characters INT, cleaned_characters INT, removed_characters INT, reduction_ratio DOUBLE, local_path STRING, evaluation_role STRING, selection_skip INT, selection_target INT, acquisition_status STRING"
 # End of the fixed values.
@@ -33,10 +32,11 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(strip(F.col("Ranking")).cast("int").alias("ranking"), strip(F.col("Token")).cast("int").alias("token"), strip(F.col("Palabra")).alias("word"), F.nullif(count, F.lit("")).cast("long").alias("frequency"))
 
 
-def dictionary_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, name and requested size of the dictionary files of a folder; other files are passed over."""
+def dictionary_files(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
+    """path, name and requested size of the files <prefix>_<size>_<name>.csv of a folder; others are passed over."""
+    pattern = rf"(?i)^{prefix}_(\d+)_(.+)\.csv$"
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path", base_name(F.col("path")).alias("name"))
-    return rows.where(F.col("name").rlike(DICTIONARY_FILE)).withColumn("requested", F.regexp_extract("name", DICTIONARY_FILE, 1).cast("int"))
+    return rows.where(F.col("name").rlike(pattern)).withColumn("requested", F.regexp_extract("name", pattern, 1).cast("int"))
 
 
 def dump(spark: SparkSession, path: str) -> DataFrame:

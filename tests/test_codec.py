@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.operators import codec, dictionary, tokens
+from glyphmill.operators import arrowcodec, codec, dictionary, tokens
 
 GOLDEN = {
     "Hola mundo.": "000202180219002E", "HOLA MUNDO": "0003021800030219", "hola, mundo": "0218002C00200219", "hola,mundo": "0218002C0219", "hola  mundo": "0218002000200219",
@@ -110,3 +110,14 @@ def test_tokens(spark):
     assert docs.where(tokens.validation(F.col("text")).isNotNull()).count() == 0
     rows = tokens.with_offsets(tokens.tokenize(docs, "doc_id")).join(docs, "doc_id")
     assert rows.where("substring(text, start + 1, end - start) <> token").count() == 0
+
+
+def test_both_codecs_agree(spark, words):
+    texts = [*GOLDEN, *TRICKY, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    fast = arrowcodec.encode(docs, words).cache()
+    assert {r.doc_id: r.encoded for r in fast.collect()} == {r.doc_id: r.encoded for r in codec.encode(docs, words).collect()}
+    assert {r.doc_id: (r.text, r.error) for r in arrowcodec.decode(fast, words).collect()} == {k: (t, None) for k, t in enumerate(texts)}
+    rows = [(k, bytearray.fromhex(h)) for k, h in enumerate(BROKEN)]
+    out = {r.doc_id: (r.error, r.text) for r in arrowcodec.decode(spark.createDataFrame(rows, "doc_id long, encoded binary"), words).collect()}
+    assert out == {k: (e, None) for k, e in enumerate(BROKEN.values())}

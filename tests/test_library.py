@@ -82,11 +82,11 @@ def test_dump_and_funnel(spark, tmp_path):
 
 
 def test_dictionary_files(spark, tmp_path, words):
-    (tmp_path / "LexiCorpus_20_x.csv").write_text("﻿Ranking,Token,Palabra,Frecuencia\n1,536, hola ,2\n2,537,mundo,\n", encoding="utf-8")
+    (tmp_path / "Words_20_x.csv").write_text("﻿Ranking,Token,Palabra,Frecuencia\n1,536, hola ,2\n2,537,mundo,\n", encoding="utf-8")
     (tmp_path / "other.csv").write_text("a\n1\n")
-    rows = readers.dictionary(spark, f"{tmp_path}/LexiCorpus_20_x.csv")
+    rows = readers.dictionary(spark, f"{tmp_path}/Words_20_x.csv")
     assert [tuple(r) for r in rows.collect()] == [(1, 536, "hola", 2), (2, 537, "mundo", None)] and dictionary.validate(rows).first().error is None
-    assert [(r.name, r.requested) for r in readers.dictionary_files(spark, str(tmp_path)).collect()] == [("LexiCorpus_20_x.csv", 20)]
+    assert [(r.name, r.requested) for r in readers.dictionary_files(spark, str(tmp_path), "words").collect()] == [("Words_20_x.csv", 20)]
     with pytest.raises(ValueError, match="Palabra"):
         readers.dictionary(spark, f"{tmp_path}/other.csv")
     writers.dictionary(words, f"{tmp_path}/out")
