@@ -177,7 +177,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 sums = present(part, column, place, len(weight)) @ weight + intercept
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(sums, -700, 700))))], names=[*names, "score"])
+                with np.errstate(over="ignore"):
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-sums)))], names=[*names, "score"])
 
     rows = docs.select(*[f"`{n}`" for n in names])
     return rows.mapInArrow(score, ", ".join([f"`{n}` {t}" for n, t in rows.dtypes] + ["score double"]))
