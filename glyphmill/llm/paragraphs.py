@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, joined, kept_columns, slices, table, utf8, written
 from .graph import components
-from .simhash import Links, forest, gridded
+from .simhash import gridded, verified
 from .suffixes import least, packed
 from .words import BACK, BASE, LOWER, SOLID, Words, mixed, powers
 
@@ -162,50 +162,6 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("z", "need").mapInArrow(make, "fp long, sets binary")
 
 
-def similar_pairs(side: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of one group's rows whose sets are that similar; rows of side 0 meet those of side 1, of side 2 each other."""
-    size = np.array([len(s) for s in sets])
-    row = np.repeat(np.arange(len(sets)), size)
-    values, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = count > 1  # only values of two rows at least can be shared
-    column = np.cumsum(common) - 1
-    keep = common[place]
-    has = np.zeros((len(sets), int(common.sum())), np.float32)
-    has[row[keep], column[place[keep]]] = 1
-    both = has @ has.T
-    ok = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6
-    a, b = np.nonzero(np.triu(ok, 1) if side[0] == 2 else ok & (side[:, None] == 0) & (side[None, :] == 1))
-    return a, b
-
-
-def verified(rows: DataFrame, similarity: float) -> DataFrame:
-    """u and v: a spanning forest, for each task, of the links in gridded() rows with their sets."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held, mark = Links(), [], None
-
-        def flush() -> None:
-            if len(held) > 1:
-                fp = np.array([h[1] for h in held])
-                a, b = similar_pairs(np.array([h[0] for h in held]), [np.frombuffer(h[2], np.uint64) for h in held], similarity)
-                differ = fp[a] != fp[b]
-                if differ.any():
-                    found.add(*forest(fp[a[differ]], fp[b[differ]]))
-            held.clear()
-
-        for batch in batches:
-            for block, key, side, fp, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (block, key) != mark:
-                    flush()
-                    mark = (block, key)
-                held.append((side, fp, s))
-        flush()
-        u, v = found.cut()
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    return rows.select("block", "key", "side", "fp", "sets").sortWithinPartitions("block", "key", "side").mapInArrow(find, "u long, v long")
-
-
 def linked_units(docs: DataFrame, units: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """node and root of the paragraphs that have near-duplicates of other words."""
     keys = units.select("unit", F.posexplode("keys").alias("band", "value")).select("unit", F.xxhash64("band", "value").alias("key"))

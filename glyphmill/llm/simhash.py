@@ -8,8 +8,8 @@ ones of the second, the other the reverse. Equal keys meet, the distance is veri
 
 Three bits of one fingerprint only tell copies with very few edits. similar() finds documents whose shingle sets have a
 given Jaccard similarity: a document gives the fingerprints of several samples of its shingles, drawn by min-hash so that
-similar documents draw the same ones; those that share a sample's fingerprint meet in the same blocks and are verified
-on a longer sketch.
+similar documents draw the same ones; those that share a sample's fingerprint meet in the same blocks. A longer sketch only
+passes over pairs far below the similarity: exact() brings the rest together and verifies them on their shingle sets.
 
 Equal fingerprints are one node throughout. Keys that many fingerprints share are dealt out as a grid of blocks of at
 most `block_rows` rows a side, so that no task gets a whole one; a task keeps only a spanning forest of its links.
@@ -25,17 +25,21 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import dropped, joined, kept_columns, table, utf8, written
 from .graph import components
+from .suffixes import packed
 from .words import mixed, repeats
 
 SEGMENTS, DISTANCE, SHINGLE, SEED = (22, 21, 21), 3, 3, 42
-BLOCK_ROWS, PAIRS, FOREST = 8192, 1 << 21, 1 << 20
+BLOCK_ROWS, BLOCK_SHINGLES, PAIRS, FOREST = 8192, 1 << 18, 1 << 21, 1 << 20
 #: Samples of a document for similar(): 0.98 of pairs at 0.8 share one of 12 of 4 shingles' min-hashes.
 BANDS, ROWS, SKETCH = 12, 4, 256
+#: Standard errors of the sketch's estimate below the similarity at which a pair is still a candidate.
+MARGIN = 5.0
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the Golay code of 23 bits, 12 of them information.
 GENERATOR, LENGTH, PARITY = 0b110001110101, 23, 11
 
@@ -200,12 +204,14 @@ def linked(group: np.ndarray, rows: list[np.ndarray], test: Callable, pairs: int
         at = stop
 
 
-def gridded(rows: DataFrame, sides: bool, block_rows: int) -> DataFrame:
+def gridded(rows: DataFrame, sides: bool, block_rows: int, weight: Column | None = None) -> DataFrame:
     """rows (key, side, ...) with block: a key's two sides are dealt out as a grid of blocks of at most block_rows rows a side.
 
+    With weight (and without sides) a row counts as that many rows.
+
     Without sides, all rows of a key are both sides: they are doubled only in keys of more than one block.
     """
-    left, right = (F.ceil(F.sum(1 - F.col("side")) / block_rows), F.ceil(F.sum("side") / block_rows)) if sides else (F.ceil(F.count(F.lit(1)) / block_rows),) * 2
+    left, right = (F.ceil(F.sum(1 - F.col("side")) / block_rows), F.ceil(F.sum("side") / block_rows)) if sides else (F.ceil((F.count(F.lit(1)) if weight is None else F.sum(weight)) / block_rows),) * 2
     hot = written(rows.groupBy("key").agg(left.alias("left"), right.alias("right")).where("left > 1 or right > 1"), "hot")
     if not sides:
         rows = rows.join(hot.select("key", "left"), "key", "left").withColumn("side", F.explode(F.when(F.col("left") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(2))))).drop("left")
@@ -285,10 +291,12 @@ def sampled(text: bytes, shingle: int, bands: int, rows: int, sketch: int) -> tu
 
 
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, sketch: int = SKETCH, block_rows: int = 2048) -> DataFrame:
-    """u and v: links between texts (by xxhash64 of the text, column fp) whose shingle sets are that similar.
+    """u and v: candidate links between texts (by xxhash64 of the text) that share a sample and may have that similarity.
 
-    Column text is read; equal texts are one node. The similarity is that of the sketches (`sketch` min-hashes).
+    Column text is read; equal texts are one node. A pair is passed over only if its estimate from `sketch` min-hashes is
+    MARGIN standard errors or more below the similarity; exact() verifies what is left.
     """
+    floor = similarity - MARGIN * (similarity * (1 - similarity) / sketch) ** 0.5
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,11 +317,89 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: i
 
     def alike(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
         same = (rows[4][a] == rows[4][b]).mean(1)
-        return (same - 1 / 256) / (1 - 1 / 256) >= similarity  # equal bytes by chance taken off
+        return (same - 1 / 256) / (1 - 1 / 256) >= floor  # equal bytes by chance taken off
 
     return met(gridded(few, False, block_rows).select("block", "key", "side", "fp", "sketch"), alike, 1 << 15)
 
 
+def similar_pairs(side: np.ndarray, sets: list[np.ndarray], similarity: float, cells: int = 1 << 23) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of one group's rows whose sets are that similar; rows of side 0 meet those of side 1, of side 2 each other.
+
+    The matrix product is taken over columns in turn, so that no matrix has more than `cells` or rows x rows cells.
+    """
+    size = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    values, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = count > 1  # only values of two rows at least can be shared
+    column = np.cumsum(common) - 1
+    keep = common[place]
+    row, column = row[keep], column[place[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both, wide = np.zeros((len(sets), len(sets)), np.float32), max(1, cells // len(sets))
+    for low in range(0, int(common.sum()), wide):
+        part = slice(*np.searchsorted(column, [low, low + wide]))
+        has = np.zeros((len(sets), min(wide, int(common.sum()) - low)), np.float32)
+        has[row[part], column[part] - low] = 1
+        both += has @ has.T
+    ok = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6
+    a, b = np.nonzero(np.triu(ok, 1) if side[0] == 2 else ok & (side[:, None] == 0) & (side[None, :] == 1))
+    return a, b
+
+
+def verified(rows: DataFrame, similarity: float) -> DataFrame:
+    """u and v: a spanning forest, for each task, of the links in gridded() rows with their sets."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held, mark = Links(), [], None
+
+        def flush() -> None:
+            if len(held) > 1:
+                fp = np.array([h[1] for h in held])
+                a, b = similar_pairs(np.array([h[0] for h in held]), [np.frombuffer(h[2], np.uint64) for h in held], similarity)
+                differ = fp[a] != fp[b]
+                if differ.any():
+                    found.add(*forest(fp[a[differ]], fp[b[differ]]))
+            held.clear()
+
+        for batch in batches:
+            for block, key, side, fp, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (block, key) != mark:
+                    flush()
+                    mark = (block, key)
+                held.append((side, fp, s))
+        flush()
+        u, v = found.cut()
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return rows.select("block", "key", "side", "fp", "sets").sortWithinPartitions("block", "key", "side").mapInArrow(find, "u long, v long")
+
+
+def word_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """key, fp and sets (the shingle hashes of each text, sorted, eight bytes each)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(unpack.decompress(z.as_py()), shingle)).tobytes() for z in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["key", "fp", "sets"])
+
+    return texts.select("key", "fp", "z").mapInArrow(make, "key long, fp long, sets binary")
+
+
+def exact(texts: DataFrame, candidates: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """u and v: links between texts (columns node and text) that candidates (u, v) join to one component and whose exact shingle sets are that similar.
+
+    All pairs of such a component are verified; a large one is a grid of blocks, each of about `BLOCK_SHINGLES` shingles a side.
+    """
+    near = written(components(candidates), "candidates")
+    own = texts.select(F.col("node").alias("key"), F.octet_length("text").alias("n"), "text")
+    few = packed(own).withColumnRenamed("key", "fp").join(near.select(F.col("root").alias("key"), F.col("node").alias("fp")), "fp").dropDuplicates(["fp"])
+    sets = written(word_sets(few, shingle), "sets")
+    weight = F.octet_length("sets") / 8 + BLOCK_SHINGLES / 1024
+    return verified(gridded(sets, False, BLOCK_SHINGLES, weight), similarity)
+
+
 def grouped(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable over links) of each document."""
     if not 0 <= distance <= 3:
@@ -332,15 +418,16 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, b
 def named(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE) -> DataFrame:
     """node (xxhash64 of the text) and first (the least doc_id of its group) of the texts that have near-duplicates or copies.
 
-    Texts are linked if their sets of shingles are that similar, or their fingerprints (repeats counted once) at most
-    `distance` bits apart; texts without any word are one group.
+    Texts are candidates if they share a sample of similar(), or their fingerprints (repeats counted once) are at most
+    `distance` bits apart; they are linked if their exact sets of shingles are that similar. Texts without any word are
+    one group.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     prints = written(fingerprinted(own.select(F.col("node").alias("doc_id"), "text"), shingle, True).distinct(), "fingerprints")
     roots = components(links(prints.select("fp").distinct(), distance)).withColumnRenamed("node", "fp")
     hung = written(prints.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("fp"), F.col("doc_id").alias("u")), "hung")
     least = written(hung.groupBy("fp").agg(F.min("u").alias("v"), F.max("u").alias("high")).where("v < high").select("fp", "v"), "least")
-    near = components(similar(own, shingle, similarity).union(hung.join(least, "fp").select("u", "v")))
+    near = components(exact(own, similar(own, shingle, similarity).union(hung.join(least, "fp").select("u", "v")), shingle, similarity))
     ids = written(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "ids")
     both = written(ids.join(near, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
     out = both.groupBy("root").agg(F.min("first").alias("first"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "first")

@@ -113,6 +113,21 @@ def test_near_duplicates_leave_one(spark):
     assert simhash.deduplicated(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_are_verified(spark):
+    rng = __import__("random").Random(5)
+    rows, want = [], set()
+    for k in range(80):  # shared beginnings, so that pairs lie just above and just below 0.8
+        a = [f"w{rng.random()}" for _ in range(200)]
+        both = 176 + k % 5 - 2  # 200 words have 196 shingles; two texts share both - 4
+        b = a[:both] + [f"v{rng.random()}" for _ in range(200 - both)]
+        rows += [(2 * k, " ".join(a), "en", "a", 1), (2 * k + 1, " ".join(b), "en", "a", 1)]
+        want |= {2 * k} if 1.8 * (both - 4) >= 0.8 * 2 * 196 - 1e-9 else {2 * k, 2 * k + 1}
+    assert {r.doc_id for r in simhash.deduplicated(frame(spark, rows)).collect()} == want
+    side, sets = np.full(9, 2), [np.unique(np.array(rng.sample(range(40), 30), np.uint64)) for _ in range(9)]
+    pairs = list(zip(*simhash.similar_pairs(side, sets, 0.6, cells=27), strict=True))
+    assert pairs == [(a, b) for a in range(9) for b in range(a + 1, 9) if len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b]))]
+
+
 # Media
 
 
