@@ -2,11 +2,12 @@
 
 Paragraphs are a text's lines of at least `least_words` words, as sets of word shingles. Each gives `bands` keys of `rows`
 min-hashes, tuned so that a pair of the wanted similarity shares a key with the wanted recall. Paragraphs that collide
-are brought together, their exact Jaccard similarity is computed, and verified links are joined to components. Long
-paragraphs are also cut into pieces at words whose hash is least among their neighbours, which a passage carries along
-wherever it is put in; equal pieces are links of similarity one, so passages inside unlike paragraphs are found.
+are brought together, their exact Jaccard similarity is computed, and verified links are joined to components. Passages
+inside unlike paragraphs are found by seeds, whatever lines they are on: of each 2 * reach + 1 runs of `least_words` words
+in a row the one of least hash, which a passage carries along wherever it is put in. Equal seeds are extended word by word to
+both sides, so of a passage of least_words + 2 * reach words or more all is found, however it is wrapped.
 
-Of each component and each piece the first place, by doc_id and position, stays; all others are removed. Equal paragraphs
+Of each component, run and whole text the first place, by doc_id and position, stays; all others are removed. Equal paragraphs
 are one node throughout; a large group of colliding paragraphs is verified as a grid of blocks. Only the texts that hold
 a first copy of a colliding paragraph are moved, compressed.
 
@@ -62,32 +63,44 @@ class Lines:
         return self.words.start[first] - base, self.words.end[end - 1] - base
 
     def paragraphs(self, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Line, first word and end of each line of so many words."""
+        """Paragraph, first word and end of each of so many words."""
         first, end = self.words.first[:-1], self.words.first[1:]
         line = np.flatnonzero(end - first >= least_words)
         return line, first[line], end[line]
 
-    def pieces(self, least_words: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Line, first word and end of the pieces of lines; lines that aren't cut have none."""
-        w = self.words
-        if not len(w):
-            return (np.zeros(0, np.int64),) * 3
-        mask = np.uint64((1 << 22) - 1)
-        place = w.hash & ~mask | (np.arange(len(w)).astype(np.uint64) & mask)
-        wide = np.concatenate([np.full(reach, np.iinfo(np.uint64).max), place, np.full(reach, np.iinfo(np.uint64).max)])
-        cut = least(wide, 2 * reach + 1) == place
-        inner = np.zeros(len(w), bool)
-        inner[w.first[:-1][np.diff(w.first) > 0]] = True  # a line's first word
-        edge = np.flatnonzero(cut | inner)
-        end = np.append(edge[1:], len(w))
-        keep = (end - edge >= least_words) & ((end - edge) < np.diff(w.first)[w.text[edge]])
-        return w.text[edge[keep]], edge[keep], end[keep]
+    def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each n words that follow one another in a paragraph, or of all its words if it has fewer, and the paragraph."""
+        h, at = self.words.shingles(n)
+        of, size = self.words.text[at], np.diff(self.words.first)
+        few = np.flatnonzero((size > 0) & (size < n))
+        if len(few):
+            first = self.words.first[few]
+            h, of = np.concatenate([h, self.hash(first, first + size[few])]), np.concatenate([of, few])
+            order = np.argsort(of, kind="stable")
+            h, of = h[order], of[order]
+        return h, of
+
+    def seeds(self, width: int, window: int) -> np.ndarray:
+        """First words of the runs of `width` words whose hash is least among `window` such runs in a row of one text."""
+        text = self.text[self.words.text]
+        run = np.flatnonzero(text[: max(0, len(text) - width + 1)] == text[width - 1 :])
+        if not len(run):
+            return run
+        mask, at = np.uint64((1 << 22) - 1), np.arange(len(run))
+        place = self.hash(run, run + width) & ~mask | (at.astype(np.uint64) & mask)
+        of = text[run]
+        low, base = least(place, window), at[: max(0, len(run) - window + 1)]
+        full = of[base] == of[base + window - 1]
+        begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        small = np.diff(np.append(begins, len(run))) < window  # texts with fewer runs: the least of all
+        low = np.concatenate([low[full], np.minimum.reduceat(place, begins)[small]])
+        base = np.concatenate([base[full], begins[small]])
+        return run[np.unique(base + ((low & mask).astype(np.int64) - base & int(mask)))]
 
 
 def min_hash_keys(lines: Lines, line: np.ndarray, bands: int, rows: int, shingle: int) -> np.ndarray:
     """bands keys for each of these lines."""
-    h, at = lines.words.shingles(shingle)
-    of = lines.words.text[at]
+    h, of = lines.shingles(shingle)
     first = np.searchsorted(of, line)
     last = np.searchsorted(of, line, "right")
     out = np.zeros((len(line), bands), np.uint64)
@@ -107,7 +120,7 @@ def row_text(docs: DataFrame) -> DataFrame:
 
 
 def listed(docs: DataFrame, bands: int, rows: int, shingle: int, least_words: int) -> DataFrame:
-    """unit (hash of its words), doc_id, key, n, at (line), start, end and keys of each paragraph."""
+    """unit (hash of its words), doc_id, key, n, at (its number), start, end and keys of each paragraph."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,24 +139,64 @@ def listed(docs: DataFrame, bands: int, rows: int, shingle: int, least_words: in
     return docs.mapInArrow(make, "unit long, doc_id long, key long, n int, at int, start int, end int, keys array<long>")
 
 
-def cut(docs: DataFrame, least_words: int, reach: int) -> DataFrame:
-    """unit, doc_id, key, n, start and end of each piece."""
+def seeded(docs: DataFrame, width: int, window: int) -> DataFrame:
+    """unit, doc_id, key, n and first (word) of each seed."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 lines = Lines(*joined(utf8(part.column(1))))
-                line, first, end = lines.pieces(least_words, reach)
-                place = pa.array(lines.text[line])
-                start, stop = lines.span(line, first, end)
-                columns = [pa.array(lines.hash(first, end).view(np.int64)), *(part.column(k).take(place) for k in (0, 2, 3)), *(pa.array(x.astype(np.int32)) for x in (start, stop))]
-                yield pa.RecordBatch.from_arrays(columns, names=["unit", "doc_id", "key", "n", "start", "end"])
+                first = lines.seeds(width, window)
+                text = lines.text[lines.words.text[first]]
+                base = np.searchsorted(lines.words.start, lines.off)[text]
+                columns = [pa.array(lines.hash(first, first + width).view(np.int64)), *(part.column(k).take(pa.array(text)) for k in (0, 2, 3)), pa.array((first - base).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["unit", "doc_id", "key", "n", "first"])
+
+    return docs.mapInArrow(make, "unit long, doc_id long, key long, n int, first int")
+
+
+def extended(texts: DataFrame, width: int, reach: int) -> DataFrame:
+    """unit, doc_id, key, n, start, end and seed (whether it is one) of each seed in `need`, and of it with up to `reach` words more on either side."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for z, need, doc, key, n in zip(*(batch.column(k) for k in range(5)), strict=True):
+                text = np.frombuffer(unpack.decompress(z.as_py()), np.uint8)
+                lines = Lines(text, np.array([0, len(text)]))
+                seed = np.array(need.as_py(), np.int64)
+                more = np.arange(reach + 1)
+                first = np.concatenate([np.repeat(seed, reach + 1), (seed[:, None] - more[None, 1:]).reshape(-1)])
+                end = np.concatenate([(seed[:, None] + width + more).reshape(-1), np.repeat(seed + width, reach)])
+                keep = (first >= 0) & (end <= len(lines.words))
+                first, end = first[keep], end[keep]
+                same = [pa.array([x.as_py()] * len(first), kind) for x, kind in ((doc, pa.int64()), (key, pa.int64()), (n, pa.int32()))]
+                columns = [pa.array(lines.hash(first, end).view(np.int64)), *same, pa.array(lines.words.start[first].astype(np.int32)), pa.array(lines.words.end[end - 1].astype(np.int32)), pa.array(end - first == width)]
+                yield pa.RecordBatch.from_arrays(columns, names=["unit", "doc_id", "key", "n", "start", "end", "seed"])
+
+    return texts.select("z", "firsts", "doc_id", "key", "n").mapInArrow(make, "unit long, doc_id long, key long, n int, start int, end int, seed boolean")
+
 
-    return docs.mapInArrow(make, "unit long, doc_id long, key long, n int, start int, end int")
+def runs(docs: DataFrame, width: int, window: int) -> DataFrame:
+    """removals() of the runs of words that occur at two places of different texts, or of one, and seed.
+
+    Two places that share width + window - 1 words share a seed among them, and so do each window - 1 words more that they
+    share; from the last seed of a shared run fewer than `window` words are left, which extended() tries one by one.
+    Equal texts are one here: the place of the least doc_id.
+    """
+    seeds = written(seeded(docs, width, window), "seeds")
+    place = F.struct("key", "n", "first")
+    again = written(seeds.groupBy("unit").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("unit"), "seeds-again")
+    known = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id"))
+    need = seeds.join(again, "unit").groupBy("key", "n").agg(F.sort_array(F.collect_set("first")).alias("firsts"), known["doc_id"].alias("doc_id"))
+    texts = packed(docs).join(written(need, "seeds-need"), ["key", "n"]).dropDuplicates(["key", "n"])
+    places = written(extended(texts, width, window - 1), "runs")
+    dropped(seeds)
+    return written(removals(places, F.col("unit"), "seed"), "runs-shared")
 
 
-def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """fp (a paragraph's unit) and sets (its shingle hashes, sorted, eight bytes each) for the lines in `need` of each text."""
+def shingle_sets(texts: DataFrame, shingle: int, least_words: int) -> DataFrame:
+    """fp (a paragraph's unit) and sets (its shingle hashes, sorted, eight bytes each) for the paragraphs in `need` of each text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -152,8 +205,7 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
             for z, need in zip(batch.column(0), batch.column(1), strict=True):
                 text = np.frombuffer(unpack.decompress(z.as_py()), np.uint8)
                 lines = Lines(text, np.array([0, len(text)]))
-                h, at = lines.words.shingles(shingle)
-                of = lines.words.text[at]
+                h, of = lines.shingles(shingle)
                 for x in need.as_py():
                     units.append(x["unit"])
                     sets.append(np.unique(h[np.searchsorted(of, x["at"]) : np.searchsorted(of, x["at"], "right")]).tobytes())
@@ -162,7 +214,7 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("z", "need").mapInArrow(make, "fp long, sets binary")
 
 
-def linked_units(docs: DataFrame, units: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def linked_units(docs: DataFrame, units: DataFrame, shingle: int, similarity: float, least_words: int) -> DataFrame:
     """node and root of the paragraphs that have near-duplicates of other words."""
     keys = units.select("unit", F.posexplode("keys").alias("band", "value")).select("unit", F.xxhash64("band", "value").alias("key"))
     shared = written(keys.groupBy("key").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low < high").select("key", "low"), "bands")
@@ -170,7 +222,7 @@ def linked_units(docs: DataFrame, units: DataFrame, shingle: int, similarity: fl
     near = written(components(meet), "colliding")
     places = units.join(near, units["unit"] == near["node"], "left_semi").groupBy("unit").agg(F.min(F.struct("key", "n", "at")).alias("one"))
     need = places.groupBy("one.key", "one.n").agg(F.collect_list(F.struct("unit", "one.at")).alias("need"))
-    sets = shingle_sets(packed(docs).join(written(need, "need"), ["key", "n"]), shingle).dropDuplicates(["fp"])
+    sets = shingle_sets(packed(docs).join(written(need, "need"), ["key", "n"]), shingle, least_words).dropDuplicates(["fp"])
     rows = near.select(F.col("root").alias("key"), F.col("node").alias("fp")).join(written(sets, "sets"), "fp")
     out = components(verified(gridded(written(rows, "groups"), False, BLOCK_ROWS), similarity))
     for x in (shared, meet):
@@ -178,33 +230,39 @@ def linked_units(docs: DataFrame, units: DataFrame, shingle: int, similarity: fl
     return out
 
 
-def removals(places: DataFrame, group: Column) -> DataFrame:
-    """places that share `group` with another, with first (the doc_id and position of the group's first place)."""
-    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "start")
+def removals(places: DataFrame, group: Column, *more: str) -> DataFrame:
+    """places that share `group` with another, with class_id (the doc_id of the group's first place), gone and the columns `more`.
+
+    The first place stays, and so do those that overlap it.
+    """
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "start", "key", "n", "end")
     rows = places.withColumn("group", group).withColumn("order", order)
-    firsts = rows.groupBy("group").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").select("group", "first")
-    return rows.join(written(firsts, "firsts"), "group").select("doc_id", "key", "n", "start", "end", F.col("first.doc_id").alias("class_id"), (~F.col("order").eqNullSafe(F.col("first"))).alias("gone"))
+    firsts = rows.groupBy("group").agg(F.min("order").alias("first"), F.max("order").alias("last")).where("first < last").select("group", "first")
+    within = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("n") == F.col("first.n")) & (F.col("start") < F.col("first.end"))
+    return rows.join(written(firsts, "firsts"), "group").select("doc_id", "key", "n", "start", "end", F.col("first.doc_id").alias("class_id"), (~within).alias("gone"), *more)
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, least_words: int = LEAST_WORDS, reach: int = REACH) -> DataFrame:
     """doc_id, n_bytes, n_shared, n_removed, n_spans, spans (start, end in bytes, removed) and class_ids of each document.
 
-    n_shared counts its paragraphs and pieces that are elsewhere too; class_ids are the doc_ids that hold their first
+    n_shared counts its paragraphs and seeds that are elsewhere too, and itself if it has copies; class_ids are the doc_ids that hold their first
     places, so documents that share a passage share a class.
     """
     own = row_text(docs)
     once = own.where(F.col("n") > 0)
     units = written(listed(once, bands_for(similarity, recall, rows), rows, shingle, least_words), "paragraphs")
-    roots = written(linked_units(once, units, shingle, similarity), "components")
+    roots = written(linked_units(once, units, shingle, similarity, least_words), "components")
     places = units.drop("keys", "at").distinct().join(roots, F.col("unit") == F.col("node"), "left")
     found = written(removals(places, F.coalesce("root", "unit")), "paragraphs-shared")
     dropped(units)
-    pieces = cut(once, least_words, reach)
-    again = written(pieces.groupBy("unit").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("unit"), "pieces")
-    shared = written(pieces.join(again, "unit").distinct(), "pieces-places")
-    both = found.unionByName(removals(shared, F.col("unit")))
-    spans = F.array_sort(F.collect_list(F.when(F.col("gone"), F.struct("start", "end"))))
-    by_doc = both.groupBy("doc_id", "key", "n").agg(F.count(F.lit(1)).alias("n_shared"), spans.alias("found"), F.array_sort(F.collect_set("class_id")).alias("class_ids"))
+    shared = runs(once, least_words, 2 * reach + 1)
+    whole = once.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.col("key").alias("unit"), "doc_id", "key", "n", F.lit(0).alias("start"), F.col("n").alias("end")).distinct()
+    copies = written(removals(whole, F.struct("key", "n")), "copies")
+    others = copies.where("gone").select("key", "n", F.col("doc_id").alias("copy"))  # they have the runs of their first copy
+    seeds = shared.where("seed").select("key", "n", "start", "end", "class_id").join(others, ["key", "n"]).select(F.col("copy").alias("doc_id"), "key", "n", "start", "end", "class_id", F.lit(True).alias("gone"))
+    both = found.withColumn("seed", F.lit(True)).unionByName(shared).unionByName(copies.unionByName(seeds).withColumn("seed", F.lit(True)))
+    spans = F.array_sort(F.collect_set(F.when(F.col("gone"), F.struct("start", "end"))))
+    by_doc = both.groupBy("doc_id", "key", "n").agg(F.count_if("seed").alias("n_shared"), spans.alias("found"), F.array_sort(F.collect_set("class_id")).alias("class_ids"))
     merged = F.aggregate("found", F.expr("cast(array() as array<struct<start int, end int>>)"), lambda out, x: F.when(
         (F.size(out) > 0) & (x["start"] <= F.element_at(out, -1)["end"]),
         F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], x["end"]).alias("end")))),

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from helpers import SCHEMA, awkward, frame
+from helpers import SCHEMA, awkward, frame, prose
 from pyspark.sql import functions as F
 
 from glyphmill.llm import decontamination, media, mixing, paragraphs, simhash, suffixes, words
@@ -315,6 +315,25 @@ def test_paragraphs(spark):
     assert paragraphs.bands_for(0.8, 0.985, 3) == 6
 
 
+def test_passages_are_removed_whole(spark):
+    rng = __import__("random").Random(12)
+    unlike = lambda n: [f"w{rng.random()}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(40):  # of 20 words and more, in one line and wrapped, inside unlike text
+        passage = unlike(20 + k)
+        a, b = unlike(30 + k % 13), unlike(11 + k % 17)
+        rows += [(2 * k, " ".join(a + passage + unlike(40)), "en", "a", 1), (2 * k + 1, " ".join(b) + "\n" + "\n".join(passage) + "\n" + " ".join(unlike(9)), "en", "a", 1)]
+        want |= {2 * k: [], 2 * k + 1: ["\n".join(passage)]}
+    rows.append((100, "zu " * 399 + "zu", "en", "a", 1))
+    out = {r.doc_id: r for r in paragraphs.deduplicated(frame(spark, rows)).collect()}
+    texts = {r[0]: r[1] for r in rows}
+    assert {k: [texts[k][s.start : s.end] for s in out[k].spans or []] for k in want} == want
+    left = texts[100]
+    for s in reversed(out[100].spans):
+        left = left[: s.start] + left[s.end :]
+    assert len(left.split()) == 8  # the first place stays
+
+
 def test_words():
     raw = words.LOWER[np.frombuffer("Ab c\tdé ab".encode() + b"ab x", np.uint8)]
     w = words.Words(raw, np.array([0, 11, 15]), words.SOLID)
