@@ -1,6 +1,7 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are a text's lines of at least `least_words` words, as sets of word shingles. Each gives `bands` keys of `rows`
+Paragraphs are a text's lines of at least `least_words` words, and shorter lines joined until they hold as many (a text with
+fewer is one paragraph), as sets of word shingles; of fewer words than a shingle, all are one. Each gives `bands` keys of `rows`
 min-hashes, tuned so that a pair of the wanted similarity shares a key with the wanted recall. Paragraphs that collide
 are brought together, their exact Jaccard similarity is computed, and verified links are joined to components. Passages
 inside unlike paragraphs are found by seeds, whatever lines they are on: of each 2 * reach + 1 runs of `least_words` words
@@ -41,14 +42,40 @@ def bands_for(similarity: float, recall: float, rows: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)))
 
 
+def paragraph_starts(count: list[int], text: list[int], least_words: int) -> list[int]:
+    """The lines at which paragraphs begin, given each line's words and text.
+
+    A line of so many words is a paragraph; shorter ones that follow one another are joined until they hold as many, and
+    what is left of them joins the short lines before it, if there are any.
+    """
+    starts, held, of, short, before = [], 0, -1, False, False
+    for k, (n, t) in enumerate(zip(count, text, strict=True)):
+        same = t == of
+        if same and short and held < least_words and n < least_words:
+            held += n
+            continue
+        if short and before and held < least_words:
+            starts.pop()
+        before = same and short
+        starts.append(k)
+        held, of, short = n, t, n < least_words
+    if short and before and held < least_words:
+        starts.pop()
+    return starts
+
+
 class Lines:
-    """The lines of some texts, with their words."""
+    """The paragraphs of some texts, with their words: lines, the short ones joined."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray):
+    def __init__(self, raw: np.ndarray, off: np.ndarray, least_words: int = 1):
         cuts = np.unique(np.concatenate([off, np.flatnonzero(raw == 10) + 1]))
         self.off = off
-        self.words = Words(LOWER[raw], cuts, SOLID)
+        self.words = w = Words(LOWER[raw], cuts, SOLID)
         self.text = np.searchsorted(off, cuts[:-1], "right") - 1
+        starts = np.array(paragraph_starts(np.diff(w.first).tolist(), self.text.tolist(), least_words), np.int64)
+        self.text = self.text[starts]
+        w.off, w.first = np.append(cuts[starts], cuts[-1]), np.append(w.first[starts], w.first[-1])
+        w.text = np.repeat(np.arange(len(starts)), np.diff(w.first))
         total = np.zeros(len(self.words) + 1, np.uint64)
         np.cumsum(self.words.hash * powers(len(self.words), BASE), out=total[1:])
         self.total, self.back = total, powers(len(self.words) + 1, BACK)
@@ -63,9 +90,10 @@ class Lines:
         return self.words.start[first] - base, self.words.end[end - 1] - base
 
     def paragraphs(self, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Paragraph, first word and end of each of so many words."""
+        """Paragraph, first word and end of each of so many words, or of all words of its text."""
         first, end = self.words.first[:-1], self.words.first[1:]
-        line = np.flatnonzero(end - first >= least_words)
+        whole = np.bincount(self.text, end - first, len(self.off))[self.text]
+        line = np.flatnonzero((end - first >= least_words) | (end > first) & (end - first == whole))
         return line, first[line], end[line]
 
     def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +153,7 @@ def listed(docs: DataFrame, bands: int, rows: int, shingle: int, least_words: in
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                lines = Lines(*joined(utf8(part.column(1))))
+                lines = Lines(*joined(utf8(part.column(1))), max(least_words, shingle))
                 line, first, end = lines.paragraphs(max(least_words, shingle))
                 text = lines.text[line]
                 start, stop = lines.span(line, first, end)
@@ -204,7 +232,7 @@ def shingle_sets(texts: DataFrame, shingle: int, least_words: int) -> DataFrame:
             units, sets = [], []
             for z, need in zip(batch.column(0), batch.column(1), strict=True):
                 text = np.frombuffer(unpack.decompress(z.as_py()), np.uint8)
-                lines = Lines(text, np.array([0, len(text)]))
+                lines = Lines(text, np.array([0, len(text)]), max(least_words, shingle))
                 h, of = lines.shingles(shingle)
                 for x in need.as_py():
                     units.append(x["unit"])

@@ -334,6 +334,19 @@ def test_passages_are_removed_whole(spark):
     assert len(left.split()) == 8  # the first place stays
 
 
+def test_short_lines_take_part(spark):
+    rng = __import__("random").Random(13)
+    unlike = lambda n: [f"w{rng.random()}" for _ in range(n)]
+    verse = "\n".join(" ".join(unlike(3)) for _ in range(5))
+    both = " ".join(unlike(12)) + "\n" + verse + "\n" + " ".join(unlike(12))
+    texts = ["a short text", "A short  text", verse, verse + "\n" + " ".join(unlike(30)), both, "short", "Short", both, " \t", " \t"]
+    out = {r.doc_id: r for r in paragraphs.deduplicated(frame(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)])).collect()}
+    removed = {k: [texts[k][s.start : s.end] for s in out[k].spans or []] for k in out}
+    assert removed == {0: [], 1: [texts[1]], 2: [], 3: [verse], 4: [verse], 5: [], 6: ["Short"], 7: [both], 8: [], 9: []}
+    assert out[7].class_ids[0] == 2 and out[8].n_shared == 0
+    assert paragraphs.paragraph_starts([3, 3, 3, 2, 10, 2, 9, 3, 5, 1], [0] * 7 + [1] * 3, 8) == [0, 4, 5, 6, 7]
+
+
 def test_words():
     raw = words.LOWER[np.frombuffer("Ab c\tdé ab".encode() + b"ab x", np.uint8)]
     w = words.Words(raw, np.array([0, 11, 15]), words.SOLID)
