@@ -416,7 +416,7 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, b
 
 
 def named(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE) -> DataFrame:
-    """node (xxhash64 of the text) and first (the least doc_id of its group) of the texts that have near-duplicates or copies.
+    """node (xxhash64 of the text), root (its group) and first (the group's least doc_id) of the texts that have near-duplicates or copies.
 
     Texts are candidates if they share a sample of similar(), or their fingerprints (repeats counted once) are at most
     `distance` bits apart; they are linked if their exact sets of shingles are that similar. Texts without any word are
@@ -431,17 +431,18 @@ def named(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance:
     ids = written(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "ids")
     both = written(ids.join(near, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
     out = both.groupBy("root").agg(F.min("first").alias("first"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "first")
-    return written(both.select("node", "root").join(written(out, "firsts"), "root").select("node", "first"), "named")
+    return written(both.select("node", "root").join(written(out, "firsts"), "root").select("node", "root", "first"), "named")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the least doc_id, any one of those that repeat it."""
     names = docs.columns
     groups = named(docs, shingle, similarity, distance)
-    rows = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).join(groups.select(F.col("node").alias("_node"), F.col("first").alias("_first"), F.lit(True).alias("_group")), "_node", "left")
-    alone = rows.where("_group is null").select(*[f"`{n}`" for n in names])
-    kept = rows.where(F.col("_group") & F.col("doc_id").eqNullSafe(F.col("_first"))).withColumn("_node", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("_node").cast("string"))))
-    return alone.unionByName(kept.dropDuplicates(["_node"]).select(*[f"`{n}`" for n in names]))
+    groups = groups.select(F.col("node").alias("_node"), F.col("root").alias("_root"), F.col("first").alias("_first"))
+    rows = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).join(groups, "_node", "left")
+    alone = rows.where("_root is null").select(*[f"`{n}`" for n in names])
+    kept = rows.where(F.col("_root").isNotNull() & F.col("doc_id").eqNullSafe(F.col("_first")))
+    return alone.unionByName(kept.dropDuplicates(["_root"]).select(*[f"`{n}`" for n in names]))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

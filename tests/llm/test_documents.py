@@ -128,6 +128,14 @@ def test_near_duplicates_are_verified(spark):
     assert pairs == [(a, b) for a in range(9) for b in range(a + 1, 9) if len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b]))]
 
 
+def test_near_duplicates_leave_one_of_each_group(spark):
+    rng = __import__("random").Random(6)
+    one, two, three = (prose(rng, 60) for _ in range(3))
+    rows = [(k, t, "en", "a", 1) for k, t in ((1, one), (1, two), (2, one), (3, two), (None, three), (None, three + " more"))]
+    out = [(r.doc_id, r.text[:20]) for r in simhash.deduplicated(frame(spark, rows)).collect()]
+    assert counted(out) == counted([(1, one[:20]), (1, two[:20]), (None, three[:20])])
+
+
 # Media
 
 
