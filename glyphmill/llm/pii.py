@@ -30,12 +30,21 @@ FOUND = re.compile(
     |(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)
     |(?<![\w-])(?P<ssn>\d{3}-\d\d-\d{4})(?![\w-])
     |(?<![\w+])(?P<card>\d{13,19}|\d{4}([ -])\d{4}\5\d{4}\5\d{4}|\d{4}([ -])\d{6}\6\d{5})(?!\w)
-    |(?<!\w)(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\)[ ]?\d{3}[ .-]\d{4})(?!\w)
+    |(?<!\w)(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\w)|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{1,4}){2,8}|\(\d{3}\)[ ]?\d{3}[ .-]\d{4})(?!\w)
     |(?<!\w)(?P<iban>[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)(?!\w)""",
     re.VERBOSE | re.ASCII,
 )
 #: What any of the above begins with; texts without it, and their parts without a digit, are passed over.
 DIGIT, MAIL = re.compile(r"[0-9]"), re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+)@((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})(?![\w-])", re.ASCII)
+#: Characters of an IBAN by country.
+IBAN_LENGTH = {
+    c: n
+    for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in cs.split()
+}
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -114,10 +123,36 @@ def mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
-def iban(text: str, p: Permutation) -> str | None:
+def own_length(text: str) -> int | None:
+    """Where an IBAN of its country's length ends in text, if a group ends there."""
+    left = IBAN_LENGTH.get(text[:2], 0)
+    for k, c in enumerate(text):
+        left -= c != " "
+        if not left:
+            return k + 1 if text[k + 1 : k + 2] in ("", " ") else None
+    return None
+
+
+def valid_iban(text: str) -> bool:
     s = text.replace(" ", "")
-    if not 15 <= len(s) <= 34 or mod97(s[4:] + s[:4]) != 1:
+    return 15 <= len(s) <= 34 and mod97(s[4:] + s[:4]) == 1
+
+
+def iban(text: str, p: Permutation) -> str | None:
+    """The pseudonym of the IBAN of its country's length that text begins with, or else of the whole text."""
+    end = own_length(text)
+    if end and valid_iban(text[:end]):
+        return new_iban(text[:end], p)
+    if not valid_iban(text):
         return None
+    new = new_iban(text, p)
+    while end and end < len(text) and valid_iban(new[:end]):  # restored() would take the shorter one
+        new = new_iban(new, p)
+    return new
+
+
+def new_iban(text: str, p: Permutation) -> str:
+    s = text.replace(" ", "")
     body = classes(s[4:], p, f"iban/{s[:2]}")
     rest = iter(s[:2] + f"{98 - mod97(body + s[:2] + '00'):02d}" + body)
     return "".join(c if c == " " else next(rest) for c in text)
@@ -134,6 +169,9 @@ def ip(text: str, p: Permutation) -> str | None:
 
 def phone(text: str, p: Permutation) -> str | None:
     d = re.sub(r"\D", "", text)
+    while len(d) > 15 and (cut := re.match(r"(.*\d)[ .-]\d+$", text)):  # numbers that follow it
+        text = cut[1]
+        d = re.sub(r"\D", "", text)
     if not 9 <= len(d) <= 15:
         return None
     code = re.match(r"\+(\d{1,3})(?=\D)|\+(1(?=\d{10}$)|\d\d)|", re.sub(r"(?<=\d)[.-](?=\d)", " ", text))
@@ -182,13 +220,18 @@ def pseudonymised(text: str, p: Permutation) -> tuple[str, dict[str, int]]:
     """text with pseudonyms, and how many values of each kind it had."""
     seen = dict.fromkeys(KINDS, 0)
 
-    def number(m: re.Match) -> str:
-        kind = m.lastgroup
-        new = MAKE[kind](m[0], p)
-        if new is None:
-            return m[0]
-        seen[kind] += 1
-        return new
+    def numbers(text: str) -> str:
+        out, at = [], 0
+        while m := FOUND.search(text, at):
+            kind, end = m.lastgroup, m.end()
+            new = MAKE[kind](m[0], p)
+            if new is not None:
+                seen[kind] += 1
+                if kind in ("iban", "phone"):
+                    end = m.start() + len(new)  # less than the match if only its beginning is a value
+            out += [text[at : m.start()], m[0] if new is None else new]
+            at = end
+        return "".join([*out, text[at:]])
 
     def mail(m: re.Match) -> str:
         new = classes(m[1], p, f"email/{m[2].lower()}")
@@ -200,11 +243,11 @@ def pseudonymised(text: str, p: Permutation) -> tuple[str, dict[str, int]]:
     if "@" in text:
         parts = MAIL.split(text)
         if len(parts) > 1:
-            out = [FOUND.sub(number, parts[0])]
+            out = [numbers(parts[0])]
             for m, rest in zip(MAIL.finditer(text), parts[3::3], strict=True):
-                out += [mail(m), FOUND.sub(number, rest)]
+                out += [mail(m), numbers(rest)]
             return "".join(out), seen
-    return (FOUND.sub(number, text) if DIGIT.search(text) else text), seen
+    return (numbers(text) if DIGIT.search(text) else text), seen
 
 
 def replaced(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:

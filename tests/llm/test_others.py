@@ -102,6 +102,22 @@ def test_pseudonyms_keep_format():
     assert pii.pseudonymised("4111 1111 1111 1111", p)[0].replace(" ", "") == pii.pseudonymised("4111111111111111", p)[0]
 
 
+def test_values_among_other_words_and_numbers():
+    p, back = pii.Permutation(b"key"), pii.Permutation(b"key")
+    back.back = True
+    ibans = ["ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"]
+    for value, kind, after in [(v, "iban", a) for v in ibans for a in (" BIC CAIXESBB", " EUR", " TOTAL 1200 EUR", "")] + [(v, "phone", a) for v in ("+33 1 23 45 67 89", "+33 6 12 34 56 78", "+44 20 7 946 0958", "+33123456789") for a in ("", ", and")]:
+        text = f"to {value}{after}"
+        out, seen = pii.pseudonymised(text, p)
+        assert seen[kind] == 1 == sum(seen.values()) and out.endswith(after) and out[3 : 3 + len(value)] != value, text
+        assert pii.pseudonymised(out, back)[0] == text
+    two = "BE68 5390 0754 7034 BE68 5390 0754 7034"
+    out, seen = pii.pseudonymised(two, p)
+    assert seen["iban"] == 2 and pii.pseudonymised(out, back)[0] == two and out[:19] == out[20:] != two[:19]
+    out, seen = pii.pseudonymised("+33 6 12 34 56 78 1234 5678", p)
+    assert seen["phone"] == 1 and out.endswith(" 5678")
+
+
 def test_what_is_not_private_stays():
     p = pii.Permutation(b"key")
     for text in ("4111111111111112", "300.1.2.3", "1.2.3", "v1.2.3.4.5", "2023-02-30", "666-12-3456", "token = 1234567890", "a@b", "DE00370400440532013000", "0000000000000000", "x2024-01-01"):
