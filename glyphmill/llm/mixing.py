@@ -104,12 +104,19 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
 
 
 def copied(docs: DataFrame, **how: object) -> DataFrame:
-    """docs as the mix takes them: a row a copy, numbered from 1 in column copy. Rows must differ in doc_id or text."""
+    """docs as the mix takes them: a row a copy, numbered from 1 in column copy.
+
+    Rows equal in doc_id, text and source have the copies of as many documents dealt out among them.
+    """
     names = [n for n in docs.columns if n != "copy"]
     rows = docs.select(*[f"`{n}`" for n in names]).withColumn("_text", F.xxhash64("text"))
-    taken = mixed(rows, keys=("doc_id", "_text"), **how).where("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_of"), "copies")
-    out = rows.join(taken, rows["doc_id"].eqNullSafe(taken["_doc"]) & rows["_text"].eqNullSafe(taken["_of"]))
-    return out.select(*[f"`{n}`" for n in names], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    taken = mixed(rows, keys=("doc_id", "_text"), **how).groupBy(F.col("doc_id").alias("_doc"), F.col("_text").alias("_of"), F.col("source").alias("_source")).agg(F.collect_list("copies").alias("_each"))
+    taken = written(taken.where(F.exists("_each", lambda n: n > 0)), "taken")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("_text").eqNullSafe(F.col("_of")) & F.col("source").eqNullSafe(F.col("_source"))
+    one = rows.join(taken.where(F.size("_each") == 1), same).withColumn("_copies", F.col("_each")[0])
+    place = F.row_number().over(Window.partitionBy("_doc", "_of", "_source").orderBy(F.lit(1)))
+    more = rows.join(taken.where(F.size("_each") > 1), same).withColumn("_copies", F.element_at("_each", place)).where("_copies > 0")
+    return one.unionByName(more).select(*[f"`{n}`" for n in names], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

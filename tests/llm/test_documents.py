@@ -205,6 +205,18 @@ def test_mixing(spark):
     assert mixing.mixed(frame(spark, [(1, None, None, None, 0), (2, "", "en", "a", 0)])).where("copies is null").count() == 0
 
 
+def test_copies_of_repeated_rows(spark):
+    rng = __import__("random").Random(14)
+    rows = [(k, prose(rng, 30), "en", f"s{k % 2}", 1) for k in range(40)]
+    rows += [(7, rows[7][1], "en", "s1", 1)] * 5 + [(7, rows[7][1], "en", "s0", 1)] + [(None, None, None, None, 0)] * 2
+    docs = frame(spark, rows)
+    out = counted((r.doc_id, r.source) for r in mixing.copied(docs).collect())
+    want = Counter()
+    for r in mixing.mixed(docs).collect():
+        want[repr((r.doc_id, r.source))] += r.copies
+    assert out == +want and max(r.copy for r in mixing.copied(docs).collect()) <= mixing.MOST_COPIES
+
+
 # Decontamination
 
 
