@@ -417,6 +417,12 @@ def renderings(spark, sf):
     )
 
 
+@query
+def renderings_whole(spark, sf):
+    """visible and hex of whole texts, by digest."""
+    return docs(spark, sf).select("doc_id", F.sha2(text.visible(F.col("text")), 256).alias("visible_sha256"), F.sha2(text.spaced_hex(F.encode("text", "UTF-8")), 256).alias("hex_sha256"))
+
+
 @query
 def token_descriptions(spark, sf):
     rows = codec.represent(tokens.tokenize(docs(spark, sf), "doc_id"), words(spark, sf)).where("type = 'WORD'")

@@ -1,6 +1,7 @@
 """Curation, evaluation, markup, sources, sinks, streaming and the registered queries on small data."""
 
 import bz2
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +183,18 @@ def test_one_word_class_per_character(spark):
     rows = spark.createDataFrame([("a",), ("́",), ("1",), ("ñ",)], "c string").select(text.is_letter(F.col("c")), text.is_mark(F.col("c")), text.continues_word(F.col("c")))
     assert [tuple(r) for r in rows.collect()] == [(True, False, True), (False, True, True), (False, False, False), (True, False, True)]
     assert [r.token for r in tokens.tokenize(spark.createDataFrame([("á 1",)], "text string")).orderBy("pos").collect()] == ["á", " ", "1"]
+
+
+def long_texts(spark, at):
+    texts = ["word " * 60 + "\tend\r\n\u00fc\u20ac", "a\tb", "x" * 300 + "<!-- far --> kept <ref name=\"r\">gone</ref> <math>m</math> tail"]
+    spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{at}/documents.parquet")
+    return texts
+
+
+def test_whole_renderings(spark, tmp_path):
+    texts = long_texts(spark, tmp_path)
+    out = {r.doc_id: r for r in QUERIES["renderings_whole"](spark, str(tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        shown = t.replace("\t", "\\t").replace("\r", "\\r").replace("\n", "\\n")
+        assert out[k].visible_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        assert out[k].hex_sha256 == hashlib.sha256(t.encode().hex(" ").upper().encode()).hexdigest()
