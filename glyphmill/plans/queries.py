@@ -379,8 +379,9 @@ def funnel_counts(spark, sf):
 # Markup
 
 
-def markup(spark, sf):
-    body = F.concat(F.lit("== "), "lang", F.lit(" ==\r\n* '''"), F.substring("text", 1, 200), F.lit("''' <!-- note -->\n{| a\n| b {| c |} |}\n  # tail<ref name=\"x\">y</ref> <math>z</math>   end  \n\n\n\n: last"))
+def markup(spark, sf, whole=False):
+    """Each document in markup: the beginning of its text, as the SQL has it, or all of it."""
+    body = F.concat(F.lit("== "), "lang", F.lit(" ==\r\n* '''"), F.col("text") if whole else F.substring("text", 1, 200), F.lit("''' <!-- note -->\n{| a\n| b {| c |} |}\n  # tail<ref name=\"x\">y</ref> <math>z</math>   end  \n\n\n\n: last"))
     return docs(spark, sf).select("doc_id", body.alias("text"))
 
 
@@ -399,6 +400,16 @@ def clean_ratio(spark, sf):
     return markup(spark, sf).select("doc_id", wikitext.clean(F.col("text")).alias("c")).select("doc_id", "c.original_characters", "c.cleaned_characters", "c.removed_characters", F.sha2("c.text", 256).alias("text_sha256"))
 
 
+@query
+def comments_and_tags_whole(spark, sf):
+    return markup(spark, sf, whole=True).select("doc_id", wikitext.without_tags(wikitext.without_comments(F.col("text"))).alias("text"))
+
+
+@query
+def clean_ratio_whole(spark, sf):
+    return markup(spark, sf, whole=True).select("doc_id", wikitext.clean(F.col("text")).alias("c")).select("doc_id", "c.original_characters", "c.cleaned_characters", "c.removed_characters", F.sha2("c.text", 256).alias("text_sha256"))
+
+
 @query
 def page_comments(spark, sf):
     cleaned = wikitext.without_comments(F.col("html"))

@@ -2,6 +2,7 @@
 
 import bz2
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,3 +199,14 @@ def test_whole_renderings(spark, tmp_path):
         shown = t.replace("\t", "\\t").replace("\r", "\\r").replace("\n", "\\n")
         assert out[k].visible_sha256 == hashlib.sha256(shown.encode()).hexdigest()
         assert out[k].hex_sha256 == hashlib.sha256(t.encode().hex(" ").upper().encode()).hexdigest()
+
+
+def test_whole_markup(spark, tmp_path):
+    texts = long_texts(spark, tmp_path)
+    wrapped = [f"== en ==\r\n* '''{t}''' <!-- note -->\n{{| a\n| b {{| c |}} |}}\n  # tail<ref name=\"x\">y</ref> <math>z</math>   end  \n\n\n\n: last" for t in texts]
+    out = {r.doc_id: r.text for r in QUERIES["comments_and_tags_whole"](spark, str(tmp_path)).collect()}
+    assert [out[k] for k in range(3)] == [re.sub(r"(?s)<!--.*?-->|<ref\b[^<>]*>.*?</ref>|<math>.*?</math>", "", w) for w in wrapped]
+    ratio = {r.doc_id: r for r in QUERIES["clean_ratio_whole"](spark, str(tmp_path)).collect()}
+    assert [ratio[k].original_characters for k in range(3)] == [len(w) for w in wrapped]
+    assert ratio[2].cleaned_characters - ratio[1].cleaned_characters == len("x" * 300 + " kept tail") - len("a b")
+    assert all(r.original_characters - r.cleaned_characters == r.removed_characters for r in ratio.values())
