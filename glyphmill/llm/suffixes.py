@@ -4,18 +4,19 @@ Every string of `length` bytes that starts in two places goes, wherever it start
 one string meet: a window of `length` bytes is given to the least (by hash) of its grams of GRAM bytes, the leftmost if
 tied, which is the same gram at the same offset in each copy of the window. Windows in a row with one gram are its
 context, at most length + WINDOW bytes. Grams that occur once in the corpus are done with; equal contexts are counted
-and enter once.
+and enter twice at most.
 
-The distinct contexts of a gram are aligned at it. Ordered by what follows, with the common prefixes of neighbours, they
-are column 0 of a Burrows-Wheeler transform; the byte before each context's column is its transform. One step of
-backward extension, breadth-first over all intervals of all grams of a task, is the stable reordering by that byte,
-which lengthens the common prefixes inside each new interval by one; intervals that can't come to `length` any more
-are dropped, and expansion stops at the last column. What shares `length` bytes with a neighbour in some column is a
-window that starts twice.
+The distinct contexts of a gram, and a second place of each that occurs more than once, are aligned at it. Ordered by what
+follows, with the common prefixes of neighbours, they are column 0 of a Burrows-Wheeler transform; the byte before each
+context's column is its transform. One step of backward extension, breadth-first over all intervals of all grams of a task,
+is the stable reordering by that byte, which lengthens the common prefixes inside each new interval by one; intervals that
+can't come to `length` any more are dropped, and expansion stops at the last column. What shares `length` bytes with a
+neighbour in some column is a window that starts twice. Every removal comes from there.
 
 Grams, hashes and spans are shuffled; texts are, compressed, only towards the grams' places, once for each task that has
-a copy. A gram with more than HOT distinct contexts (hundreds of thousands of texts that differ right around one string) is
-not expanded in one task: its windows are counted by hash instead.
+a copy. A gram with more than HOT distinct contexts (tens of thousands of texts that differ right around one string) is
+not expanded in one task: its columns are cut into bands, and the contexts of a band are dealt out by the bytes that all
+the band's windows share, a longer gram; a band that is still hot is cut into single columns.
 
 A null or empty text has no byte. Repeated rows are documents of their own, so a text of at least `length` bytes that is
 there twice is removed from both. Empty tables give no rows; other columns are not read.
@@ -36,7 +37,11 @@ from .common import dropped, joined, kept_columns, slices, table, utf8, written
 from .words import BACK, BASE, mixed, powers
 
 LENGTH, GRAM = 200, 32
-PIECE, CHUNK, HOT = 1 << 20, 1 << 14, 1 << 16
+PIECE, CHUNK, HOT = 1 << 20, 1 << 14, 1 << 15
+#: Columns of a band, for grams of more than HOT contexts, and for bands that are still hot.
+STEPS = (16, 1)
+BYTES = "anchor long, ctx long, slot byte, before int, bytes binary"
+BYTES_TYPES = (pa.int64(), pa.int64(), pa.int8(), pa.int32(), pa.binary())
 ROW = "anchor long, ctx long, key long, n int, at int, before int, after int"
 TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
 
@@ -126,7 +131,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def cut(texts: DataFrame) -> DataFrame:
-    """The contexts listed in `need` of each text: anchor, ctx, many, before and bytes."""
+    """The contexts listed in `need` of each text, with the bytes of each."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -134,20 +139,20 @@ def cut(texts: DataFrame) -> DataFrame:
             rows = []
             for z, need in zip(batch.column(0), batch.column(1), strict=True):
                 text = unpack.decompress(z.as_py())
-                rows += [(x["anchor"], x["ctx"], x["many"], x["before"], text[x["at"] - x["before"] : x["at"] + x["after"]]) for x in need.as_py()]
+                rows += [(x["anchor"], x["ctx"], x["slot"], x["before"], text[x["at"] - x["before"] : x["at"] + x["after"]]) for x in need.as_py()]
             for k in range(0, len(rows), CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + CHUNK], strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "ctx", "many", "before", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + CHUNK], strict=True), BYTES_TYPES, strict=True)], names=["anchor", "ctx", "slot", "before", "bytes"])
 
-    return texts.select("z", "need").mapInArrow(make, "anchor long, ctx long, many boolean, before int, bytes binary")
+    return texts.select("z", "need").mapInArrow(make, BYTES)
 
 
-def expanded(group: np.ndarray, before: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+def expanded(group: np.ndarray, before: np.ndarray, texts: list[bytes], length: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
     """For each context the first and last column whose window starts elsewhere in its group too; -1 if none.
 
-    Column j holds the windows that start j bytes before the gram.
+    Column j holds the windows that start j bytes before the gram; columns 0 to `wide` are expanded.
     """
     size = np.array([len(t) for t in texts])
-    after, wide = size - before, length - GRAM
+    after = np.minimum(size - before, length)
     raw, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size
     raw = np.concatenate([raw, np.zeros(length, np.uint8)])
     gram = at + before
@@ -155,7 +160,7 @@ def expanded(group: np.ndarray, before: np.ndarray, texts: list[bytes], length:
     right = raw[gram[:, None] + np.arange(length)]
     right[np.arange(length) >= after[:, None]] = 0
     number = np.unique(group, return_inverse=True)[1].astype(">u4")
-    keys = np.concatenate([number.view(np.uint8).reshape(-1, 4), right, after.astype(np.uint8)[:, None]], axis=1)
+    keys = np.concatenate([number.view(np.uint8).reshape(-1, 4), right, after.astype(">u2").view(np.uint8).reshape(-1, 2)], axis=1)
     order = np.argsort(np.ascontiguousarray(keys).view(f"V{keys.shape[1]}").ravel(), kind="stable")
     number = number.astype(np.int64)
     differs = right[order[1:]] != right[order[:-1]]
@@ -185,45 +190,94 @@ def expanded(group: np.ndarray, before: np.ndarray, texts: list[bytes], length:
     return low, high
 
 
-def repeated(rows: DataFrame, length: int) -> DataFrame:
-    """anchor, ctx, start and end: the span, relative to the gram, of a context's windows that start twice."""
+def repeated(rows: DataFrame, length: int, wide: int) -> DataFrame:
+    """anchor, ctx, start and end: the span, relative to the gram, of a context's windows that start twice.
+
+    rows: anchor, ctx, slot, before and bytes; a context that occurs twice has a row for either slot, so that both are expanded.
+    """
 
     def flush(rows: list[np.ndarray | list]) -> pa.RecordBatch:
-        anchor, ctx, before, texts = rows
-        one = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (ctx[1:] != ctx[:-1])])) if len(anchor) else np.zeros(0, np.int64)
+        anchor, ctx, slot, before, texts = rows
+        new = (anchor[1:] != anchor[:-1]) | (ctx[1:] != ctx[:-1]) | (slot[1:] != slot[:-1])
+        one = np.flatnonzero(np.concatenate([[True], new])) if len(anchor) else np.zeros(0, np.int64)
         anchor, ctx, before, texts = anchor[one], ctx[one], before[one], [texts[k] for k in one]
-        low, high = expanded(anchor, before.astype(np.int64), texts, length) if len(one) > 1 else (np.full(len(one), -1),) * 2
+        low, high = expanded(anchor, before.astype(np.int64), texts, length, wide) if len(one) > 1 else (np.full(len(one), -1),) * 2
         hit = np.flatnonzero(low >= 0)
         return pa.RecordBatch.from_arrays([pa.array(anchor[hit]), pa.array(ctx[hit]), pa.array((-high[hit]).astype(np.int32)), pa.array((length - low[hit]).astype(np.int32))], names=["anchor", "ctx", "start", "end"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), []]
+        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int8, np.int32)] + [[]]
         for batch in batches:
             for k in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(k, CHUNK)
-                now = [part.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
-                held = [*(np.concatenate(x) for x in zip(held[:3], now, strict=True)), held[3] + [x.as_py() for x in part.column(3)]]
-                if len(held[3]) >= CHUNK:
+                now = [part.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
+                held = [*(np.concatenate(x) for x in zip(held[:4], now, strict=True)), held[4] + [x.as_py() for x in part.column(4)]]
+                if len(held[4]) >= CHUNK:
                     end = int(np.searchsorted(held[0], held[0][-1]))  # the last gram's rows may go on
                     if end:
                         yield flush([x[:end] for x in held])
                         held = [x[end:] for x in held]
         yield flush(held)
 
-    few = rows.where("not many").select("anchor", "ctx", "before", "bytes").repartition("anchor").sortWithinPartitions("anchor", "ctx")
-    spans = few.mapInArrow(make, "anchor long, ctx long, start int, end int")
+    few = rows.select("anchor", "ctx", "slot", "before", "bytes").repartition("anchor").sortWithinPartitions("anchor", "ctx", "slot")
+    return few.mapInArrow(make, "anchor long, ctx long, start int, end int")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for anchor, ctx, before, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = np.arange(max(0, len(text) - length + 1))
-                value = mixed(Sums(np.frombuffer(text, np.uint8))(at, at + length))
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * len(at), pa.int64()), pa.array([ctx] * len(at), pa.int64()), pa.array((before - at).astype(np.int32)), pa.array(value.view(np.int64))], names=["anchor", "ctx", "j", "value"])
 
-    many = rows.where("many").dropDuplicates(["anchor", "ctx"]).select("anchor", "ctx", "before", "bytes").mapInArrow(windows, "anchor long, ctx long, j int, value long")
-    twice = many.groupBy("anchor", "j", "value").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    wide = many.join(twice, ["anchor", "j", "value"]).groupBy("anchor", "ctx").agg((-F.max("j")).alias("start"), (length - F.min("j")).alias("end"))
-    return spans.unionByName(wide)
+def banded(rows: DataFrame, length: int, wide: int, step: int) -> DataFrame:
+    """rows of hot grams by bands of `step` columns: the windows of a band share a longer core, which is the band's gram.
+
+    anchor becomes the hash of old anchor, band and core, and ctx that of the band's windows; of, from and shift tell what
+    they were. The core of columns a to a + step - 1 holds all but step - 1 bytes of each of their windows.
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for anchor, ctx, slot, before, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for a in range(0, wide + 1, step):
+                    b = min(a + step - 1, wide, before)  # the last column of this context in the band
+                    low = max(a, length - (len(text) - before))  # the first
+                    if low > b:
+                        continue
+                    top = min(a + step - 1, wide)
+                    core = text[before - a : before - top + length]
+                    own = text[before - b : before - low + length]
+                    name = hashlib.blake2b(b"%d/%d/%d/" % (anchor, step, a) + core, digest_size=8).digest()
+                    inner = hashlib.blake2b(b"%d/%d/" % (b, low) + own, digest_size=8).digest()
+                    out.append((int.from_bytes(name, "big", signed=True), int.from_bytes(inner, "big", signed=True), slot, b - a, own, anchor, ctx, a))
+                if len(out) >= CHUNK:
+                    yield batched(out)
+                    out = []
+            yield batched(out)
+
+    def batched(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (*BYTES_TYPES, pa.int64(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in f"{BYTES}, of long, from long, shift int".split(", ")])
+
+    return rows.select("anchor", "ctx", "slot", "before", "bytes").mapInArrow(make, f"{BYTES}, `of` long, `from` long, shift int")
+
+
+def hot_anchors(contexts: DataFrame, hot: int) -> DataFrame:
+    """The grams of more than `hot` contexts; contexts: anchor and ctx, each pair once."""
+    return written(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")).where(F.col("different") > hot).select("anchor"), "hot")
+
+
+def all_repeated(rows: DataFrame, many: DataFrame, length: int, wide: int, hot: int, steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """repeated(), with the grams in `many` (those of more than `hot` contexts) expanded a band of columns at a time.
+
+    A band's contexts that are alike are one (and, if they come from two, enter twice); bands whose core is still hot are cut
+    to single columns, whose core is the window: there all contexts are alike.
+    """
+    if not steps or not many.head(1):
+        return repeated(rows, length, wide)
+    rows, step = written(rows, "cut"), steps[0]
+    spans = repeated(rows.join(many, "anchor", "left_anti"), length, wide)
+    bands = written(banded(rows.join(many, "anchor", "left_semi").dropDuplicates(["anchor", "ctx", "slot"]), length, wide, step), "bands")
+    one = written(bands.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("times"), F.min("before").alias("before"), F.min("bytes").alias("bytes")), "band-contexts")
+    twice = one.withColumn("slot", F.explode(F.expr("if(times > 1, array(0Y, 1Y), array(0Y))")))
+    found = all_repeated(twice.select("anchor", "ctx", "slot", "before", "bytes"), hot_anchors(one, hot), length, step - 1, hot, steps[1:])
+    back = bands.join(found, ["anchor", "ctx"]).select(F.col("of").alias("anchor"), F.col("from").alias("ctx"), (F.col("start") - F.col("shift")).alias("start"), (F.col("end") - F.col("shift")).alias("end"))
+    return spans.unionByName(back)
 
 
 def finished(texts: DataFrame) -> DataFrame:
@@ -252,8 +306,12 @@ def finished(texts: DataFrame) -> DataFrame:
     return texts.select("key", "n", "z", "spans").mapInArrow(make, "key long, n int, n_removed long, n_spans long, kept_sha256 string")
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document, and its spans (start, end in bytes)."""
+def deduplicated(docs: DataFrame, length: int = LENGTH, hot: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document, and its spans (start, end in bytes).
+
+    hot: the contexts of a gram that one task expands (HOT); those of others are dealt out.
+    """
+    hot = HOT if hot is None else hot
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     text = F.coalesce("text", F.lit(""))
@@ -263,20 +321,22 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = written(rows.join(again, "anchor", "left_semi"), "shared")
     dropped(rows)
     dropped(again)
-    distinct = written(shared.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "n", "at", "before", "after")).alias("one")), "contexts")
-    several = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")).where("different > 1"), "several")
-    need = distinct.join(several, "anchor").select("one.key", "one.n", F.struct("anchor", "ctx", (F.col("different") > HOT).alias("many"), "one.at", "one.before", "one.after").alias("x"))
+    place = F.struct("key", "n", "at", "before", "after")
+    distinct = written(shared.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("one"), F.max(place).alias("other")), "contexts")
+    many = hot_anchors(distinct, hot)
+    both = F.array(F.struct(F.lit(0).cast("byte").alias("slot"), "one"), F.struct(F.lit(1).cast("byte").alias("slot"), F.col("other").alias("one")))
+    slots = distinct.select("anchor", "ctx", F.explode(F.when(F.col("times") > 1, both).otherwise(F.slice(both, 1, 1))).alias("x"))
+    need = slots.select("x.one.key", "x.one.n", F.struct("anchor", "ctx", "x.slot", "x.one.at", "x.one.before", "x.one.after").alias("x"))
     need = need.groupBy("key", "n").agg(F.collect_list("x").alias("need"))  # of one text, so bounded by its length
     wanted = written(shared.select("key", "n").distinct().join(need, ["key", "n"], "left"), "wanted")
     texts = written(packed(docs.where(F.col("n") >= length)).join(wanted, ["key", "n"]), "texts")
     dropped(wanted)
-    spans = repeated(cut(texts.where("need is not null")), length)
-    whole = distinct.where("times > 1").select("anchor", "ctx", (-F.col("one.before")).alias("start"), F.col("one.after").alias("end"))
-    # a context seen twice goes whole, whatever else it shares
-    marks = written(spans.unionByName(whole).groupBy("anchor", "ctx").agg(F.min("start").alias("start"), F.max("end").alias("end")), "marks")
+    dropped(distinct)
+    spans = all_repeated(cut(texts.where("need is not null")), many, length, length - GRAM, hot)
+    marks = written(spans.groupBy("anchor", "ctx").agg(F.min("start").alias("start"), F.max("end").alias("end")), "marks")
     gone = shared.join(marks, ["anchor", "ctx"]).select("key", "n", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end")).distinct()
     gone = written(gone.groupBy("key", "n").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    for x in (shared, distinct, several, marks):
+    for x in (shared, marks):
         dropped(x)
     done = finished(texts.select("key", "n", "z").join(gone, ["key", "n"])).dropDuplicates(["key", "n"])
     done = written(done.join(gone, ["key", "n"]), "done")

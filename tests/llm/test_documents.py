@@ -289,9 +289,30 @@ def test_suffixes_of_edited_copies(spark):
             t[rng.randrange(len(t))] = "X"
         texts.append("".join(t))
     rows = [(k, t, None, None, None) for k, t in enumerate(texts)]
-    out = suffixes.deduplicated(frame(spark, rows)).collect()
     want = [(k, *w) for k, w in enumerate(brute_removed(texts, 200))]
-    assert counted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == counted(want)
+    for hot in (None, 4):
+        out = suffixes.deduplicated(frame(spark, rows), hot=hot).collect()
+        assert counted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == counted(want)
+
+
+def test_suffixes_of_one_gram_in_very_many_contexts(spark):
+    """One string stands in 66,000 texts; of a few hundred the surroundings are shared too, to either side of the threshold."""
+    rng = np.random.default_rng(3)
+    gram = "".join(rng.choice(list("abcdefgh"), 90))
+    letters = np.array(list("ijklmnopqrstuvwxyz"))
+    texts = ["".join(a) + gram + "".join(b) for a, b in zip(rng.choice(letters, (66_000, 60)), rng.choice(letters, (66_000, 60)), strict=True)]
+    for k in range(0, 900, 3):
+        left, right = int(rng.integers(48, 61)), int(rng.integers(48, 61))
+        texts[k + 1] = "".join(rng.choice(letters, 60 - left)) + texts[k][60 - left : 150 + right] + "".join(rng.choice(letters, 60 - right))
+    rows = [(k, t, None, None, None) for k, t in enumerate(texts)]
+    out = suffixes.deduplicated(frame(spark, rows)).select("doc_id", "n_removed", "n_spans").where("n_removed > 0").collect()
+    windows = Counter(t[k : k + 200] for t in texts for k in range(11))
+    want = []
+    for n, t in enumerate(texts):
+        at = [k for k in range(11) if windows[t[k : k + 200]] > 1]
+        if at:
+            want.append((n, at[-1] + 200 - at[0], 1))
+    assert sorted(map(tuple, out)) == want and len(want) > 100
 
 
 def test_suffixes_of_a_long_text(spark, monkeypatch):
