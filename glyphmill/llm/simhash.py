@@ -29,15 +29,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, joined, kept_columns, table, utf8, written
+from .common import dropped, joined, kept_columns, slices, table, utf8, written
 from .graph import components
 from .suffixes import packed
-from .words import mixed, repeats
+from .words import mixed, repeats, shingle_sets
 
 SEGMENTS, DISTANCE, SHINGLE, SEED = (22, 21, 21), 3, 3, 42
 BLOCK_ROWS, BLOCK_SHINGLES, PAIRS, FOREST = 8192, 1 << 18, 1 << 21, 1 << 20
-#: Samples of a document for similar(): 0.98 of pairs at 0.8 share one of 12 of 4 shingles' min-hashes.
-BANDS, ROWS, SKETCH = 12, 4, 256
+#: Samples of a document for similar(): 0.99 of pairs at 0.8 share one of 9 of 4 shingles' min-hashes.
+BANDS, ROWS, SKETCH, CELLS = 9, 4, 128, 1 << 21
 #: Standard errors of the sketch's estimate below the similarity at which a pair is still a candidate.
 MARGIN = 5.0
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the Golay code of 23 bits, 12 of them information.
@@ -69,23 +69,22 @@ def golay(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return upper, errors, counts
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, once: bool = False) -> int:
-    """64 bits, each set if it is in over half the shingle hashes; with `once`, repeats count once."""
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """64 bits, each set if it is in over half the shingle hashes."""
     h = shingle_hashes(text, shingle)
     if not len(h):
         return 0
-    h = np.unique(h) if once else h
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprinted(docs: DataFrame, shingle: int = SHINGLE, once: bool = False) -> DataFrame:
+def fingerprinted(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py(), shingle, once) for x in utf8(batch.column(1))], np.uint64)
+            found = np.array([fingerprint(x.as_py(), shingle) for x in utf8(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     return kept_columns(docs, ["doc_id", "text"]).mapInArrow(make, f"doc_id {kind}, fp long")
@@ -181,7 +180,31 @@ def numbers(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def linked(group: np.ndarray, rows: list[np.ndarray], test: Callable, pairs: int, links: Links) -> None:
+class Best:
+    """The most similar other of each node that a task has seen."""
+
+    def __init__(self):
+        self.held, self.size = [], 0
+
+    def add(self, u: np.ndarray, v: np.ndarray, score: np.ndarray) -> None:
+        if len(u):
+            self.held.append((np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([score, score])))
+            self.size += 2 * len(u)
+            if self.size > FOREST:
+                self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        u, v, score = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((v, -score, u))
+        u, v, score = u[order], v[order], score[order]
+        one = np.concatenate([[True], u[1:] != u[:-1]])
+        self.held, self.size = [(u[one], v[one], score[one])], int(one.sum()) // 2
+        return self.held[0]
+
+
+def linked(group: np.ndarray, rows: list[np.ndarray], test: Callable, pairs: int, links: Links, best: Best | None = None) -> None:
     """Adds the pairs of each group's sides that pass test; rows (block, key, side, fp, ...) are sorted by group and side."""
     side, fp = rows[2], rows[3]
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
@@ -198,13 +221,23 @@ def linked(group: np.ndarray, rows: list[np.ndarray], test: Callable, pairs: int
         stop = max(at + 1, int(np.searchsorted(done, done[at] + pairs, "right")) - 1)
         a, b = np.repeat(row[at:stop], count[at:stop]), repeats(to[at:stop], count[at:stop])
         near = np.flatnonzero(fp[a] != fp[b])
-        near = near[test(rows, a[near], b[near])]
+        if best is None:
+            near = near[test(rows, a[near], b[near])]
+        else:
+            ok, score = test(rows, a[near], b[near])
+            near = near[ok]
+            best.add(fp[a[near]], fp[b[near]], score[ok])
         if len(near):
             links.add(*forest(fp[a[near]], fp[b[near]]))
         at = stop
 
 
 def gridded(rows: DataFrame, sides: bool, block_rows: int, weight: Column | None = None) -> DataFrame:
+    """dealt() rows, brought together by block."""
+    return dealt(rows, sides, block_rows, weight).repartition("block")
+
+
+def dealt(rows: DataFrame, sides: bool, block_rows: int, weight: Column | None = None) -> DataFrame:
     """rows (key, side, ...) with block: a key's two sides are dealt out as a grid of blocks of at most block_rows rows a side.
 
     With weight (and without sides) a row counts as that many rows.
@@ -215,34 +248,41 @@ def gridded(rows: DataFrame, sides: bool, block_rows: int, weight: Column | None
     hot = written(rows.groupBy("key").agg(left.alias("left"), right.alias("right")).where("left > 1 or right > 1"), "hot")
     if not sides:
         rows = rows.join(hot.select("key", "left"), "key", "left").withColumn("side", F.explode(F.when(F.col("left") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(2))))).drop("left")
-    dealt = rows.join(hot, "key", "left").withColumns({"left": F.coalesce("left", F.lit(1)), "right": F.coalesce("right", F.lit(1))})
+    out = rows.join(hot, "key", "left").withColumns({"left": F.coalesce("left", F.lit(1)), "right": F.coalesce("right", F.lit(1))})
     own = F.pmod(F.xxhash64("fp"), F.when(F.col("side") == 0, F.col("left")).otherwise(F.col("right"))).cast("int")
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.when(F.col("side") == 0, F.col("right")).otherwise(F.col("left")) - 1).cast("int"))))
+    out = out.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.when(F.col("side") == 0, F.col("right")).otherwise(F.col("left")) - 1).cast("int"))))
     grid = F.when(F.col("side") == 0, F.xxhash64("key", "own", "other")).otherwise(F.xxhash64("key", "other", "own"))
-    return dealt.withColumn("block", grid).drop("own", "other", "left", "right").repartition("block")
+    return out.withColumn("block", grid).drop("own", "other", "left", "right")
 
 
-def met(rows: DataFrame, test: Callable[[list[np.ndarray], np.ndarray, np.ndarray], np.ndarray], pairs: int) -> DataFrame:
+def met(rows: DataFrame, test: Callable, pairs: int, best: bool = False) -> DataFrame:
     """u and v: a spanning forest, for each task, of the pairs of a block's sides that pass test.
 
+    With best, test gives scores too, and there are rows (u, v, score) of the other with the highest score for each; the
+    forest's score is then -1.
+
     rows: block, key, side (0 and 1 meet; rows of side 2 meet each other), fp and what test takes.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, tail = Links(), None
+        found, tail, top = Links(), None, Best() if best else None
         for batch in batches:
             now = [numbers(batch.column(k)) for k in range(batch.num_columns)]
             now = now if tail is None else [np.concatenate(x) for x in zip(tail, now, strict=True)]
             group = now[0] ^ now[1] * np.int64(0x9E3779B97F4A7C1)  # a block is one key's, but for equal hashes
             cut = int(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))[-1]) if len(group) else 0
-            linked(group[:cut], [x[:cut] for x in now], test, pairs, found)
+            linked(group[:cut], [x[:cut] for x in now], test, pairs, found, top)
             tail = [x[cut:] for x in now]
         if tail is not None:
-            linked(tail[0] ^ tail[1] * np.int64(0x9E3779B97F4A7C1), tail, test, pairs, found)
+            linked(tail[0] ^ tail[1] * np.int64(0x9E3779B97F4A7C1), tail, test, pairs, found, top)
         u, v = found.cut()
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        if top is None:
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        else:
+            for a, b, score in ((u, v, np.full(len(u), -1.0)), top.cut()):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score)], names=["u", "v", "score"])
 
-    return rows.sortWithinPartitions("block", "key", "side").mapInArrow(find, "u long, v long")
+    return rows.sortWithinPartitions("block", "key", "side").mapInArrow(find, "u long, v long" + ", score double" * best)
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -267,59 +307,75 @@ def shingle_hashes(text: bytes, shingle: int, seed: int = SEED) -> np.ndarray:
     return np.array([digest(line[starts[k] : ends[min(k + shingle, len(words)) - 1] - 1], seed) for k in range(last + 1)], np.uint64)
 
 
-def min_hashes(h: np.ndarray, n: int, salt: int) -> np.ndarray:
-    """The least value in each of n classes that a hash deals h to; a class without any takes the least of a hash of its own."""
-    x = mixed(h + np.uint64(salt << 32))
-    none = np.iinfo(np.uint64).max
-    out = np.full(n, none)
-    np.minimum.at(out, (x % np.uint64(n)).astype(np.int64), x)
-    empty = np.flatnonzero(out == none)
-    if len(empty):
-        out[empty] = mixed(h[None, :] + (np.uint64(salt << 32 | 1 << 31) + empty.astype(np.uint64))[:, None]).min(1)
-    return out
-
-
-def sampled(text: bytes, shingle: int, bands: int, rows: int, sketch: int) -> tuple[np.ndarray, bytes] | None:
-    """Fingerprints of `bands` samples of `rows` shingles, and a byte for each of `sketch` min-hashes; None without words."""
-    h = np.unique(shingle_hashes(text, shingle))
-    if not len(h):
-        return None
-    drawn = min_hashes(h, bands * rows, 1)
-    ones = np.unpackbits(drawn.view(np.uint8).reshape(bands, rows, 8), axis=2, bitorder="little").sum(1, dtype=np.int64)
-    prints = np.packbits(2 * ones > rows, axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return prints, (mixed(min_hashes(h, sketch, 2)) >> np.uint64(56)).astype(np.uint8).tobytes()
-
-
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, sketch: int = SKETCH, block_rows: int = 2048) -> DataFrame:
-    """u and v: candidate links between texts (by xxhash64 of the text) that share a sample and may have that similarity.
+def min_hashes(h: np.ndarray, first: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """For each text (its hashes from first[k] to first[k + 1]) the least value in each of n classes that a hash deals them to.
 
-    Column text is read; equal texts are one node. A pair is passed over only if its estimate from `sketch` min-hashes is
-    MARGIN standard errors or more below the similarity; exact() verifies what is left.
+    A class without any takes the least of a hash of its own.
     """
-    floor = similarity - MARGIN * (similarity * (1 - similarity) / sketch) ** 0.5
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
+    texts, none, size = len(first) - 1, np.iinfo(np.uint64).max, np.diff(first)
+    x = mixed(h + np.uint64(salt << 32))
+    out = np.full(texts * n, none)
+    np.minimum.at(out, np.repeat(np.arange(texts), size) * n + (x % np.uint64(n)).astype(np.int64), x)
+    empty = np.flatnonzero((out == none) & (np.repeat(size, n) > 0))
+    at, ends = 0, np.cumsum(size[empty // n])
+    while at < len(empty):  # a few million values at a time
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS, "right")))
+        part = empty[at:to]
+        count = size[part // n]
+        own = np.repeat(np.uint64(salt << 32 | 1 << 31) + (part % n).astype(np.uint64), count)
+        out[part] = np.minimum.reduceat(mixed(h[repeats(first[part // n], count)] + own), np.cumsum(count) - count)
+        at = to
+    return out.reshape(texts, n)
+
+
+def profiled(texts: DataFrame, shingle: int, bands: int, rows: int, sketch: int) -> DataFrame:
+    """node, print (the fingerprint, repeats counted once), keys (fingerprints of `bands` samples of `rows` shingles) and sketch
+    (a byte for each of so many min-hashes) of texts (node, text); a text without words has print 0 and no keys."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            held: list[tuple] = []
-            for text, fp in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                if fp not in seen and (found := sampled(text.as_py(), shingle, bands, rows, sketch)):
-                    seen.add(fp)
-                    held.append((found[0], fp, found[1]))
-            yield pa.RecordBatch.from_arrays([pa.array([h[0].view(np.int64).tolist() for h in held], pa.list_(pa.int64())), pa.array([h[1] for h in held], pa.int64()), pa.array([h[2] for h in held], pa.binary())], names=["keys", "fp", "sketch"])
-
-    found = written(texts.mapInArrow(make, "keys array<long>, fp long, sketch binary"), "samples")
-    each = found.select(F.posexplode("keys").alias("band", "value"), "fp").select(F.xxhash64("band", "value").alias("key"), "fp")
+            fresh = [k for k, x in enumerate(batch.column(0).to_pylist()) if not (x in seen or seen.add(x))]
+            for part in slices(batch.take(pa.array(fresh, pa.int64()))):
+                h, first = shingle_sets(*joined(utf8(part.column(1))), shingle)
+                size = np.diff(first)
+                some = np.flatnonzero(size)
+                prints, keys = np.zeros(part.num_rows, np.int64), np.zeros((part.num_rows, bands), np.int64)
+                if len(some):
+                    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    ones = np.add.reduceat(bits, first[some], axis=0, dtype=np.int64)
+                    prints[some] = np.packbits(2 * ones > size[some, None], axis=1, bitorder="little").view(np.int64)[:, 0]
+                drawn = min_hashes(h, first, bands * rows, 1).reshape(-1, bands, rows)
+                ones = np.unpackbits(drawn.view(np.uint8).reshape(-1, bands, rows, 8), axis=3, bitorder="little").sum(2, dtype=np.int64)
+                keys = np.packbits(2 * ones > rows, axis=2, bitorder="little").reshape(-1, bands, 8).view(np.int64)[:, :, 0]
+                marks = (mixed(min_hashes(h, first, sketch, 2)) >> np.uint64(56)).astype(np.uint8)
+                count = np.where(size > 0, bands, 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(keys[size > 0].reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints), lists, pa.array([m.tobytes() for m in marks], pa.binary())], names=["node", "print", "keys", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(make, "node long, print long, keys array<long>, sketch binary")
+
+
+def similar(profiles: DataFrame, similarity: float = 0.8, sketch: int = SKETCH, block_rows: int = 2048) -> DataFrame:
+    """u, v and score: candidate links between texts of profiled() that share a sample and may have that similarity.
+
+    A pair is passed over only if its estimate from `sketch` min-hashes is MARGIN standard errors or more below the
+    similarity; exact() verifies what is left. Rows with score 0 or more are each text's most similar one in a task, those
+    with score -1 a spanning forest of a task's links.
+    """
+    floor = similarity - MARGIN * (similarity * (1 - similarity) / sketch) ** 0.5
+    each = profiles.select(F.posexplode("keys").alias("band", "value"), F.col("node").alias("fp")).select(F.xxhash64("band", "value").alias("key"), "fp")
     shared = written(each.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("key"), "shared")
-    pairs = each.join(shared, "key").distinct()
-    few = written(pairs.join(found.dropDuplicates(["fp"]).select("fp", "sketch"), "fp"), "met")
+    pairs = written(each.join(shared, "key").distinct(), "pairs")
+    few = dealt(pairs, False, block_rows).select("block", "key", "side", "fp")
+    rows = few.join(profiles.select(F.col("node").alias("fp"), "sketch").dropDuplicates(["fp"]), "fp").repartition("block")
 
-    def alike(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def alike(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         same = (rows[4][a] == rows[4][b]).mean(1)
-        return (same - 1 / 256) / (1 - 1 / 256) >= floor  # equal bytes by chance taken off
+        near = (same - 1 / 256) / (1 - 1 / 256)  # equal bytes by chance taken off
+        return near >= floor, near
 
-    return met(gridded(few, False, block_rows).select("block", "key", "side", "fp", "sketch"), alike, 1 << 15)
+    return met(rows.select("block", "key", "side", "fp", "sketch"), alike, 1 << 15, best=True)
 
 
 def similar_pairs(side: np.ndarray, sets: list[np.ndarray], similarity: float, cells: int = 1 << 23) -> tuple[np.ndarray, np.ndarray]:
@@ -347,8 +403,26 @@ def similar_pairs(side: np.ndarray, sets: list[np.ndarray], similarity: float, c
     return a, b
 
 
-def verified(rows: DataFrame, similarity: float) -> DataFrame:
-    """u and v: a spanning forest, for each task, of the links in gridded() rows with their sets."""
+def unpacked_sets(shingle: int) -> Callable[[list[bytes]], list[np.ndarray]]:
+    """What makes sets of shingle hashes of compressed texts."""
+
+    def make(packed: list[bytes]) -> list[np.ndarray]:
+        unpack = zstandard.ZstdDecompressor()
+        out: list[np.ndarray] = []
+        for part in slices(pa.RecordBatch.from_arrays([pa.array([unpack.decompress(z) for z in packed], pa.binary())], names=["text"])):
+            h, first = shingle_sets(*joined(utf8(part.column(0))), shingle)
+            out += [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        return out
+
+    return make
+
+
+def stored_sets(held: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(s, np.uint64) for s in held]
+
+
+def verified(rows: DataFrame, similarity: float, sets: Callable[[list[bytes]], list[np.ndarray]] = stored_sets) -> DataFrame:
+    """u and v: a spanning forest, for each task, of the links in gridded() rows with what their sets are made of (column sets)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held, mark = Links(), [], None
@@ -356,7 +430,7 @@ def verified(rows: DataFrame, similarity: float) -> DataFrame:
         def flush() -> None:
             if len(held) > 1:
                 fp = np.array([h[1] for h in held])
-                a, b = similar_pairs(np.array([h[0] for h in held]), [np.frombuffer(h[2], np.uint64) for h in held], similarity)
+                a, b = similar_pairs(np.array([h[0] for h in held]), sets([h[2] for h in held]), similarity)
                 differ = fp[a] != fp[b]
                 if differ.any():
                     found.add(*forest(fp[a[differ]], fp[b[differ]]))
@@ -375,29 +449,28 @@ def verified(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.select("block", "key", "side", "fp", "sets").sortWithinPartitions("block", "key", "side").mapInArrow(find, "u long, v long")
 
 
-def word_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """key, fp and sets (the shingle hashes of each text, sorted, eight bytes each)."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(unpack.decompress(z.as_py()), shingle)).tobytes() for z in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["key", "fp", "sets"])
-
-    return texts.select("key", "fp", "z").mapInArrow(make, "key long, fp long, sets binary")
-
-
 def exact(texts: DataFrame, candidates: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """u and v: links between texts (columns node and text) that candidates (u, v) join to one component and whose exact shingle sets are that similar.
+    """u and v: links between texts (columns node and text) that candidates (u, v, score) join to one component and whose exact shingle sets are that similar.
 
-    All pairs of such a component are verified; a large one is a grid of blocks, each of about `BLOCK_SHINGLES` shingles a side.
+    First each text is held against its most similar candidate, a pair at a time. That joins most groups whole; in
+    components of candidates that are still several groups all pairs are verified, a large one as a grid of blocks, each of about
+    `BLOCK_SHINGLES` shingles a side.
     """
-    near = written(components(candidates), "candidates")
+    candidates = written(candidates, "links")
+    near = written(components(candidates.select("u", "v")), "candidates")
     own = texts.select(F.col("node").alias("key"), F.octet_length("text").alias("n"), "text")
-    few = packed(own).withColumnRenamed("key", "fp").join(near.select(F.col("root").alias("key"), F.col("node").alias("fp")), "fp").dropDuplicates(["fp"])
-    sets = written(word_sets(few, shingle), "sets")
-    weight = F.octet_length("sets") / 8 + BLOCK_SHINGLES / 1024
-    return verified(gridded(sets, False, BLOCK_SHINGLES, weight), similarity)
+    few = packed(own).withColumnRenamed("key", "fp").join(near.select(F.col("root").alias("root"), F.col("node").alias("fp")), "fp").dropDuplicates(["fp"])
+    few = written(few.select("fp", "root", "n", F.col("z").alias("sets")), "texts")
+    top = candidates.groupBy("u").agg(F.max(F.struct("score", "v")).alias("top"))
+    pairs = top.select(F.least("u", "top.v").alias("u"), F.greatest("u", "top.v").alias("v")).distinct().withColumn("key", F.xxhash64("u", "v"))
+    ends = pairs.select("key", F.explode(F.array("u", "v")).alias("fp")).join(few.select("fp", "sets"), "fp")
+    made = unpacked_sets(shingle)
+    first = written(verified(ends.withColumns({"block": F.col("key"), "side": F.lit(2)}).repartition("block"), similarity, made), "verified")
+    part = near.join(components(first).withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    open_ = written(part.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("root"), "open")
+    rest = written(few.join(open_, "root").select(F.col("root").alias("key"), "fp", "n", "sets"), "rest")
+    weight = F.col("n") / 6 + BLOCK_SHINGLES / 1024
+    return verified(gridded(rest, False, BLOCK_SHINGLES, weight).drop("n"), similarity, made).union(first)
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -416,33 +489,41 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, b
 
 
 def named(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE) -> DataFrame:
-    """node (xxhash64 of the text), root (its group) and first (the group's least doc_id) of the texts that have near-duplicates or copies.
+    """node (xxhash64 of the text), own (its length and another hash), root (its group) and first (the group's least doc_id)
+    of the texts that have near-duplicates or copies.
 
     Texts are candidates if they share a sample of similar(), or their fingerprints (repeats counted once) are at most
     `distance` bits apart; they are linked if their exact sets of shingles are that similar. Texts without any word are
-    one group.
+    one group. Of unlike texts of one node, which 64 bits can't rule out, only those with the least `own` take part.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    prints = written(fingerprinted(own.select(F.col("node").alias("doc_id"), "text"), shingle, True).distinct(), "fingerprints")
+    profiles = written(profiled(own, shingle, BANDS, ROWS, SKETCH), "profiles")
+    prints = profiles.select(F.col("print").alias("fp"), F.col("node").alias("u")).distinct()
     roots = components(links(prints.select("fp").distinct(), distance)).withColumnRenamed("node", "fp")
-    hung = written(prints.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("fp"), F.col("doc_id").alias("u")), "hung")
+    hung = written(prints.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("fp"), "u"), "hung")
     least = written(hung.groupBy("fp").agg(F.min("u").alias("v"), F.max("u").alias("high")).where("v < high").select("fp", "v"), "least")
-    near = components(exact(own, similar(own, shingle, similarity).union(hung.join(least, "fp").select("u", "v")), shingle, similarity))
-    ids = written(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "ids")
-    both = written(ids.join(near, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+    golay = hung.join(least, "fp").where("u <> v").select("u", "v", F.lit(0.0).alias("score"))
+    near = components(exact(own, similar(profiles, similarity).union(golay), shingle, similarity))
+    ids = own.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.min(identity("text")).alias("own"))
+    both = written(written(ids, "ids").join(near, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
     out = both.groupBy("root").agg(F.min("first").alias("first"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "first")
-    return written(both.select("node", "root").join(written(out, "firsts"), "root").select("node", "root", "first"), "named")
+    return written(both.select("node", "own", "root").join(written(out, "firsts"), "root").select("node", "own", "root", "first"), "named")
+
+
+def identity(text: str) -> Column:
+    return F.struct(F.octet_length(text).alias("n"), F.crc32(F.encode(text, "UTF-8")).alias("crc"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the least doc_id, any one of those that repeat it."""
     names = docs.columns
     groups = named(docs, shingle, similarity, distance)
-    groups = groups.select(F.col("node").alias("_node"), F.col("root").alias("_root"), F.col("first").alias("_first"))
-    rows = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).join(groups, "_node", "left")
-    alone = rows.where("_root is null").select(*[f"`{n}`" for n in names])
-    kept = rows.where(F.col("_root").isNotNull() & F.col("doc_id").eqNullSafe(F.col("_first")))
-    return alone.unionByName(kept.dropDuplicates(["_root"]).select(*[f"`{n}`" for n in names]))
+    # the row is one column, so that its names meet none of those used here
+    rows = docs.select(F.struct(*[f"`{n}`" for n in names]).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("row", "doc_id", F.xxhash64("text").alias("node"), identity("text").alias("own")).join(groups, ["node", "own"], "left")
+    back = [F.col(f"row.`{n}`").alias(n) for n in names]
+    kept = rows.where(F.col("root").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first")))
+    return rows.where("root is null").select(*back).unionByName(kept.dropDuplicates(["root"]).select(*back))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

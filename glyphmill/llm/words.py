@@ -69,6 +69,28 @@ class Words:
         return mixed(out[at]), at
 
 
+def shingle_sets(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct `n`-word shingles of each text, sorted, and where each text's begin; of fewer words, all are one shingle.
+
+    Words are runs of SOLID bytes, A-Z lowered.
+    """
+    w = Words(LOWER[raw], off, SOLID)
+    h, at = w.shingles(n)
+    of, size = w.text[at], np.diff(w.first)
+    few = np.flatnonzero((size > 0) & (size < n))
+    if len(few):
+        whole = np.zeros(len(few), np.uint64)
+        for k in range(n - 1):
+            on = size[few] > k
+            whole[on] = (whole[on] + w.hash[w.first[few[on]] + k]) * BASE
+        h, of = np.concatenate([h, mixed(whole + size[few].astype(np.uint64))]), np.concatenate([of, few])
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]) if len(h) else np.zeros(0, bool)
+    h, of = h[new], of[new]
+    return h, np.searchsorted(of, np.arange(len(off)))
+
+
 class Lookup:
     """Where 64-bit values stand in a sorted table of distinct ones; most that aren't there go by one small bitmap."""
 
