@@ -1,10 +1,11 @@
 """SimHash near-duplicates by Golay-code fuzzy hashing.
 
 A fingerprint of 64 bits is cut into three segments of at most 23 bits. The binary Golay code decodes a segment to the
-index of its nearest codeword and, if that is three bits off, to the five at four bits: two segments that differ in one
-bit or none always share one. Of at most three errors at most one segment has more than one, so two fingerprints that
-near agree on both codewords of some pair of segments: one side emits its nearest codeword of the first and all near
-ones of the second, the other the reverse. Equal keys meet, the distance is verified, and components are taken.
+index of its nearest codeword and, if that is three bits off, to the five at four bits: of two segments that differ in one
+bit or none, the nearest codeword of one is near the other. At most three errors leave a segment without any and another with one
+at most, unless each segment has one. So two fingerprints that near agree in a segment and on a near codeword of another, or
+on near codewords of all three: keys of 31 or 32 bits. One side emits nearest codewords, the other all near ones (of
+three, one side emits two nearest and the other the third). Equal keys meet, the distance is verified, and components are taken.
 
 Three bits of one fingerprint only tell copies with very few edits. similar() finds documents whose shingle sets have a
 given Jaccard similarity: a document gives the fingerprints of several samples of its shingles, drawn by min-hash so that
@@ -35,6 +36,8 @@ from .suffixes import packed
 from .words import mixed, repeats, shingle_sets
 
 SEGMENTS, DISTANCE, SHINGLE, SEED = (22, 21, 21), 3, 3, 42
+#: The segment that has no error and the one that has one at most.
+PAIRS_OF_SEGMENTS = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
 BLOCK_ROWS, BLOCK_SHINGLES, PAIRS, FOREST = 8192, 1 << 18, 1 << 21, 1 << 20
 #: Samples of a document for similar(): 0.99 of pairs at 0.8 share one of 9 of 4 shingles' min-hashes.
 BANDS, ROWS, SKETCH, CELLS = 9, 4, 128, 1 << 21
@@ -108,16 +111,30 @@ class Keys:
 
     def __call__(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """key, side (0 or 1) and row of each key."""
-        codes, bits = self.codes(fp), LENGTH - PARITY
+        codes, bits, every = self.codes(fp), LENGTH - PARITY, np.arange(len(fp))
+        exact = [(fp >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.int64) for shift, width in zip(self.shift.tolist(), SEGMENTS, strict=True)]
+        nearest = [near[:, 0] for near, _ in codes]
         keys, sides, rows = [], [], []
-        for pair, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-            for side, (one, many) in enumerate(((a, b), (b, a))):
-                near, count = codes[many]
-                row = np.repeat(np.arange(len(fp)), count)
-                other, own = near[row, repeats(np.zeros(len(fp), np.int64), count)], codes[one][0][row, 0]
-                keys.append(pair << 2 * bits | ((own << bits | other) if side == 0 else (other << bits | own)))
-                sides.append(np.full(len(row), side, np.int8))
-                rows.append(row)
+
+        def put(kind: int, side: int, row: np.ndarray, key: np.ndarray) -> None:
+            keys.append(kind << 40 | key)
+            sides.append(np.full(len(row), side, np.int8))
+            rows.append(row)
+
+        def all_near(segment: int) -> tuple[np.ndarray, np.ndarray]:
+            near, count = codes[segment]
+            row = np.repeat(every, count)
+            return row, near[row, repeats(np.zeros(len(fp), np.int64), count)]
+
+        for kind, (same, other) in enumerate(PAIRS_OF_SEGMENTS):
+            put(kind, 0, every, exact[same] << bits | nearest[other])
+            row, code = all_near(other)
+            put(kind, 1, row, exact[same][row] << bits | code)
+        (first, a), (second, b), (third, c) = (all_near(k) for k in range(3))
+        put(len(PAIRS_OF_SEGMENTS), 0, third, (nearest[0][third] << bits | nearest[1][third]) << bits | c)
+        count = codes[1][1][first]  # of both others all near ones: each of the first with each of the second
+        row, at = np.repeat(first, count), repeats((np.cumsum(codes[1][1]) - codes[1][1])[first], count)
+        put(len(PAIRS_OF_SEGMENTS), 1, row, (np.repeat(a, count) << bits | b[at]) << bits | nearest[2][row])
         return np.concatenate(keys), np.concatenate(sides), np.concatenate(rows)
 
 
