@@ -1,11 +1,11 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Positives are documents whose label says toxic; the unlabelled text is drawn from all documents. A linear model over
+Positives are documents whose label says toxic; the unlabelled text is that of labelled rows, whatever their label says. A linear model over
 words, byte n-grams within words and beginnings of words is fitted in numpy by minimising prior * R+ + max(0, Ru - prior * R-), the risk
 corrected by the class prior (the toxic share among labelled rows of the training folds) and kept from going negative.
 
-Fitting takes a bounded sample, by a hash of doc_id: at most `positives` toxic and `unlabelled` of all documents, whole
-texts; features are counted by Spark and the `features` strongest are kept, so that the driver only sees sparse rows of
+Fitting takes a bounded sample of labelled rows, by a hash of doc_id: at most `positives` toxic texts and `unlabelled` of
+any label, whole and each once, however many rows share a doc_id; features are counted by Spark and the `features` strongest are kept, so that the driver only sees sparse rows of
 them. Scoring takes every document; the model it sends to the tasks has a fixed size.
 
 A null or empty text scores by the model's intercept. A null doc_id counts as an empty string in the fold and has no
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import joined, slices, table, utf8, written
+from .common import dropped, joined, slices, table, utf8, written
 from .words import LOWER, Words, mixed
 
 FOLDS, POSITIVES, UNLABELLED, FEATURES, BITS = 5, 3000, 9000, 1024, 20
@@ -145,10 +145,15 @@ def trained(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unla
     if not share:
         return none
     few = toxic.orderBy(*order).limit(positives).withColumn("toxic", F.lit(1))
-    # unlabelled text is drawn from all documents, confirmed ones too: the prior is their share in it
-    rest = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(*order).limit(unlabelled).withColumn("toxic", F.lit(0))
+    # unlabelled text is that of labelled rows of any label, which is not looked at: the prior is the toxic share in it
+    rest = known.select("doc_id").orderBy(*order).limit(unlabelled).withColumn("toxic", F.lit(0))
     picked = written(few.union(rest), "picked")  # positives + unlabelled rows at most
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").distinct().repartition(16), "sample")  # copies count once
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.xxhash64("text").alias("hash"), "text", "toxic").distinct()  # copies count once
+    rows = written(rows, "picked-texts")
+    # many rows may share a doc_id, so rows are bounded too
+    bounded = [rows.where(f"toxic = {k}").orderBy("hash", "text").limit(n) for k, n in ((1, positives), (0, unlabelled))]
+    sample = written(bounded[0].union(bounded[1]).select("text", "toxic").repartition(16), "sample")
+    dropped(rows)
     top = chosen(sample, features)
     if not top:
         return none
