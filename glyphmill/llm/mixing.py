@@ -1,9 +1,18 @@
 """Mixing sources to target weights by entropy balancing.
 
-The dual of "least relative entropy of the token rates, given each source's tokens" has one multiplier a source;
-document rates are exp(multiplier), at most `most_copies`. Newton steps run on the table of sources, in parallel over
-it; nothing that grows with documents or sources reaches the driver. Rates are rounded to whole copies inside buckets
-of about `bucket_rows` documents of a source, carrying the error from large documents to small ones.
+The mix is the one of least relative entropy to the corpus, over document rates of at most `most_copies`, whose tokens by
+source meet the sources' targets exactly and whose other moments (sums over tokens of any number a document has, such as
+its log length or whether it is in some language) come near theirs: their multipliers are held back by a ridge, so that
+moments that the targets or the bound on rates rule out are met as far as they can be.
+
+The entropy is that of rates between 0 and the bound, so the dual is smooth and convex, with a multiplier a source and one a
+moment: a document's rate is in proportion to exp(its source's multiplier + the moments' multipliers times its numbers) while it is small,
+and the bound less the rate to its inverse near the bound. Newton steps with a line search are taken on all of them jointly. Each
+step's dual value, gradient and Hessian are aggregates over the table of documents, added up by source before they are
+shuffled. The sources' block of the Hessian is diagonal and is eliminated where it lies, in the table of sources, however
+many there are; what reaches the driver is the Schur complement of the moments, MOST_MOMENTS squared at most, and a dual value.
+Rates are rounded to whole copies inside buckets of about `bucket_rows` documents of a source, carrying the error from
+large documents to small ones; a source's first bucket begins with what the others have left over.
 
 Null or empty texts have size 0 and are taken 0 times their size; a null source is a source of its own and sorts last;
 repeated rows are documents of their own; an empty table gives no rows; other columns are not read.
@@ -11,18 +20,19 @@ repeated rows are documents of their own; an empty table gives no rows; other co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept_columns, table, written
+from .common import dropped, kept_columns, table, written
 
 WEIGHTS, SHARE, MOST_COPIES, BUCKET_ROWS = (5.0, 2.0, 1.0), 1.5, 2, 1024
 WORDS = r"[^\x20\x09-\x0D]+"
-TOLERANCE = 1e-9
+TOLERANCE, RIDGE, STEPS, LONGEST, MOST_MOMENTS = 1e-7, 0.01, 30, 3.0, 32
 
 
 def sized(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -41,7 +51,7 @@ def ranked(sources: DataFrame) -> DataFrame:
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
-    """source, source_size, docs and target: `share` of all sizes by weight, no target above `most` times its source's size.
+    """source, rank, source_size, docs and target: `share` of all sizes by weight, no target above `most` times its source's size.
 
     The excess is shared again by weight among the others until none is above; each round is one aggregate.
     """
@@ -57,66 +67,158 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
         if at.full == full or not at.open:
             break
         full, level = at.full, (at.all - at.held) / at.open
-    return out.withColumn("target", F.least("cap", F.col("weight") * level)).select("source", "source_size", "docs", "target")
+    return out.withColumn("target", F.least("cap", F.col("weight") * level)).select("source", "rank", "source_size", "docs", "target")
 
 
-def balanced(sources: DataFrame, most: float = MOST_COPIES, steps: int = 40) -> DataFrame:
-    """targets() with `rate`: min(most, exp(multiplier)) after damped Newton steps on each source's dual, until all constraints hold."""
-    out = sources.withColumn("multiplier", F.lit(0.0))
-    while True:
+def moment_terms(n: int) -> list[tuple[int, int]]:
+    return [(j, k) for j in range(n) for k in range(j, n)]
 
-        def step(at: Column, _: Column) -> Column:
-            grown = F.col("source_size") * F.exp(at)  # the dual's second derivative; its first is grown - target
-            return at + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.col("target") - grown) / grown))
 
-        newton = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("multiplier"), step)
-        out = written(out.withColumn("multiplier", F.when(F.col("target") > 0, newton).otherwise(0.0)), "newton")
-        off = F.abs(F.col("source_size") * F.exp("multiplier") / F.col("target") - 1)
-        if (out.where(F.col("target") > 0).agg(F.max(off).alias("off")).first().off or 0.0) < TOLERANCE:
-            break
-    return out.withColumn("rate", F.when(F.col("target") > 0, F.least(F.lit(float(most)), F.exp("multiplier"))).otherwise(0.0))
+def evaluated(docs: DataFrame, state: DataFrame, beta: np.ndarray, most: float) -> DataFrame:
+    """The state of each source with its part of the dual value, gradient and Hessian, from one aggregate over the documents.
+
+    docs: place, size and x0, x1, ... of each document; state: place, target and multiplier of each source.
+    """
+    n = len(beta)
+    tilt = sum((F.col(f"x{k}") * float(b) for k, b in enumerate(beta)), F.lit(0.0))
+    rows = docs.join(state.select("place", "multiplier"), "place").withColumn("eta", F.col("multiplier") + tilt)
+    part = 1 / (1 + F.exp(-F.col("eta")))
+    rows = rows.withColumns({"tokens": F.col("size") * part * float(most), "bends": F.col("size") * part * (1 - part) * float(most)})
+    value = F.col("size") * float(most) * (F.greatest("eta", F.lit(0.0)) + F.log1p(F.exp(-F.abs("eta"))))
+    sums = [F.sum(value).alias("value"), F.sum("tokens").alias("tokens"), F.sum("bends").alias("bends")]
+    sums += [F.sum(F.col("tokens") * F.col(f"x{k}")).alias(f"m{k}") for k in range(n)]
+    sums += [F.sum(F.col("bends") * F.col(f"x{k}")).alias(f"b{k}") for k in range(n)]
+    sums += [F.sum(F.col("bends") * F.col(f"x{j}") * F.col(f"x{k}")).alias(f"h{j}_{k}") for j, k in moment_terms(n)]
+    return written(state.join(rows.groupBy("place").agg(*sums), "place"), "gradient")
+
+
+def totals(found: DataFrame, n: int) -> Row:
+    """The dual value, the largest miss of a target, and the moments' gradient and Hessian with the sources eliminated."""
+    off = F.col("tokens") - F.col("target")
+    per = lambda c: F.when(F.col("bends") > 0, c / F.col("bends")).otherwise(0.0)
+    sums = [F.sum(F.col("value") - F.col("multiplier") * F.col("target")).alias("value"), F.max(F.abs(off) / F.col("target")).alias("off")]
+    sums += [F.sum(f"m{k}").alias(f"m{k}") for k in range(n)] + [F.sum(per(F.col(f"b{k}") * off)).alias(f"r{k}") for k in range(n)]
+    sums += [F.sum(F.col(f"h{j}_{k}") - per(F.col(f"b{j}") * F.col(f"b{k}"))).alias(f"h{j}_{k}") for j, k in moment_terms(n)]
+    return found.agg(*sums).first()
+
+
+def moved(found: DataFrame, step: np.ndarray) -> DataFrame:
+    """found with `change`, the Newton step of each source's multiplier that goes with the moments' step."""
+    pull = F.col("tokens") - F.col("target") + sum((F.col(f"b{k}") * float(d) for k, d in enumerate(step)), F.lit(0.0))
+    return found.withColumn("change", F.when(F.col("bends") > 0, -pull / F.col("bends")).otherwise(0.0))
+
+
+def balanced(docs: DataFrame, sources: DataFrame, goals: Sequence[float], most: float, ridge: float = RIDGE) -> tuple[DataFrame, np.ndarray]:
+    """place and multiplier of the sources that have a target below the bound, and the moments' multipliers.
+
+    docs: place, size, x0, x1, ...; sources: place, source_size and target; goals: what each moment's sum is to be.
+    """
+    n, goals = len(goals), np.array(goals, float)
+    if n > MOST_MOMENTS:
+        raise ValueError(f"at most {MOST_MOMENTS} moments")
+    free = (F.col("target") > 0) & (F.col("target") < most * F.col("source_size") * (1 - 1e-9))
+    state = written(sources.where(free).select("place", "target", F.log(F.col("target") / (most * F.col("source_size") - F.col("target"))).alias("multiplier")), "state")
+    fixed = docs.join(sources.where(~free & (F.col("target") > 0)), "place").agg(*[F.coalesce(F.sum(F.col("size") * F.col(f"x{k}") * float(most)), F.lit(0.0)).alias(f"x{k}") for k in range(n)]).first() if n else ()
+    whole = state.agg(F.sum("target").alias("n")).first().n
+    beta = np.zeros(n)
+    if not whole:
+        return state, beta
+    base, hold = beta, ridge * whole
+    best, length, step, ahead = math.inf, 1.0, beta, None
+    for turn in range(2 * STEPS):
+        found = evaluated(docs, state, beta, most)
+        at = totals(found, n)
+        aim = goals - np.array(fixed)
+        value = at.value - beta @ aim + hold / 2 * beta @ beta
+        if value > best + 1e-12 * abs(best) and length > 1e-3:  # too far: half the way from where the step began
+            length /= 2
+        else:
+            gradient = np.array([at[f"m{k}"] for k in range(n)]) - aim + hold * beta
+            hessian = np.zeros((n, n))
+            for j, k in moment_terms(n):
+                hessian[j, k] = hessian[k, j] = at[f"h{j}_{k}"]
+            late = turn >= STEPS  # moments that can't be met: their multipliers stay, the sources' follow
+            if at.off < TOLERANCE and (late or np.abs(gradient).max(initial=0) < TOLERANCE * whole):
+                break
+            step = np.zeros(n) if late else -np.linalg.solve(hessian + hold * np.eye(n), gradient - np.array([at[f"r{k}"] for k in range(n)])) if n else step
+            if ahead is not None:
+                dropped(ahead)
+            best, base, ahead = value, beta, written(moved(found, step).select("place", "target", "multiplier", "change"), "direction")
+            length = min(1.0, LONGEST / max(ahead.agg(F.max(F.abs("change")).alias("n")).first().n, np.abs(step).max(initial=1e-9)))
+        dropped(found)
+        dropped(state)
+        beta = base + length * step
+        state = written(ahead.select("place", "target", (F.col("multiplier") + length * F.col("change")).alias("multiplier")), "state")
+    return state, beta
 
 
 def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Whole copies for the documents of a bucket: large ones first, each rounded so that the error so far is least."""
-    pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", ignore_index=True)
+    """Whole copies for the documents of a bucket: large ones first, each rounded so that the error so far, from `carried` on, is least."""
+    pdf = pdf.sort_values(["size", "doc_id", "rate"], ascending=[False, True, True], kind="stable", ignore_index=True)
     size, rate = pdf["size"].to_numpy(np.int64), pdf["rate"].to_numpy(float)
     low = np.floor(rate + 1e-9)
     part = np.clip(rate - low, 0, 1)
-    copies, error = low.astype(np.int64), 0.0
+    copies, error = low.astype(np.int64), float(pdf["carried"].iloc[0])
     for k in range(len(size)):
         error += part[k] * size[k]
         if part[k] > 1e-9 and error >= size[k] / 2:
             copies[k] += 1
             error -= size[k]
-    return pdf.assign(copies=copies).drop(columns="docs")
+    return pdf.assign(copies=copies).drop(columns=["bucket", "carried"])
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, bucket_rows: int = BUCKET_ROWS, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """keys (doc_id among them), source, size, source_size, target, rate and copies of each document."""
+def length_moment(sizes: DataFrame) -> tuple[Column, float]:
+    """The log of a document's words over its mean by tokens, whose sum is 0 in the corpus and should be in the mix."""
+    log = F.log1p("size")
+    mean = sizes.agg(F.try_divide(F.sum(F.col("size") * log), F.sum("size")).alias("mean")).first().mean
+    return log - float(mean or 0.0), 0.0
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, bucket_rows: int = BUCKET_ROWS, keys: Sequence[str] = ("doc_id",), moments: Sequence[tuple[Column, float]] | None = None, ridge: float = RIDGE) -> DataFrame:
+    """keys (doc_id among them), source, size, source_size, target, rate and copies of each document.
+
+    moments: numbers of a document, as columns over keys, source and size, and what their sums over the mix's tokens should come
+    near; if None, only that the mix keeps the corpus's mean log length by tokens, so that a source's new weight is not a
+    new weight of long documents.
+    """
     sizes = written(sized(kept_columns(docs, [*keys, "text", "source"]), keys), "sizes")
-    found = balanced(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), weights, share, most), most)
-    found = found.withColumnRenamed("source", "of")
-    rows = sizes.join(found, sizes["source"].eqNullSafe(found["of"])).drop("of", "multiplier")
-    bucket = F.pmod(F.xxhash64(*keys, "size"), F.ceil(F.col("docs") / float(bucket_rows)).cast("long")).alias("bucket")
-    kinds = ", ".join([f"`{n}` {t}" for n, t in rows.dtypes if n != "docs"] + ["copies long"])
-    return rows.groupBy("source", bucket).applyInPandas(rounded, kinds)
+    wanted = [length_moment(sizes)] if moments is None else list(moments)
+    sources = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), weights, share, most)
+    sources = written(sources.withColumnRenamed("source", "of").withColumnRenamed("rank", "place"), "targets")
+    rows = sizes.withColumns({f"x{k}": c.cast("double") for k, (c, _) in enumerate(wanted)})
+    rows = written(rows.join(sources, rows["source"].eqNullSafe(sources["of"])).drop("of"), "placed")
+    values = [f"x{k}" for k in range(len(wanted))]
+    state, beta = balanced(rows.where("size > 0").select("place", "size", *values), sources, [t for _, t in wanted], most, ridge)
+    tilt = sum((F.col(x) * float(b) for x, b in zip(values, beta, strict=True)), F.lit(0.0))
+    held = F.when(F.col("target") > 0, F.lit(float(most))).otherwise(0.0)  # not in state: it takes all it may, or nothing
+    rate = F.when(F.col("size") == 0, 0.0).when(F.col("multiplier").isNull(), held).otherwise(float(most) / (1 + F.exp(-F.col("multiplier") - tilt)))
+    rows = rows.join(state.select("place", "multiplier"), "place", "left").withColumn("rate", F.round(rate, 9)).drop("place", "multiplier", *values)
+    buckets = F.ceil(F.col("docs") / float(bucket_rows)).cast("long")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys, "size"), buckets)).drop("docs")
+    kinds = ", ".join([f"`{n}` {t}" for n, t in rows.dtypes if n != "bucket"] + ["copies long"])
+    rest = rows.where("bucket > 0").withColumn("carried", F.lit(0.0)).groupBy("source", "bucket").applyInPandas(rounded, kinds)
+    rest = written(rest, "rounded")
+    left = rest.groupBy(F.col("source").alias("of")).agg(F.sum(F.col("size") * (F.col("rate") - F.col("copies"))).alias("carried"))
+    first = rows.where("bucket = 0").join(left, F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumn("carried", F.coalesce("carried", F.lit(0.0)))
+    return rest.unionByName(first.groupBy("source", "bucket").applyInPandas(rounded, kinds))
 
 
 def copied(docs: DataFrame, **how: object) -> DataFrame:
-    """docs as the mix takes them: a row a copy, numbered from 1 in column copy.
+    """docs as the mix takes them: a row a copy, numbered from 1 in column copy; a column copy of its own is replaced.
 
     Rows equal in doc_id, text and source have the copies of as many documents dealt out among them.
     """
     names = [n for n in docs.columns if n != "copy"]
-    rows = docs.select(*[f"`{n}`" for n in names]).withColumn("_text", F.xxhash64("text"))
-    taken = mixed(rows, keys=("doc_id", "_text"), **how).groupBy(F.col("doc_id").alias("_doc"), F.col("_text").alias("_of"), F.col("source").alias("_source")).agg(F.collect_list("copies").alias("_each"))
-    taken = written(taken.where(F.exists("_each", lambda n: n > 0)), "taken")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("_text").eqNullSafe(F.col("_of")) & F.col("source").eqNullSafe(F.col("_source"))
-    one = rows.join(taken.where(F.size("_each") == 1), same).withColumn("_copies", F.col("_each")[0])
-    place = F.row_number().over(Window.partitionBy("_doc", "_of", "_source").orderBy(F.lit(1)))
-    more = rows.join(taken.where(F.size("_each") > 1), same).withColumn("_copies", F.element_at("_each", place)).where("_copies > 0")
-    return one.unionByName(more).select(*[f"`{n}`" for n in names], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
+    # the row is one column, so that its names meet none of those used here
+    rows = docs.select(F.struct(*[f"`{n}`" for n in names]).alias("row"), "doc_id", "text", "source").withColumn("hash", F.xxhash64("text"))
+    taken = mixed(rows, keys=("doc_id", "hash"), **how).groupBy(F.col("doc_id").alias("id"), F.col("hash").alias("of"), F.col("source").alias("from")).agg(F.collect_list("copies").alias("each"))
+    taken = written(taken.where(F.exists("each", lambda n: n > 0)), "taken")
+    rows = rows.drop("text")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("hash").eqNullSafe(F.col("of")) & F.col("source").eqNullSafe(F.col("from"))
+    one = rows.join(taken.where(F.size("each") == 1), same).withColumn("copies", F.col("each")[0])
+    place = F.row_number().over(Window.partitionBy("id", "of", "from").orderBy(F.lit(1)))
+    more = rows.join(taken.where(F.size("each") > 1), same).withColumn("copies", F.element_at("each", place)).where("copies > 0")
+    return one.unionByName(more).select(*[F.col(f"row.`{n}`").alias(n) for n in names], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,43 @@ def test_near_duplicates_are_verified(spark):
     assert pairs == [(a, b) for a in range(9) for b in range(a + 1, 9) if len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b]))]
 
 
+def test_recall_of_near_duplicates(spark):
+    """Edited copies of a few texts, against all pairs: links are exact, and at least 0.95 of the groups' links are found."""
+    rng = __import__("random").Random(12)
+    rows = []
+    for g in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        for _ in range(8):
+            t = list(base)
+            for _ in range(rng.randint(0, max(1, len(t) // 60))):
+                t[rng.randrange(len(t))] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(t), "en", "a", 1))
+    rows += [(1000 + k, rows[3][1], "en", "a", 1) for k in range(50)]
+    sets = {r[0]: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for r in rows for w in [r[1].split()]}
+    group = {k: k for k in sets}
+
+    def root(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for a, b in pairs:
+        group[max(root(a), root(b))] = min(root(a), root(b))
+    found = {r.node: r.root for r in simhash.named(frame(spark, rows)).select("node", "root").collect()}
+    nodes = {r.doc_id: found.get(r.node, r.node) for r in frame(spark, rows).select("doc_id", F.xxhash64("text").alias("node")).collect()}
+    assert all(root(a) == root(b) for a in nodes for b in nodes if nodes[a] == nodes[b])
+    assert sum(nodes[a] == nodes[b] for a, b in pairs) >= 0.95 * len(pairs) and len(pairs) > 300
+
+
+def test_profiles_hold_min_hashes(spark):
+    h, first = words.shingle_sets(np.frombuffer(b"a b c d e f\n g  A B C Da b", np.uint8), np.array([0, 14, 14, 23, 26]), 3)
+    assert np.diff(first).tolist() == [5, 0, 2, 1] and h[first[2]] in h[:5]
+    least = simhash.min_hashes(h, first, 4, 1)
+    assert (least[1] == np.iinfo(np.uint64).max).all() and len(set(least[0])) == 4
+    assert (least[3] == simhash.min_hashes(h[-1:], np.array([0, 1]), 4, 1)[0]).all()
+
+
 def test_near_duplicates_leave_one_of_each_group(spark):
     rng = __import__("random").Random(6)
     one, two, three = (prose(rng, 60) for _ in range(3))
@@ -205,6 +242,53 @@ def test_mixing(spark):
     assert mixing.mixed(frame(spark, [(1, None, None, None, 0), (2, "", "en", "a", 0)])).where("copies is null").count() == 0
 
 
+def test_mixing_with_overlapping_constraints(spark):
+    """Sources and languages at once, held against the conditions of the optimum."""
+    rng = np.random.default_rng(8)
+    sources, langs, sizes = rng.choice(["a", "b", "c", "d"], 900, p=[0.5, 0.3, 0.15, 0.05]), rng.choice(["en", "de", "fr"], 900), rng.integers(1, 200, 900)
+    rows = [(k, "w " * int(n), str(g), str(s), 0) for k, (n, g, s) in enumerate(zip(sizes, langs, sources, strict=True))]
+    docs, total = frame(spark, rows), int(sizes.sum())
+    goals = {"en": 0.36 * 1.5 * total, "de": 0.30 * 1.5 * total}
+    moments = [(F.when(F.col("lang") == g, 1.0).otherwise(0.0), t) for g, t in goals.items()]
+    out = mixing.mixed(docs, keys=("doc_id", "lang"), moments=moments, ridge=1e-6, bucket_rows=64).toPandas().sort_values("doc_id")
+    size, rate, target = out["size"].to_numpy(), out["rate"].to_numpy(), out.groupby("source")["target"].first()
+    for s, t in target.items():
+        own = (out["source"] == s).to_numpy()
+        assert abs((size * rate)[own].sum() / t - 1) < 1e-5
+        assert abs((size * out["copies"].to_numpy())[own].sum() - t) <= 200 * (own.sum() // 64 + 1)
+    for g, t in goals.items():
+        assert abs((size * rate)[(out["lang"] == g).to_numpy()].sum() / t - 1) < 1e-3
+    assert rate.max() <= 2 and len(np.unique(np.round(rate, 6))) > 6
+    # the optimum: log(rate / (2 - rate)) is a source's multiplier plus a language's, but where a source is at its bound
+    cell = out[out["rate"] < 2 - 1e-6].groupby(["source", "lang"])["rate"].first().unstack().map(lambda r: np.log(r / (2 - r)))
+    assert np.nanmax(np.abs((cell["en"] - cell["fr"]) - (cell["en"] - cell["fr"]).mean())) < 1e-4
+    assert sorted(out["rate"]) == sorted(mixing.mixed(docs, keys=("doc_id", "lang"), moments=moments, ridge=1e-6, bucket_rows=64).toPandas()["rate"])
+
+
+def test_mixing_keeps_the_mean_length(spark):
+    rng = np.random.default_rng(9)
+    sources = rng.choice(["a", "b", "c"], 600, p=[0.2, 0.5, 0.3])
+    sizes = np.where(sources == "a", rng.integers(100, 900, 600), rng.integers(1, 300, 600))
+    rows = [(k, "w " * int(n), "en", str(s), 0) for k, (n, s) in enumerate(zip(sizes, sources, strict=True))]
+    mean = lambda t, n: (t * np.log1p(n)).sum() / t.sum()
+    corpus = mean(sizes, sizes)
+    plain, kept = (mixing.mixed(frame(spark, rows), moments=m).toPandas() for m in ([], None))
+    off = [abs(mean(p["size"] * p["rate"], p["size"]) - corpus) for p in (plain, kept)]
+    assert off[1] < 0.5 * off[0], off  # the bound on rates leaves no more
+    for p in (plain, kept):
+        assert np.allclose((p["size"] * p["rate"]).groupby(p["source"]).sum(), p.groupby("source")["target"].first(), rtol=1e-5)
+
+
+def test_copies_of_clashing_columns(spark):
+    rows = [(k, f"word {k} " * 9, "en", f"s{k % 2}", 1) for k in range(8)]
+    docs = frame(spark, rows)
+    for name in ("row", "hash", "id", "of", "from", "each", "copies", "place", "copy"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    out = mixing.copied(docs)
+    assert out.columns == [*[c for c in docs.columns if c != "copy"], "copy"]
+    assert {r.hash for r in out.collect()} == {"mine"} and out.count() == mixing.copied(frame(spark, rows)).count()
+
+
 def test_copies_of_repeated_rows(spark):
     rng = __import__("random").Random(14)
     rows = [(k, prose(rng, 30), "en", f"s{k % 2}", 1) for k in range(40)]
