@@ -459,6 +459,54 @@ def test_passages_are_removed_whole(spark):
     assert len(left.split()) == 8  # the first place stays
 
 
+def test_recall_of_paragraphs(spark):
+    """Edited lines among unlike ones, against all pairs of lines: at least 0.95 of those of similarity 0.8 are removed but for one."""
+    rng = __import__("random").Random(21)
+    unlike = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows, lines = [], []
+    for k in range(60):
+        base = unlike(rng.randint(40, 120))
+        for _ in range(3):
+            edited = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 50))):
+                edited[rng.randrange(len(edited))] = f"x{rng.random()}"
+            lines.append((f"d{len(rows):04d}", " ".join(edited)))
+            rows.append((lines[-1][0], " ".join(unlike(25)) + "\n" + lines[-1][1] + "\n" + " ".join(unlike(30))))
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in lines)]
+    group = list(range(len(sets)))
+    for a, b in [(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]:
+        group = [group[a] if g == group[b] else g for g in group]
+    want = {k for k in range(len(sets)) if group.index(group[k]) < k}
+    out = {r.doc_id: r for r in paragraphs.deduplicated(docs).collect()}
+    text = dict(rows)
+    gone = {k for k, (d, t) in enumerate(lines) if any(text[d][s.start : s.end] == t for s in out[d].spans or [])}
+    assert len(gone & want) >= 0.95 * len(want) and len(want) > 60
+    assert gone <= want
+    for k, t in rows:  # the unlike lines stay
+        left = t
+        for s in reversed(out[k].spans or []):
+            left = left[: s.start] + left[s.end :]
+        assert t.split("\n")[0] in left and t.split("\n")[2] in left
+
+
+def test_runs_stop_where_texts_differ(spark):
+    """Shared runs with an unlike word here and there, each in two documents, are removed up to it."""
+    rng = __import__("random").Random(22)
+    unlike = lambda n: [f"w{rng.random()}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(40):
+        parts = [unlike(rng.randint(20, 45)) for _ in range(3)]
+        one = sum(([f"a{k}{j}", *p] for j, p in enumerate(parts)), unlike(20))
+        two = sum(([f"b{k}{j}", *p] for j, p in enumerate(parts)), unlike(12)) + unlike(3)
+        rows += [(2 * k, " ".join(one), "en", "a", 1), (2 * k + 1, " ".join(two), "en", "a", 1)]
+        want |= {2 * k: [], 2 * k + 1: [" ".join(p) for p in parts]}
+    out = {r.doc_id: r for r in paragraphs.deduplicated(frame(spark, rows)).collect()}
+    texts = {r[0]: r[1] for r in rows}
+    assert {k: [texts[k][s.start : s.end] for s in out[k].spans or []] for k in want} == want
+    assert all(out[k].n_shared == 3 for k in want)
+
+
 def test_short_lines_take_part(spark):
     rng = __import__("random").Random(13)
     unlike = lambda n: [f"w{rng.random()}" for _ in range(n)]
