@@ -46,9 +46,28 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def dropped(df: DataFrame) -> None:
     """Removes the files behind a written() table that nothing reads any more."""
     if at := getattr(df, "_glyphmill_path", None):
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed(df.sparkSession, at)
+
+
+def removed(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key is salted if it has more than one of so many rows, so there are at most so many such keys.
+HOT_SHARE, SALTS = 1000, 64
+
+
+def matched(rows: DataFrame, keyed: DataFrame, on: list[str], by: str, how: str = "left") -> DataFrame:
+    """rows joined with keyed, which has one row for each key `on` and its number of rows in column times; times is dropped.
+
+    The rows of a key that more than 1 / HOT_SHARE of all rows have are dealt out by a hash of column `by` into SALTS parts.
+    """
+    hot = F.col("times") * HOT_SHARE > F.lit(keyed.agg(F.sum("times").alias("n")).first().n or 0)
+    salted = keyed.select(*on, *[c for c in keyed.columns if c not in (*on, "times")], F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    few = F.broadcast(keyed.where(hot).select(*on, F.lit(True).alias("salted")))  # HOT_SHARE rows at most, as they have 1 / HOT_SHARE of all each
+    dealt = rows.join(few, on, "left").withColumn("salt", F.when(F.col("salted"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("salted")
+    return dealt.join(salted, [*on, "salt"], how).drop("salt")
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -1,13 +1,17 @@
 """WARC archives: writing with revisits, segments and chunked framing; reading with segment reassembly.
 
 Records are gzip members. A response whose block is longer than `segment_bytes` becomes a first record and continuation
-records. Reading shuffles only continuation parts by their origin's record id, orders them by segment number, verifies
-the total length and decodes the chunked transfer framing, a record at a time. An archive is named after its task
-attempt, so a task that runs again writes files of its own.
+records. Each task writes the records of its pages, as responses, to a draft, once for each payload and lesser page_id; only narrow rows (page_id,
+url, digest, place in the draft) are shuffled. They tell which page is the response; its bytes are copied from
+the draft by range reads, and all others become revisit records, so no payload crosses the network by its digest. Reading
+shuffles continuation parts by their origin's record id, orders them by segment number, verifies the total length and
+decodes the chunked transfer framing, a record at a time. An archive is named after its task attempt, so a task that runs
+again writes files of its own, and begins with a warcinfo record.
 
 A null payload is empty. Among equal payloads the smallest page_id is the response, null only if all are null; rows that
 repeat it are responses too. A record that can't be reassembled keeps its row, with `problem` saying why. An empty
-table writes nothing and gives no rows; other columns are not read.
+table writes nothing and gives no rows; other columns are not read. A very long payload is one record, held a few times over in
+one task. Records of other types than response, revisit and continuation give no row.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, kept_columns, scratch, table, utf8, written
+from .common import dropped, filesystem, kept_columns, matched, removed, scratch, slices, table, utf8, written
 
-SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES, READ_BYTES = 32 << 10, 4 << 10, 128 << 20, 32 << 10
+SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES, READ_BYTES, TASK_BYTES = 32 << 10, 4 << 10, 128 << 20, 32 << 10, 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 PARTS = "origin string, number int, total long, kind string, page_id long, refers_to long, digest string, payload_bytes long, block binary, problem string"
@@ -70,55 +74,132 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return gzip.compress(f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n", 6, mtime=0)
 
 
-def records(page_id: object, url: str | None, data: bytes, refers_to: object, revisit: bool, name: str, segment_bytes: int, chunk_bytes: int = CHUNK_BYTES) -> Iterator[bytes]:
+def record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def target(url: str | None) -> str | None:
+    return None if url is None else quote(url, safe="%/:?#[]@!$&'()*+,;=~")
+
+
+def response(page_id: object, url: str | None, data: bytes, name: str, segment_bytes: int, chunk_bytes: int = CHUNK_BYTES) -> Iterator[bytes]:
     """The record of a page, or its segments. `name` tells apart records that are otherwise alike."""
-    own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
-    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", None if url is None else quote(url, safe="%/:?#[]@!$&'()*+,;=~")), ("WARC-Payload-Digest", f"sha1:{base32(data)}"), ("Page-ID", page_id)]
-    kind = [("Content-Type", "application/http; msgtype=response")]
-    if revisit:
-        profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield record([*fields, ("WARC-Profile", profile), ("Refers-To-Page-ID", refers_to), *kind], HTTP)
-        return
+    own, kind = record_id(name), ("Content-Type", "application/http; msgtype=response")
+    fields = [("WARC-Type", "response"), ("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", target(url)), ("WARC-Payload-Digest", f"sha1:{base32(data)}"), ("Page-ID", page_id)]
     block = HTTP + chunked(data, chunk_bytes)
     parts = [block[k : k + segment_bytes] for k in range(0, len(block), segment_bytes)]
     if len(parts) == 1:
-        yield record([*fields, *kind], block)
+        yield record([*fields, kind], block)
         return
-    yield record([*fields, ("WARC-Segment-Number", 1), *kind], parts[0])
+    yield record([*fields, ("WARC-Segment-Number", 1), kind], parts[0])
     for k, part in enumerate(parts[1:], 2):
         total = ("WARC-Segment-Total-Length", len(block) if k == len(parts) else None)
-        again = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}/{k}')}>"
-        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", again), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k), total], part)
+        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(f"{name}/{k}")), ("WARC-Date", DATE), ("WARC-Target-URI", target(url)), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k), total], part)
+
+
+def revisit(page_id: object, url: str | None, digest: str, name: str, refers_to: object, refers_to_id: str) -> bytes:
+    """The record of a page whose payload is that of another's response."""
+    profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+    fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(name)), ("WARC-Date", DATE), ("WARC-Target-URI", target(url)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Page-ID", page_id)]
+    return record([*fields, ("WARC-Profile", profile), ("WARC-Refers-To", refers_to_id), ("Refers-To-Page-ID", refers_to), ("Content-Type", "application/http; msgtype=response")], HTTP)
+
+
+class Archives:
+    """The files that a task attempt writes, each of about `most` bytes."""
+
+    def __init__(self, folder: str, kind: str, suffix: str, most: int, info: bool):
+        self.fs, self.at = filesystem(folder)
+        self.folder, self.suffix, self.most, self.info = folder, suffix, most, info
+        task = TaskContext.get()
+        self.stem = f"{kind}-{task.partitionId():06d}-{task.taskAttemptId()}" if task else kind
+        self.names, self.out, self.size = [], None, 0
+
+    def put(self, data: bytes) -> tuple[str, int]:
+        """The file that data went to, and where."""
+        if self.out is None or self.size >= self.most:
+            self.close()
+            self.fs.create_dir(self.at, recursive=True)
+            name = f"{self.stem}-{len(self.names):04d}{self.suffix}"
+            self.names.append(f"{self.folder}/{name}")
+            self.out, self.size = self.fs.open_output_stream(f"{self.at}/{name}", compression=None), 0
+            if self.info:
+                self.put(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(f"{name}/info")), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
+        place = self.names[-1], self.size
+        self.out.write(data)
+        self.size += len(data)
+        return place
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.out = None
+
+
+def drafted(pages: DataFrame, folder: str, segment_bytes: int, archive_bytes: int) -> DataFrame:
+    """page_id, url, digest and name (what its record's id is made of) of each page, and draft, offset and length of its
+    response record, of length 0 if the task has one of a lesser page_id for its payload."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, least, row = Archives(folder, "draft", ".gz", archive_bytes, False), {}, 0
+        for batch in batches:
+            for part in slices(batch, "html"):
+                out = []
+                for page_id, url, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), utf8(part.column(2)), strict=True):
+                    data, name = html.as_py(), f"{files.stem}/{row}"
+                    digest, order, row = base32(data), (page_id is None, page_id), row + 1
+                    held = least.get(digest)
+                    if held is None or order <= held:
+                        least[digest] = order
+                        at, size = files.put(b""), 0
+                        for x in response(page_id, url, data, name, segment_bytes):
+                            files.out.write(x)
+                            size += len(x)
+                        files.size += size
+                        out.append((page_id, url, digest, name, *at, size))
+                    else:
+                        out.append((page_id, url, digest, name, files.names[-1], files.size, 0))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), 1))], names=["page_id", "url", "digest", "name", "draft", "offset", "length"])
+        files.close()
+
+    kind = dict(pages.dtypes)["page_id"]
+    return kept_columns(pages, ["page_id", "url", "html"]).mapInArrow(write, f"page_id {kind}, url string, digest string, name string, draft string, offset long, length long")
 
 
 def archived(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html) as archives to folder and returns their paths."""
-    rows = kept_columns(pages, ["page_id", "url", "html"]).withColumn("page_id", F.col("page_id").cast("long")).withColumn("digest", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
-    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
-    rows = rows.join(firsts, "digest", "left").select("page_id", "url", "html", "first")
+    spark, drafts = pages.sparkSession, scratch(pages.sparkSession, "drafts")
+    rows = written(drafted(pages, drafts, segment_bytes, archive_bytes), "drafted")
+    order = F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "name")
+    firsts = written(rows.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("times")).select("digest", F.col("first.page_id").alias("first"), F.col("first.name").alias("to"), "times"), "firsts")
+    known = firsts.withColumn("again", F.col("times") > 1)
+    plan = written(matched(rows, known.where("again").drop("again"), ["digest"], "name").withColumn("response", F.col("to").isNull() | F.col("page_id").eqNullSafe(F.col("first"))), "plan")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = filesystem(folder)
-        task = TaskContext.get()
-        stem = f"part-{task.partitionId():06d}-{task.taskAttemptId()}" if task else "part"
-        out, size, names, row = None, 0, [], 0
+        files, held, file = Archives(folder, "part", ".warc.gz", archive_bytes, True), None, None
         for batch in batches:
-            for page_id, url, html, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                for data in records(page_id, url, html.as_py(), first, page_id != first, f"{stem}/{row}", segment_bytes):
-                    if out is None or size >= archive_bytes:
-                        if out is not None:
-                            out.close()
-                        fs.create_dir(at, recursive=True)
-                        names.append(f"{folder}/{stem}-{len(names):04d}.warc.gz")
-                        out, size = fs.open_output_stream(f"{at}/{names[-1].rpartition('/')[2]}", compression=None), 0
-                    out.write(data)
-                    size += len(data)
-                row += 1
-        if out is not None:
-            out.close()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["path"])
-
-    return written(rows.mapInArrow(write, "path string"), "archives")
+            for page_id, url, digest, name, draft, offset, length, first, to, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not whole:
+                    files.put(revisit(page_id, url, digest, name, first, record_id(to)))
+                    continue
+                if draft != held:
+                    if file is not None:
+                        file.close()
+                    fs, at = filesystem(draft)
+                    held, file = draft, fs.open_input_file(at)
+                files.put(file.read_at(length, offset))
+        if file is not None:
+            file.close()
+        files.close()
+        yield pa.RecordBatch.from_arrays([pa.array(files.names, pa.string())], names=["path"])
+
+    work = plan.agg(F.sum(F.when(F.col("response"), F.col("length")).otherwise(256)).alias("n")).first().n or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-work // TASK_BYTES))
+    near = plan.repartitionByRange(tasks, "draft", "offset", "name").sortWithinPartitions("draft", "offset")
+    out = written(near.select("page_id", "url", "digest", "name", "draft", "offset", "length", "first", "to", "response").mapInArrow(write, "path string"), "archives")
+    for x in (rows, firsts, plan):
+        dropped(x)
+    removed(spark, drafts)
+    return out
 
 
 def members(file) -> Iterator[bytes]:
@@ -166,6 +247,8 @@ def parts(paths: DataFrame) -> DataFrame:
                 rows, held = [], 0
                 with fs.open_input_stream(at, compression=None) as file:
                     for fields, block in map(parsed, members(file)):
+                        if fields["warc-type"] not in ("response", "revisit", "continuation"):
+                            continue
                         number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
                         digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
                         origin, kind = fields.get("warc-segment-origin-id", fields["warc-record-id"]), fields["warc-type"]
@@ -224,9 +307,11 @@ def reassembled(rows: DataFrame) -> DataFrame:
 def read_back(paths: DataFrame) -> DataFrame:
     """reassembled() records of the archives, with revisits given the length of the payload that they refer to."""
     rows = written(parts(paths), "parts")
-    out = written(reassembled(rows), "records")
-    sizes = out.where("kind = 'response'").groupBy("digest").agg(F.min("payload_bytes").alias("size"))
-    return out.join(sizes, "digest", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "size")).drop("size")
+    out = written(reassembled(rows).withColumn("row", F.monotonically_increasing_id()), "records")
+    dropped(rows)
+    sizes = out.groupBy("digest").agg(F.min(F.when(F.col("kind") == "response", F.col("payload_bytes"))).alias("size"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    found = matched(out, written(sizes, "sizes"), ["digest"], "row")
+    return found.withColumn("payload_bytes", F.coalesce("payload_bytes", "size")).select("page_id", "kind", "refers_to", "digest", "payload_bytes", "problem")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
