@@ -5,11 +5,12 @@ shingles. Shingles are ordered by rarity in the corpus. A document that contains
 shingles must hold one of the first n - ceil(containment * n) + 1 of them; only those are looked up. Each hit places
 the window in the document: windows that would reach outside of it go, the others are verified by exact words.
 
-The benchmark is cut into index blocks of at most `block_bytes` of text, files in the shared folder; a task holds one at a
-time, so a benchmark of any size is handled and nothing is broadcast. Documents are read twice (rarity, join), and
-never shuffled.
+The benchmark is cut into index blocks of about `block_bytes` of text, files in the shared folder, made in parallel; a task
+holds one at a time, for HELD_BYTES of documents, so a benchmark of any size is handled and nothing is broadcast. Documents
+are read twice (rarity, join), and never shuffled.
 
-A null or empty text has no words; an item without words has no window. Items are told apart by item_id; repeated rows
+A null or empty text has no words; an item without words has no window. Items are told apart by item_id, a
+null one being named ""; repeated rows
 are documents of their own; an empty benchmark hits nothing; other columns are not read.
 """
 
@@ -26,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, joined, kept_columns, scratch, slices, table, utf8, written
+from .common import filesystem, joined, kept_columns, lengths, scratch, slices, table, utf8, written
 from .words import ALNUM, LOWER, Lookup, Words, repeats
 
-WINDOW, SHINGLE, BLOCK_BYTES = 10, 3, 8 << 20
+WINDOW, SHINGLE, BLOCK_BYTES, HELD_BYTES = 10, 3, 8 << 20, 64 << 20
 
 
 def save(uri: str, **arrays: np.ndarray) -> None:
@@ -80,42 +81,43 @@ def indexed(bench: DataFrame, folder: str, window: int = WINDOW, shingle: int =
                 save(names[-1], **window_table(items, [x.as_py() for x in utf8(part.column(1))], window, shingle))
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["path"])
 
-    # few blocks, each as full as it may be: a scan's small partitions are put together, never split
-    return written(kept_columns(bench, ["item_id", "text"]).coalesce(1).mapInArrow(build, "path string"), "blocks")
+    bench = kept_columns(bench, ["item_id", "text"])
+    work = bench.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    return written(bench.repartition(max(1, -(-work // block_bytes))).mapInArrow(build, "path string"), "blocks")  # a task for each block
 
 
-class Blocks:
-    """Index blocks by path, one of them in memory at a time."""
-
-    def __init__(self, paths: list[str]):
-        self.paths, self.at, self.held = paths, None, None
-
-    def __iter__(self) -> Iterator[tuple[str, dict]]:
-        for path in self.paths:
-            if self.at != path:
-                self.at, self.held = path, load(path)
-            yield path, self.held
+def together(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of batches, as many at once as hold `most` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch):
+            held.append(part)
+            size += int(lengths(utf8(part.column(column))).sum())
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def rarity(docs: DataFrame, paths: list[str]) -> DataFrame:
     """path, value and n: how often each item shingle occurs in all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, totals, tables = Blocks(paths), {}, {}
-        for batch in batches:
-            for part in slices(batch):
-                raw, off = joined(utf8(part.column(0)))
-                w = Words(LOWER[raw], off)
-                made: dict[int, np.ndarray] = {}
-                for path, block in blocks:
-                    if path not in tables:  # another block's counts go out before this one's begin
-                        yield from flushed(tables, totals)
-                        tables[path] = {k: Lookup(np.unique(block["value"][block["width"] == k])) for k in np.unique(block["width"]).tolist()}
+        tables: dict[str, dict[int, Lookup]] = {}
+        totals: dict[tuple[str, int], np.ndarray] = {}
+        for parts in together(batches, 0, most):
+            for path in paths:  # one block in memory at a time
+                if path not in tables:
+                    yield from flushed(tables, totals)
+                    block = load(path)
+                    tables[path] = {k: Lookup(np.unique(block["value"][block["width"] == k])) for k in np.unique(block["width"]).tolist()}
+                for part in parts:
+                    raw, off = joined(utf8(part.column(0)))
+                    w = Words(LOWER[raw], off)
                     for k, find in tables[path].items():
-                        if k not in made:
-                            made[k] = w.shingles(k)[0]
                         seen = totals.setdefault((path, k), np.zeros(len(find.keys), np.int64))
-                        seen += np.bincount(find(made[k])[1], minlength=len(find.keys))
+                        seen += np.bincount(find(w.shingles(k)[0])[1], minlength=len(find.keys))
         yield from flushed(tables, totals)
 
     def flushed(tables: dict, totals: dict) -> Iterator[pa.RecordBatch]:
@@ -128,6 +130,7 @@ def rarity(docs: DataFrame, paths: list[str]) -> DataFrame:
     def counted(path: str, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([path] * len(n), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["path", "value", "n"])
 
+    most = HELD_BYTES if len(paths) > 1 else 0
     return docs.select("text").mapInArrow(count, "path string, value long, n long").groupBy("path", "value").agg(F.sum("n").alias("n"))
 
 
@@ -228,23 +231,31 @@ def marked(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shingle: int
     place = names.index("text")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, index = Blocks(paths), {}
-        for batch in batches:
-            for part in slices(batch):
-                raw, off = joined(utf8(part.column(place)))
-                w = Words(LOWER[raw], off)
-                edge = np.zeros(len(w) + 1, np.int64)
-                items: list[set[bytes]] = [set() for _ in range(part.num_rows)]
-                for path, block in blocks:
-                    if path not in index:
-                        index = {path: Index(block)}
-                    start, size, found = index[path].hits(w)
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + size, -1)
-                    for text, item in zip(w.text[start].tolist(), block["item"][found].tolist(), strict=True):
-                        items[text].add(item)
-                total = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-                new = [pa.array(np.diff(w.first)), pa.array(np.diff(total[w.first])), pa.array([sorted(x.decode() for x in s) for s in items], pa.list_(pa.string()))]
+        index: dict[str, Index] = {}
+        for parts in together(batches, place, HELD_BYTES if len(paths) > 1 else 0):
+            covered: list[np.ndarray | None] = [None] * len(parts)
+            items: list[list[set[bytes]]] = [[set() for _ in range(part.num_rows)] for part in parts]
+            first: list[np.ndarray] = [np.zeros(0)] * len(parts)
+            for path in paths or [None]:  # one block in memory at a time
+                if path is not None and path not in index:
+                    index.clear()
+                    index[path] = Index(load(path))
+                for k, part in enumerate(parts):
+                    raw, off = joined(utf8(part.column(place)))
+                    w = Words(LOWER[raw], off)
+                    first[k] = w.first
+                    edge = np.zeros(len(w) + 1, np.int64)
+                    if path is not None:
+                        start, size, found = index[path].hits(w)
+                        np.add.at(edge, start, 1)
+                        np.add.at(edge, start + size, -1)
+                        for text, item in zip(w.text[start].tolist(), index[path].b["item"][found].tolist(), strict=True):
+                            items[k][text].add(item)
+                    hit = np.packbits(np.cumsum(edge[:-1]) > 0)
+                    covered[k] = hit if covered[k] is None else covered[k] | hit
+            for part, hit, own, start in zip(parts, covered, items, first, strict=True):
+                total = np.concatenate([[0], np.cumsum(np.unpackbits(hit, count=int(start[-1])), dtype=np.int64)])
+                new = [pa.array(np.diff(start)), pa.array(np.diff(total[start])), pa.array([sorted(x.decode() for x in s) for s in own], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*names, "n_words", "n_hit", "items"])
 
     kinds = ", ".join([f"`{n}` {t}" for n, t in docs.select(*[f"`{n}`" for n in names]).dtypes] + ["n_words long", "n_hit long", "items array<string>"])

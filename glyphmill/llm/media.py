@@ -1,7 +1,8 @@
 """Media columns: payloads in tar shards, addressed by content; rows carry digest, offset and length.
 
 Each write task packs its payloads into shards below a shared folder, as grey 8-bit PNG images 64 samples wide, once
-for each digest and shard; the index then takes one place a digest, the least. A shard is named after its task attempt,
+for each digest and shard; the index then takes one place a digest, the least, and all rows of the digest name it. (Copies of a
+payload that other tasks have written are not named by any row; finding them before they are written would mean to shuffle texts.) A shard is named after its task attempt,
 so a task that runs again writes files of its own, and rows only name files of tasks that were committed. Texts never
 cross the network: only index rows are shuffled. Metadata columns come from range reads of the PNG header alone.
 
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, kept_columns, scratch, table, utf8, written
+from .common import filesystem, kept_columns, matched, scratch, table, utf8, written
 
 WIDTH, SHARD_BYTES, HEADER_BYTES, TASK_BYTES = 64, 256 << 20, 33, 8 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -131,8 +132,8 @@ def stored(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> Data
 
 
 def places(rows: DataFrame) -> DataFrame:
-    """One place for each digest, the least of those written: digest, shard, offset, length; ordered for reading in runs."""
-    one = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    """One place for each digest, the least of those written: digest, shard, offset, length and times (its rows); ordered for reading in runs."""
+    one = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"), F.count(F.lit(1)).alias("times")).select("digest", "at.*", "times")
     one = written(one, "places")
     work = one.agg(F.sum("length").alias("n")).first().n or 0
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(work / TASK_BYTES))
@@ -193,8 +194,14 @@ def measured(at: DataFrame) -> DataFrame:
     return extended(at, kinds, make)
 
 
+def media_columns(docs: DataFrame, folder: str) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, digest and the place of each document's payload (shard, offset, length), with what header
+    reads and whole reads of that place give."""
+    rows = written(stored(docs, folder), "media")
+    found = written(measured(described(places(rows))), "measured")
+    return matched(rows.select("doc_id", "n_bytes", "payload_bytes", "digest"), found, ["digest"], "doc_id")
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(stored(table(spark, sf_dir, "documents"), scratch(spark, "shards")), "media")
-    found = measured(described(places(rows)))
-    out = rows.select("doc_id", "n_bytes", "payload_bytes", "digest").join(found, "digest")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    out = media_columns(table(spark, sf_dir, "documents"), scratch(spark, "shards")).withColumn("shard", F.element_at(F.split("shard", "/"), -1))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset", "length")

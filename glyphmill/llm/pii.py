@@ -4,7 +4,8 @@ Numbers and dates that pass their format's own check, and e-mail addresses, are
 their format, so that they stay valid, and equal values get equal pseudonyms in every document: payment cards (Luhn),
 IBANs (mod 97), IPv4 addresses, phone numbers with country code or brackets, US social security numbers, ISO, dotted
 and slashed dates, and the local part of e-mail addresses. No value is left as it was: the permutation is a keyed
-Feistel network around a step by one. With the key, restored() undoes it.
+Feistel network around a step by one. With the key, restored() undoes it. All forms of a date get one new date, and phone
+numbers differ by country code, number of digits and digits only, not by how they are written.
 
 A null text stays null, an empty one empty; repeated rows are treated alike; other columns stay as they are, but for
 n_<kind> columns, which are replaced.
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-KEY, ROUNDS = b"replace this key in production", 10
+#: For op6_pii and where the session names no other key. It is public: with it anyone can undo the pseudonyms.
+DEMONSTRATION_KEY, KEY_SETTING, ROUNDS = b"replace this key in production", "spark.glyphmill.pii.key", 10
 KINDS = ("card", "iban", "ip", "phone", "ssn", "date", "email")
 FOUND = re.compile(
     r"""(?<![\w.+-])(?P<date>\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?![\w/-]|\.\d)
@@ -54,12 +56,14 @@ class Permutation:
     def __init__(self, key: bytes):
         self.key, self.back, self.late = key, False, None
 
-    def late_days(self) -> tuple[list[int], dict[int, int]]:
-        """Ordinals of the days after the 12th of their month, which only month/day order can write, and their places."""
+    def days(self, late: bool) -> tuple[list[int], dict[int, int]]:
+        """Ordinals of the days after the 12th of their month, which month/day order can write too, or of the others, and their places."""
         if self.late is None:
-            days = [n for n in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(n).day > 12]
-            self.late = days, {n: k for k, n in enumerate(days)}
-        return self.late
+            both: tuple[list[int], list[int]] = [], []
+            for n in range(FIRST_DAY, LAST_DAY + 1):
+                both[datetime.date.fromordinal(n).day > 12].append(n)
+            self.late = [(days, {n: k for k, n in enumerate(days)}) for days in both]
+        return self.late[late]
 
     def round(self, name: str, n: int, step: int, value: int) -> int:
         return int.from_bytes(hashlib.blake2b(f"{name}/{n}/{step}/{value}".encode(), key=hashlib.sha256(self.key).digest(), digest_size=32).digest(), "big")
@@ -177,7 +181,8 @@ def phone(text: str, p: Permutation) -> str | None:
     code = re.match(r"\+(\d{1,3})(?=\D)|\+(1(?=\d{10}$)|\d\d)|", re.sub(r"(?<=\d)[.-](?=\d)", " ", text))
     kept = (code[1] or code[2] or "") if code else ""
     rest = d[len(kept) :]
-    return refill(text, kept + str(p(f"phone/{kept}/{len(rest)}", 10 ** len(rest), int(rest))).zfill(len(rest)))
+    code = kept or "1"  # numbers in brackets without a country code are those of code 1
+    return refill(text, kept + str(p(f"phone/{code}/{len(rest)}", 10 ** len(rest), int(rest))).zfill(len(rest)))
 
 
 def ssn(text: str, p: Permutation) -> str | None:
@@ -201,11 +206,8 @@ def date(text: str, p: Permutation) -> str | None:
         return None
     if not FIRST_DAY <= at <= LAST_DAY:
         return None
-    if month_first:
-        days, place = p.late_days()
-        new = datetime.date.fromordinal(days[p("late date", len(days), place[at])])
-    else:
-        new = datetime.date.fromordinal(FIRST_DAY + p("date", LAST_DAY - FIRST_DAY + 1, at - FIRST_DAY))
+    days, place = p.days(datetime.date.fromordinal(at).day > 12)  # either kind among itself, so that all forms of a date stay one
+    new = datetime.date.fromordinal(days[p(f"date/{len(days)}", len(days), place[at])])
     if sep == "-":
         return new.isoformat()
     first, second = (new.month, new.day) if month_first else (new.day, new.month)
@@ -250,7 +252,7 @@ def pseudonymised(text: str, p: Permutation) -> tuple[str, dict[str, int]]:
     return (numbers(text) if DIGIT.search(text) else text), seen
 
 
-def replaced(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
+def replaced(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     """docs with pseudonyms in text, and n_<kind> after its columns."""
     names = [n for n in docs.columns if n not in {f"n_{k}" for k in KINDS}]
     column = names.index("text")
@@ -273,12 +275,17 @@ def replaced(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame
     return rows.mapInArrow(make, ", ".join([f"`{n}` {t}" for n, t in rows.dtypes] + [f"n_{k} int" for k in KINDS]))
 
 
-def restored(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def restored(docs: DataFrame, key: bytes) -> DataFrame:
     """docs as before replaced() with this key."""
     return replaced(docs, key, back=True)
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key in the session's setting KEY_SETTING, or the demonstration key."""
+    return (spark.conf.get(KEY_SETTING, None) or DEMONSTRATION_KEY.decode()).encode()
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = replaced(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMONSTRATION_KEY)
     total = sum((F.col(f"n_{k}") for k in KINDS), F.lit(0))
     return out.withColumn("n_values", total).withColumn("text_sha256", F.sha2("text", 256))

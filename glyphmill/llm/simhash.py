@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, joined, kept_columns, slices, table, utf8, written
+from .common import dropped, joined, kept_columns, matched, slices, table, utf8, written
 from .graph import components
 from .suffixes import packed
 from .words import mixed, repeats, shingle_sets
@@ -495,14 +495,14 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, b
     if not 0 <= distance <= 3:
         raise ValueError("these segments find up to three differing bits")
     docs = written(fingerprinted(docs, shingle), "fingerprints")
-    fps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    fps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("times")), "nodes")
     roots = components(links(fps, distance, block_rows))
     nodes = written(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     ids = written(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "ids")
-    named = written(nodes.join(ids, "root").select("fp", "component_id"), "named")
+    named = written(nodes.join(ids, "root").select("fp", "component_id", "times"), "named")
     for x in (fps, nodes, ids):
         dropped(x)
-    return docs.join(named, "fp")
+    return matched(docs, named, ["fp"], "doc_id")
 
 
 def named(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE) -> DataFrame:

@@ -1,8 +1,9 @@
 """URL filters: a trie over reversed host labels and path segments, with longest-match precedence.
 
 A rule is (verdict, "host/path"). It fits its host and every subdomain if the URL's path starts with the rule's path;
-more host labels, then a longer path, win. Rules go to the tasks in broadcast tries of at most `block_bytes` of rules;
-a longer list becomes several tries, and the best match over all of them counts.
+more host labels, then a longer path, win. Rules go to the tasks in a broadcast trie if they hold `block_bytes` at most; a
+longer list becomes several files in the shared folder, of which a task holds one trie at a time for HELD_ROWS URLs, and the
+best match over all of them counts.
 
 A null URL or one without "://" has empty host and path, fits no rule and gets the default verdict. Repeated rows and
 other columns are left as they are; an empty table gives no rows.
@@ -10,16 +11,17 @@ other columns are left as they are; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import filesystem, scratch, table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-BLOCK_BYTES, DEFAULT = 16 << 20, "allow"
+BLOCK_BYTES, HELD_ROWS, DEFAULT = 16 << 20, 1 << 19, "allow"
 #: Keys of a trie node that no label or segment can equal.
 PATHS, TAILS, END = 0, 1, 2
 
@@ -81,23 +83,69 @@ def blocks(rules: Iterable[tuple[str, str]], most: int) -> Iterable[list[tuple[s
         yield held
 
 
+def together(batches: Iterator[tuple[pd.Series, pd.Series]], rows: int) -> Iterator[tuple[pd.Series, pd.Series]]:
+    """Batches of at least so many rows, but for the last."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch[0])
+        if size >= rows:
+            yield tuple(map(pd.concat, zip(*held, strict=True)))
+            held, size = [], 0
+    if held:
+        yield tuple(map(pd.concat, zip(*held, strict=True)))
+
+
+def saved(spark: SparkSession, parts: list[list[tuple[str, str]]]) -> list[str]:
+    """Blocks of rules as files in the shared folder."""
+    folder, out = scratch(spark, "rules"), []
+    fs, at = filesystem(folder)
+    fs.create_dir(at, recursive=True)
+    for k, part in enumerate(parts):
+        with fs.open_output_stream(f"{at}/block-{k:06d}.json") as file:
+            file.write(json.dumps(part).encode())
+        out.append(f"{folder}/block-{k:06d}.json")
+    return out
+
+
+def load(path: str) -> list[list[str]]:
+    fs, at = filesystem(path)
+    with fs.open_input_file(at) as file:
+        return json.loads(file.read())
+
+
 def judged(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, default: str = DEFAULT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """pages with host, path, rule and verdict after its columns; such columns of its own are replaced."""
     sc = pages.sparkSession.sparkContext
     host = F.translate(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract("url", r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
     out = pages.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
-    best = F.lit(None).cast("struct<labels int, depth int, rule string, verdict string>")
-    for part in blocks(rules, block_bytes):
-        sent = sc.broadcast(trie(part))
+    kind = "struct<labels int, depth int, rule string, verdict string>"
+    parts = list(blocks(rules, block_bytes))
+    if len(parts) > 1:  # files, of which a task holds one at a time
+        paths = saved(pages.sparkSession, parts)
+    else:
+        sent = sc.broadcast(trie(parts[0] if parts else []))  # block_bytes of rules at most
+
+    def tries() -> Iterator[dict]:
+        if len(parts) > 1:
+            for path in paths:
+                yield trie(load(path))
+        else:
+            yield sent.value
+
+    count = len(parts)
 
-        @F.pandas_udf("struct<labels int, depth int, rule string, verdict string>")
-        def longest(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-            root = sent.value  # noqa: B023
-            found = [match(root, h, p) or (-1, -1, None, None) for h, p in zip(hosts, paths, strict=True)]
-            return pd.DataFrame(found, columns=["labels", "depth", "rule", "verdict"])
+    @F.pandas_udf(kind)
+    def longest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for hosts, paths_ in together(batches, HELD_ROWS if count > 1 else 1):
+            best: list = [(-1, -1, None, None)] * len(hosts)
+            for root in tries():
+                found = (match(root, h, p) for h, p in zip(hosts, paths_, strict=True))
+                best = [max(b, f, key=lambda x: x[:2]) if f else b for b, f in zip(best, found, strict=True)]
+            yield pd.DataFrame(best, columns=["labels", "depth", "rule", "verdict"])
 
-        best = F.greatest(best, longest("host", "path"))
+    best = longest("host", "path")
     out = out.withColumn("rule", best)
     return out.withColumns({"rule": F.col("rule.rule"), "verdict": F.coalesce("rule.verdict", F.lit(default))})
 

@@ -102,6 +102,18 @@ def test_pseudonyms_keep_format():
     assert pii.pseudonymised("4111 1111 1111 1111", p)[0].replace(" ", "") == pii.pseudonymised("4111111111111111", p)[0]
 
 
+def test_forms_of_one_value_stay_linked():
+    p = pii.Permutation(b"key")
+    new = lambda text: pii.pseudonymised(text, p)[0]
+    iso, slashed, dotted, american = (new(t) for t in ("2020-12-25", "25/12/2020", "25.12.2020", "12/25/2020"))
+    y, m, d = iso.split("-")
+    assert (slashed, dotted, american) == (f"{d}/{m}/{y}", f"{d}.{m}.{y}", f"{m}/{d}/{y}") and iso != "2020-12-25"
+    y, m, d = new("2021-03-04").split("-")
+    assert new("4.3.2021") == f"{int(d)}.{int(m)}.{y}" and new("04/03/2021") == f"{d}/{m}/{y}"
+    digits = lambda text: "".join(c for c in new(text) if c.isdigit())[-10:]
+    assert digits("+1 555 123 4567") == digits("(555) 123-4567") == digits("+15551234567") != "5551234567"
+
+
 def test_values_among_other_words_and_numbers():
     p, back = pii.Permutation(b"key"), pii.Permutation(b"key")
     back.back = True
@@ -136,12 +148,12 @@ def test_pseudonyms_of_documents(spark):
     rows[3] = (3, "mail und.34@mail7.example.com or +1 (017) 555-7713", "en", "a", 1)
     rows[4] = (4, "und.34@mail7.example.com", "en", "a", 1)
     docs = frame(spark, rows, extra=True).withColumn("n_ip", F.lit("clash"))
-    out = pii.replaced(docs)
+    out = pii.replaced(docs, b"key")
     texts = {r.doc_id: r.text for r in out.collect()}
     assert texts[4] in texts[3] and texts[4] != rows[4][1]
     assert out.where("doc_id = 3").first().n_phone == 1 and texts[65] is None and texts[66] == ""
-    assert {r.doc_id: r.text for r in pii.restored(out).collect()} == {r[0]: r[1] for r in rows}
-    assert pii.replaced(frame(spark, [])).count() == 0
+    assert {r.doc_id: r.text for r in pii.restored(out, b"key").collect()} == {r[0]: r[1] for r in rows}
+    assert pii.replaced(frame(spark, []), b"key").count() == 0
 
 
 def labelled(spark, n=400):
@@ -204,3 +216,23 @@ def test_pipeline(spark, tmp_path):
     again = corpus_pipeline.run(spark, str(tmp_path))
     digest = lambda df: hashlib.sha256(repr(sorted(map(repr, df.collect()))).encode()).hexdigest()
     assert digest(again) == digest(docs)
+
+
+def test_stages_with_awkward_input(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, columns named like the operators' own, and empty tables."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    clash = ["row", "node", "own", "root", "first", "score", "items", "n_words", "n_hit", "n_card", "hash", "copies", "each", "rate", "bits"]
+    docs = frame(spark)
+    for name in clash:
+        docs = docs.withColumn(name, F.lit("mine"))
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns + ["copy"] * (name == "mixing")
+        kept = out.collect()
+        assert kept and all(r[c] == "mine" for r in kept for c in clash)
+        if name in ("toxicity", "decontamination", "pii"):
+            assert len(kept) == docs.count()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
