@@ -42,8 +42,8 @@ def normal_form(text: Column, form: str) -> Column:
     def normalize(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else unicodedata.normalize(form, t))
 
-    # plain ASCII needs no trip to Python's tables
-    return normalize(text)
+    other = text.rlike(r"[^\x00-\x7F]")  # ASCII is in every normal form: Python gets nulls for it
+    return F.when(other, normalize(F.when(other, text))).otherwise(text)
 
 
 def duplicate_form(text: Column) -> Column:
@@ -102,6 +102,24 @@ def article_url(base: str, title: Column) -> Column:
     return F.concat(F.lit(base), F.replace(title, F.lit(" "), F.lit("_")))
 
 
+# Name templates.
+ARTICLE, DATASET, TEXT_FILE = "%s:%s", "%s_%s_%s_skip%d_count%d", "%04d_%s.txt"
+# End of the fixed values.
+
+
+def article_identifier(source: Column, page_id: Column) -> Column:
+    return F.format_string(ARTICLE, source, page_id)
+
+
+def dataset_name(source: Column, date: Column, segment: Column, skip: Column, count: Column) -> Column:
+    return F.format_string(DATASET, source, date, segment, skip, count)
+
+
+def text_file_name(order: Column, sha256: Column) -> Column:
+    """The file of a text in an extraction: its order and the first 16 digits of its digest."""
+    return F.format_string(TEXT_FILE, order, F.left(sha256, F.lit(16)))
+
+
 def visible(text: Column, backslash: bool = False) -> Column:
     """Control white space as escapes."""
     out = F.replace(text, F.lit("\\"), F.lit("\\\\")) if backslash else text
@@ -127,7 +145,14 @@ def percent(part: Column, whole: Column) -> Column:
 
 def first_difference(left: Column, right: Column) -> Column:
     """index, left and right character where two texts first differ (a missing character is null); null if they don't."""
-    longest = F.greatest(F.char_length(left), F.char_length(right))
-    at = F.filter(F.sequence(F.lit(1), longest), lambda k: F.substring(left, k, 1) != F.substring(right, k, 1))[0]
+    # the longest equal beginning, by halves: `low` characters are equal, `high` are not
+    start = F.struct(F.lit(0).alias("low"), (F.greatest(F.char_length(left), F.char_length(right))).alias("high"))
+
+    def half(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        same = F.left(left, middle) == F.left(right, middle)
+        return F.when(s["high"] - s["low"] <= 1, s).otherwise(F.struct(F.when(same, middle).otherwise(s["low"]).alias("low"), F.when(same, s["high"]).otherwise(middle).alias("high")))
+
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, half)["high"]
     char = lambda s: F.nullif(F.substring(s, at, F.lit(1)), F.lit(""))
     return F.when(left != right, F.struct((at - 1).alias("index"), char(left).alias("left"), char(right).alias("right")))

@@ -50,7 +50,8 @@ def require_count(rows: DataFrame, wanted: int) -> DataFrame:
 def deduplicate(files: DataFrame, path: str, digest: Column, status: str) -> DataFrame:
     """files with duplicate_of (the first path, case folded, of equal digest) and `status` for all but that one.
 
-    The first path of a digest is an aggregate, joined back, so that a digest of many files needs no window.
+    The first path of a digest is an aggregate, joined back, so that a digest of many files needs no window. Rows that repeat
+    path and digest are one file listed twice: they get the same result. A null digest has no duplicates.
     """
     rows = files.withColumn("_digest", digest)
     order = F.struct(F.lower(path).alias("folded"), F.col(path).alias("path"))
@@ -61,57 +62,89 @@ def deduplicate(files: DataFrame, path: str, digest: Column, status: str) -> Dat
 
 
 def dataset_manifest(files: DataFrame, path: str, content: str, text: Column) -> DataFrame:
-    """Two-level dedup: by bytes, then by normalized text of what is unique by bytes. text is only made for those.
+    """Two-level dedup: by bytes, then by normalized text of what is unique by bytes.
 
-    status: BINARY_DUPLICATE, NO_TEXT, TEXT_DUPLICATE or EXTRACTED.
+    status: BINARY_DUPLICATE, NO_TEXT, TEXT_DUPLICATE or EXTRACTED. Digests and sizes are made of all files in one scan; only
+    those narrow rows are joined and shuffled.
     """
-    digested = files.withColumn("binary_sha256", F.sha2(F.col(content), 256))
-    level1 = deduplicate(digested, path, F.col("binary_sha256"), "BINARY_DUPLICATE")
-    unique = level1.where("status is null").drop("status", "duplicate_of").withColumn("text", text)
-    has = F.coalesce(strip(F.col("text")) != "", F.lit(False))
-    unique = unique.withColumn("text_sha256", F.when(has, text_sha256(F.col("text"))))
-    level2 = deduplicate(unique, path, F.col("text_sha256"), "TEXT_DUPLICATE")
-    level2 = level2.withColumn("status", F.coalesce("status", F.when(F.col("text_sha256").isNull(), "NO_TEXT").otherwise("EXTRACTED")))
-    level2 = level2.withColumn("extracted_characters", F.coalesce(F.char_length("text"), F.lit(0))).withColumn("extracted_utf8_bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
-    return level2.unionByName(level1.where("status is not null"), allowMissingColumns=True).drop("text", content)
+    has = F.coalesce(strip(text) != "", F.lit(False))
+    made = {"binary_sha256": F.sha2(F.col(content), 256), "text_sha256": F.when(has, text_sha256(text)), "extracted_characters": F.coalesce(F.char_length(text), F.lit(0)), "extracted_utf8_bytes": F.coalesce(F.octet_length(text), F.lit(0))}
+    narrow = files.withColumns(made).drop(content)
+    level1 = deduplicate(narrow, path, F.col("binary_sha256"), "BINARY_DUPLICATE").withColumnsRenamed({"status": "_status", "duplicate_of": "_duplicate_of"})
+    # the second level is that of files that are first by bytes; others keep no text
+    own = F.when(F.col("_status").isNull(), F.col("text_sha256"))
+    level2 = deduplicate(level1, path, own, "TEXT_DUPLICATE")
+    first = F.col("_status").isNull()
+    status = F.coalesce("_status", "status", F.when(F.col("text_sha256").isNull(), "NO_TEXT").otherwise("EXTRACTED"))
+    out = level2.withColumns({"status": status, "duplicate_of": F.coalesce("_duplicate_of", "duplicate_of")})
+    return out.withColumns({c: F.when(first, F.col(c)) for c in ("text_sha256", "extracted_characters", "extracted_utf8_bytes")}).drop("_status", "_duplicate_of")
 
 
 def status_counts(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("extracted_utf8_bytes"), F.lit(0)).alias("utf8_bytes"))
 
 
+def members(rows: DataFrame, key: str, path: str) -> DataFrame:
+    """key, copies and path of the rows whose key several rows have: a row a path, so that a key of any number of files fits."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return rows.select(key, path).join(counts, key).select(key, "copies", path)
+
+
 def group_by_digest(rows: DataFrame, digest: str, path: str) -> DataFrame:
-    """digest, copies and paths of digests that several rows have."""
-    return rows.groupBy(digest).agg(F.count(F.lit(1)).alias("copies"), F.array_sort(F.collect_list(path)).alias("paths")).where("copies > 1")
+    """digest, copies and path of digests that several rows have."""
+    return members(rows, digest, path)
 
 
 def families(selection: DataFrame, path: str) -> DataFrame:
-    """family_key and paths of works that seem to be there several times."""
-    keyed = selection.withColumn("family_key", family_key(F.col(path)))
-    return keyed.groupBy("family_key").agg(F.count(F.lit(1)).alias("copies"), F.array_sort(F.collect_list(path)).alias("paths")).where("copies > 1")
+    """family_key, copies and path of works that seem to be there several times."""
+    return members(selection.withColumn("family_key", family_key(F.col(path))), "family_key", path)
 
 
-def selection(manifest: DataFrame, order: str, path: str, specialty: Column, excluded: Sequence[int] = (), reason: str = "SAME_WORK_ALTERNATIVE") -> DataFrame:
-    """candidate_order, work_id, path, selected (YES or NO) and selection_reason of the EXTRACTED rows, in manifest order.
+# Columns of the manifest and selection formats, and what they say of what was left out.
+MANIFEST_COLUMNS = ("Specialty", "RelativePath", "FileSizeBytes", "BinarySHA256", "ExtractedCharacters", "ExtractedUTF8Bytes", "TextSHA256", "ExtractionStatus", "DuplicateOf", "ExtractionError")
+SELECTION_COLUMNS = ("Specialty", "CandidateOrder", "WorkID", "RelativePath", "WorkPart", "Selected", "SelectionReason", "ExtractedCharacters", "ExtractedUTF8Bytes", "BinarySHA256", "TextSHA256", "Notes")
+SELECTED, SAME_WORK = "SELECTED", "SAME_WORK_ALTERNATIVE"
+EXCLUDED_NOTE = "Excluded during work-level curation; another representation of the same or potentially duplicated intellectual work was retained."
+# End of the fixed values.
 
-    Ranked by ranges of the order, so that no task sorts all rows.
-    """
-    rows = manifest.where("status = 'EXTRACTED'")
-    place = numbered(rows, order).withColumnRenamed("n", "candidate_order")
+
+def manifest_rows(manifest: DataFrame, specialty: Column, path: str, size: Column, error: Column | None = None) -> DataFrame:
+    """dataset_manifest() in the columns of the manifest format; a missing text has 0 characters, other blanks are empty."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    values = (specialty, F.col(path), size, blank("binary_sha256"), number("extracted_characters"), number("extracted_utf8_bytes"), blank("text_sha256"), F.col("status"), blank("duplicate_of"), F.lit("") if error is None else F.coalesce(error, F.lit("")))
+    return manifest.select(*[v.alias(n) for v, n in zip(values, MANIFEST_COLUMNS, strict=True)])
+
+
+def selection(manifest: DataFrame, order: str, path: str, specialty: Column, excluded: Sequence[int] = (), reason: str = SAME_WORK) -> DataFrame:
+    """candidate_order, work_id, path, selected (YES or NO), selection_reason and notes of the EXTRACTED rows, in manifest order."""
+    place = numbered(manifest.where("status = 'EXTRACTED'"), order).withColumnRenamed("n", "candidate_order")
     out = F.col("candidate_order").isin(*excluded) if excluded else F.lit(False)
-    return place.select("candidate_order", work_id(specialty, F.col("candidate_order"), F.col(path)).alias("work_id"), path, F.when(out, "NO").otherwise("YES").alias("selected"), F.when(out, reason).otherwise("").alias("selection_reason"))
+    return place.withColumns({
+        "work_id": work_id(specialty, F.col("candidate_order"), F.col(path)), "selected": F.when(out, "NO").otherwise("YES"),
+        "selection_reason": F.when(out, reason).otherwise(SELECTED), "notes": F.when(out, EXCLUDED_NOTE).otherwise(""),
+    })
+
+
+def selection_rows(manifest: DataFrame, order: str, excluded: Sequence[int] = (), reason: str = SAME_WORK) -> DataFrame:
+    """selection() of rows in the manifest format and a column `order`, in the columns of the selection format."""
+    rows = selection(manifest.withColumn("status", F.col("ExtractionStatus")), order, "RelativePath", F.col("Specialty"), excluded, reason)
+    own = {"CandidateOrder": "candidate_order", "WorkID": "work_id", "Selected": "selected", "SelectionReason": "selection_reason", "Notes": "notes"}
+    return rows.select(*[(F.lit(1) if n == "WorkPart" else F.col(own.get(n, n))).alias(n) for n in SELECTION_COLUMNS])
 
 
 def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """rows with n: their number from 1 in the order of a column without repeats.
+    """rows with n: their number from 1 in the order of a column; equal ones in any order, nulls last.
 
-    Row numbers within ranges, plus the counts of the ranges before: the only window without a key is over those.
+    Row numbers within ranges of about as many rows (by approximate quantiles, a few hundred numbers at the driver), plus the
+    counts of the ranges before: the only window without a key is over those.
     """
-    cuts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    edges = rows.agg(F.min(order).alias("a"), F.max(order).alias("b")).select(F.col("a").cast("double"), F.col("b").cast("double"))
-    ranged = rows.crossJoin(F.broadcast(edges.withColumnsRenamed({"a": "_a", "b": "_b"}))).withColumn("_range", F.when(F.col("_b") > F.col("_a"), F.floor((F.col(order) - F.col("_a")) / (F.col("_b") - F.col("_a")) * int(cuts))).otherwise(0)).drop("_a", "_b")
+    cuts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = rows.agg(F.percentile_approx(order, [k / cuts for k in range(1, cuts)] or [0.5], 1000).alias("edges")).first().edges or []
+    place = F.when(F.col(order).isNull(), len(edges) + 1).otherwise(sum((F.when(F.col(order) > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0)))
+    ranged = rows.withColumn("_range", place)
     before = ranged.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(F.col(order).asc_nulls_last()))
     return ranged.withColumn("_own", own).join(before, "_range").withColumn("n", (F.col("_own") + F.col("_before")).cast("int")).drop("_range", "_own", "_before")
 
 
@@ -131,6 +164,17 @@ def latest(checkpoint: DataFrame, key: str, written: str) -> DataFrame:
     return ok.groupBy(F.col(key).cast("int").alias(key)).agg(F.max_by(F.struct(*[c for c in ok.columns if c != key]), F.col(written)).alias("row")).select(key, "row.*")
 
 
+def file_problems(manifest: DataFrame, listing: DataFrame, order: str, path: str, digest: str, wanted: int | None = None) -> DataFrame:
+    """One row: rows, and whether there are `wanted` of them, all have a digest and a listed file, and no order is there twice."""
+    there = listing.select(F.col("path").alias("listed_path")).distinct()
+    rows = manifest.select(F.col(order).alias("order"), F.col(path).alias("path"), F.col(digest).alias("digest")).join(there, F.col("path") == F.col("listed_path"), "left")
+    n = F.count(F.lit(1))
+    return rows.agg(
+        n.alias("rows"), (n == wanted if wanted is not None else F.lit(True)).alias("count_ok"), (F.count_if(F.coalesce(strip(F.col("digest")), F.lit("")) == "") == 0).alias("digests_ok"),
+        (F.count("listed_path") == n).alias("files_ok"), (F.count_distinct("order") == n).alias("orders_ok"),
+    )
+
+
 def manifest_problems(manifest: DataFrame, order: str = "selection_order", page: str = "page_id", single: Sequence[str] = ("snapshot_date", "segment", "evaluation_role")) -> DataFrame:
     """One row: rows, and whether orders run from 1 without gap, pages are distinct, and metadata has one value at most."""
     value = lambda c: F.when(strip(F.col(c).cast("string")) != "", F.col(c))

@@ -11,7 +11,10 @@ from glyphmill.functions.codes import LEXICAL_FIRST, SINGLE_LETTERS, SLOTS
 
 from .tokens import words
 
+# Sizes of dictionaries, and what the row of all is called.
 SIZES = (20000, 30000, 40000, 50000, 65000)
+TOTAL = "completo"
+# End of the fixed values.
 
 
 def histogram(docs: DataFrame, *keys: str) -> DataFrame:
@@ -62,6 +65,14 @@ def small(dictionary: DataFrame) -> DataFrame:
     return F.broadcast(checked.drop("_row"))
 
 
+def held(dictionary: DataFrame) -> DataFrame:
+    """A dictionary as a local table, so that plans that use it several times build it once: 65,000 rows at most, by the code space."""
+    rows = dictionary.limit(SLOTS + 1).toArrow()
+    if rows.num_rows > SLOTS:
+        raise ValueError("a dictionary has at most 65,000 words")
+    return dictionary.sparkSession.createDataFrame(rows.to_pylist(), dictionary.schema)
+
+
 def lookup(rows: DataFrame, dictionary: DataFrame, how: str = "left") -> DataFrame:
     """rows (column word) with token: left keeps misses, left_semi and left_anti tell hits and misses."""
     return rows.join(small(dictionary.select("word", "token")), "word", how)
@@ -94,7 +105,7 @@ def coverage_by_size(counts: DataFrame, sizes: Sequence[int] = SIZES) -> DataFra
     return out.withColumn("outside", F.col("total") - F.col("covered")).withColumn("coverage", F.round(100.0 * F.col("covered") / F.col("total"), 6))
 
 
-def coverage_rollup(counts: DataFrame, dictionary: DataFrame, key: str, total: str = "completo") -> DataFrame:
+def coverage_rollup(counts: DataFrame, dictionary: DataFrame, key: str, total: str = TOTAL) -> DataFrame:
     """covered() for each key and for all together."""
     inside = F.coalesce(F.sum(F.when(F.col("token").isNotNull(), F.col("n"))), F.lit(0))
     out = lookup(counts, dictionary).rollup(key).agg(F.grouping(key).alias("all"), F.sum("n").alias("total"), inside.alias("covered"))

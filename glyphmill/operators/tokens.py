@@ -40,6 +40,33 @@ def validation(text: Column) -> Column:
     return F.when(F.exists(tokens, lambda t: t == ""), "EMPTY_TOKEN").when(covered != F.char_length(text), "COVERAGE").when(reconstruct(tokens) != text, "RECONSTRUCTION")
 
 
+def token_problem(text: Column, tokens: Column) -> Column:
+    """Null if tokens (an array of token, start and end) are a text's tokens one after the other, else what is wrong first.
+
+    EMPTY_TOKEN, GAP (it doesn't begin where the one before it ends), RANGE, CONTENT, COVERAGE (what is left of the text) or
+    RECONSTRUCTION; null too for a null text.
+    """
+
+    def check(s: Column, x: Column) -> Column:
+        wrong = (
+            F.when(F.coalesce(x["token"], F.lit("")) == "", "EMPTY_TOKEN").when(~x["start"].eqNullSafe(s["at"]), "GAP").when(F.coalesce(x["end"], F.lit(0)) <= x["start"], "RANGE")
+            .when(F.substring(text, x["start"] + 1, x["end"] - x["start"]) != x["token"], "CONTENT")
+        )
+        return F.struct(F.coalesce(x["end"], F.lit(0)).alias("at"), F.coalesce(s["error"], wrong).alias("error"))
+
+    seen = F.aggregate(tokens, F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("error")), check)
+    rest = F.when(seen["at"] != F.char_length(text), "COVERAGE").when(reconstruct(F.transform(tokens, lambda x: x["token"])) != text, "RECONSTRUCTION")
+    return F.when(text.isNotNull(), F.coalesce(seen["error"], rest))
+
+
+def placed(text: Column) -> Column:
+    """The tokens of a text as an array of token, start and end."""
+    step = lambda s, t: F.struct((s["at"] + F.char_length(t)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    tokens = token_array(text)
+    return F.transform(F.arrays_zip(tokens.alias("token"), F.aggregate(tokens, start, step)["out"].alias("start")), lambda x: F.struct(x["token"].alias("token"), x["start"].alias("start"), (x["start"] + F.char_length(x["token"])).alias("end")))
+
+
 def words(docs: DataFrame, *keys: str) -> DataFrame:
     """keys and word: every word in lower case."""
     return tokenize(docs, *keys).where("type = 'WORD'").select(*keys, F.lower("token").alias("word"))

@@ -7,6 +7,7 @@ around one scanner. No parity with any markup library's own rendering is claimed
 from __future__ import annotations
 
 import html
+import itertools
 import re
 
 import pandas as pd
@@ -91,22 +92,26 @@ def link_text(inside: str) -> str:
     return label.strip() if bar and label else title.split("#", 1)[0].strip()
 
 
-def innermost(text: str, opening: str, closing: str, make, passes: int) -> str:
-    """text with innermost pairs replaced, `passes` times or until there are none."""
+def innermost(text: str, opening: str, closing: str, make, passes: int | None = None) -> str:
+    """text with innermost pairs replaced, `passes` times or until there are none; each pass leaves fewer."""
     o, c = re.escape(opening), re.escape(closing)
     pattern = re.compile(rf"{o}((?:(?!{o}|{c})[\s\S])*){c}")
-    for _ in range(passes):
+    for _ in itertools.count() if passes is None else range(passes):
         text, found = pattern.subn(lambda m: make(m[1]), text)
         if not found:
             break
     return text
 
 
+def external_links(text: str) -> str:
+    return re.sub(r"\[(?:https?:|ftp:)?//[^\s\]]+(?:\s+([^\]]*))?\]", lambda m: (m[1] or "").strip(), text)
+
+
 def plain(text: str) -> str:
     """Templates, links and emphasis resolved, entities decoded."""
     text = innermost(text, "{{", "}}", template_text, PASSES)
-    text = innermost(text, "[[", "]]", link_text, PASSES)
-    text = re.sub(r"\[(?:https?:|ftp:)?//[^\s\]]+(?:\s+([^\]]*))?\]", lambda m: (m[1] or "").strip(), text)
+    text = innermost(text, "[[", "]]", link_text)
+    text = external_links(text)
     return html.unescape(re.sub(r"</?[A-Za-z][^<>]*>", "", text))
 
 
@@ -115,9 +120,40 @@ def _tables(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else without_tables(t))
 
 
+def plain_or_same(text: str) -> str:
+    """plain(), or the text as it was where that fails on it."""
+    try:
+        return plain(text)
+    except (RecursionError, ValueError, re.error):
+        return text
+
+
 @F.pandas_udf(StringType())
 def _plain(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else plain(t))
+    return texts.map(lambda t: None if t is None else plain_or_same(t))
+
+
+def tables_stripped(text: Column) -> Column:
+    return _tables(text)
+
+
+def templates_resolved(text: Column) -> Column:
+    return _templates(text)
+
+
+def links_resolved(text: Column) -> Column:
+    """Wikilinks, then external links, by their labels."""
+    return _links(text)
+
+
+@F.pandas_udf(StringType())
+def _templates(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else innermost(t, "{{", "}}", template_text, PASSES))
+
+
+@F.pandas_udf(StringType())
+def _links(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else external_links(innermost(t, "[[", "]]", link_text)))
 
 
 def clean(text: Column) -> Column:

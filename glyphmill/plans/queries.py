@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import codes, text
 from glyphmill.operators import arrowcodec, codec, curation, dictionary, evaluate, tokens, wikitext
+from glyphmill.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,7 +60,17 @@ def token_reconstruct(spark, sf):
 
 @query
 def token_validate(spark, sf):
-    return docs(spark, sf).select(F.coalesce(tokens.validation(F.col("text")), F.lit("OK")).alias("outcome")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    """Tokens of each document, some with a planted fault, checked against the text."""
+    t, first = F.col("text"), lambda x, **new: F.struct(*[new.get(n, x[n]).alias(n) for n in ("token", "start", "end")])
+    faults = (lambda x: x, lambda x: first(x, token=F.lit("")), lambda x: first(x, start=F.lit(1)), lambda x: first(x, end=F.lit(0)), lambda x: first(x, token=F.concat(x["token"], F.lit("x"))))
+    fault = F.pmod("doc_id", F.lit(7))
+    rows = docs(spark, sf).select("text", fault.alias("fault"), tokens.placed(t).alias("tokens"))
+    on_first = lambda make: F.transform("tokens", lambda x, i: F.when(i == 0, make(x)).otherwise(x))
+    changed = F.col("tokens")
+    for k, make in enumerate(faults):
+        changed = F.when(F.col("fault") == k, on_first(make)).otherwise(changed)
+    changed = F.when(F.col("fault") == 5, F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(0)))).otherwise(changed)
+    return rows.select("fault", F.coalesce(tokens.token_problem(t, changed), F.lit("OK")).alias("outcome")).groupBy("fault", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -84,7 +96,16 @@ def dict_topn_20000(spark, sf):
 
 @query
 def dict_validate(spark, sf):
-    return dictionary.validate(words(spark, sf)).select("size", F.coalesce("error", F.lit("OK")).alias("outcome"))
+    """A dictionary and six that break a rule each."""
+    whole = dictionary.held(words(spark, sf))
+    odd = F.col("ranking").isin(6, 7)
+    broken = {
+        "whole": whole, "empty": whole.where("ranking = 0"), "blank": whole.withColumn("word", F.when(F.col("ranking") == 5, "").otherwise(F.col("word"))),
+        "repeated_word": whole.withColumn("word", F.when(odd, "same").otherwise(F.col("word"))), "repeated_token": whole.withColumn("token", F.when(odd, 541).otherwise(F.col("token"))),
+        "gap": whole.where("ranking <> 7"), "shifted": whole.withColumn("token", F.col("token") + 1),
+    }
+    out = [dictionary.validate(rows).select(F.lit(name).alias("variant"), "size", F.coalesce("error", F.lit("OK")).alias("outcome")) for name, rows in broken.items()]
+    return reduce(DataFrame.unionByName, out)
 
 
 @query
@@ -195,12 +216,10 @@ def compression_by_source(spark, sf):
 
 @query
 def compression_by_dict_size(spark, sf):
-    """Totals for the five sizes; a size is one pass, as spaces depend on which words are in."""
-    out = None
-    for size in dictionary.SIZES:
-        one = codec.totals(codec.statistics(docs(spark, sf), words(spark, sf, size))).withColumn("dictionary_size", F.lit(size))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Totals for the five sizes. The dictionaries are the beginnings of one ranking; a size is one pass, as spaces depend on which words are in."""
+    ranked = dictionary.held(words(spark, sf, max(dictionary.SIZES)))
+    out = [codec.totals(codec.statistics(docs(spark, sf), ranked.where(F.col("ranking") <= size))).withColumn("dictionary_size", F.lit(size)) for size in dictionary.SIZES]
+    return reduce(DataFrame.unionByName, out)
 
 
 @query
@@ -224,33 +243,57 @@ def encode_hex_native(spark, sf):
 
 @query
 def decode_roundtrip(spark, sf):
-    known = words(spark, sf).cache()
+    known = dictionary.held(words(spark, sf))
     return arrowcodec.decode(arrowcodec.encode(docs(spark, sf), known), known).select("doc_id", "text")
 
 
 @query
 def decode_roundtrip_native(spark, sf):
     """decode_roundtrip by the codec of DataFrame functions alone."""
-    known = words(spark, sf)
+    known = dictionary.held(words(spark, sf))
     return codec.decode(codec.encode(docs(spark, sf), known), known).select("doc_id", "text")
 
 
 @query
 def decode_stats(spark, sf):
-    known = words(spark, sf)
+    known = dictionary.held(words(spark, sf))
     return codec.decode(codec.encode(docs(spark, sf), known), known).drop("text").withColumn("error", F.coalesce("error", F.lit("OK")))
 
 
+# Tails that break a stream, with what the decoder says of them; an empty one breaks nothing.
+TAILS = {
+    "": "OK", "02": "ODD_LENGTH", "0001": "LITERAL_END_OUTSIDE", "0002": "DANGLING_MODIFIER", "000200020218": "CONSECUTIVE_MODIFIERS", "00020000410001": "LITERAL_AFTER_MODIFIER", "0002002E": "MODIFIER_ON_DIRECT",
+    "0004": "RESERVED_CONTROL", "0100": "RESERVED_EXTENSION", "0081": "UNASSIGNED_DIRECT", "FFFF": "UNKNOWN_TOKEN", "000041": "UNTERMINATED_LITERAL", "00004100": "TRUNCATED_ESCAPE", "00000002": "BAD_ESCAPE", "0000FF0001": "INVALID_UTF8",
+}
+
+
+@query
+def decode_errors(spark, sf):
+    """Each document's stream with one of the tails, decoded."""
+    known = dictionary.held(words(spark, sf))
+    tail = F.element_at(F.array(*map(F.lit, TAILS)), (F.pmod("doc_id", F.lit(len(TAILS))) + 1).cast("int"))
+    broken = codec.encode(docs(spark, sf), known).withColumn("encoded", F.concat("encoded", F.unhex(tail)))
+    return codec.decode(broken, known).select("doc_id", F.coalesce("error", F.lit("OK")).alias("outcome"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query
 def collision_pairs(spark, sf):
-    source = docs(spark, sf)
-    return evaluate.collisions(codec.encode(source, words(spark, sf)), source).select("texts", "documents")
+    """Streams of several texts: of the codec, and of one that loses case, over documents and their upper-case copies."""
+    rows = docs(spark, sf).select("doc_id", "text")
+    both = rows.union(rows.select(-F.col("doc_id") - 1, F.upper("text"))).toDF("doc_id", "text")
+    lossy = both.select("doc_id", F.encode(F.lower("text"), "UTF-8").alias("encoded"))
+    found = [evaluate.collisions(e, both).select(F.lit(name).alias("codec"), "texts", "documents") for name, e in (("own", codec.encode(both, dictionary.held(words(spark, sf)))), ("lossy", lossy))]
+    return found[0].unionByName(found[1]).groupBy("codec", "texts", "documents").agg(F.count(F.lit(1)).alias("streams"))
 
 
 @query
 def first_difference(spark, sf):
-    """Where the first character differs between a document and itself in NFC with single blanks."""
-    rows = docs(spark, sf).withColumn("other", F.regexp_replace("text", "[ \t]+", " "))
+    """Where a document first differs from itself with a character replaced, cut off or added."""
+    n, t = F.char_length("text"), F.col("text")
+    at = F.pmod(F.col("doc_id") * 7919, F.greatest(n, F.lit(1))).cast("int")
+    replaced = F.concat(F.left(t, at), F.lit("\u00b6"), F.substr(t, at + 2))
+    other = F.when(F.pmod("doc_id", F.lit(4)) == 0, replaced).when(F.pmod("doc_id", F.lit(4)) == 1, F.left(t, at)).when(F.pmod("doc_id", F.lit(4)) == 2, F.concat(t, F.lit("+"))).otherwise(t)
+    rows = docs(spark, sf).withColumn("other", other)
     d = text.first_difference(F.col("text"), F.col("other"))
     return rows.where(F.col("text") != F.col("other")).select("doc_id", d["index"].alias("index"), d["left"].alias("left"), d["right"].alias("right"))
 
@@ -260,7 +303,7 @@ def first_difference(spark, sf):
 
 @query
 def benchmark_report(spark, sf):
-    known = words(spark, sf)
+    known = dictionary.held(words(spark, sf))
     rows = evaluate.round_trip(docs(spark, sf), known, "doc_id", "lang")
     return evaluate.report(rows, known, "documents", F.col("lang"), "lang").drop("lang")
 
@@ -275,8 +318,10 @@ def benchmark_upsert(spark, sf):
 
 @query
 def result_classifier(spark, sf):
-    rows = table(spark, sf, "labels").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
-    return rows.select("quality", "toxic", evaluate.classifier(F.col("quality"), F.lit(1), F.col("toxic"), F.lit(0)).alias("result"), "n")
+    """Results by language and source, with planted errors, exceptions and wrong statistics."""
+    planted = lambda n, k: F.count_if(F.pmod("doc_id", F.lit(n)) == k)
+    rows = docs(spark, sf).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("evaluated"), planted(97, 0).alias("errors"), planted(89, 1).alias("exceptions"), planted(23, 2).alias("statistics_errors"))
+    return rows.select("lang", "source", "evaluated", evaluate.classifier(F.col("evaluated") - F.col("errors"), F.col("evaluated"), F.col("exceptions"), F.col("statistics_errors")).alias("result"))
 
 
 @query
@@ -288,9 +333,9 @@ def manifest_validate(spark, sf):
 @query
 def top10_failures(spark, sf):
     """The first ten documents with duplicates, as a report shows failures."""
-    rows = docs(spark, sf)
-    copies = rows.groupBy("text").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return rows.join(copies, "text").orderBy("doc_id").limit(10).select("doc_id", "copies")
+    rows = docs(spark, sf).select("doc_id", F.sha2("text", 256).alias("digest"))
+    copies = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return rows.join(copies, "digest").orderBy("doc_id").limit(10).select("doc_id", "copies")
 
 
 # Curation
@@ -321,7 +366,7 @@ def duplicate_of(spark, sf):
 @query
 def digest_groups(spark, sf):
     rows = files(spark, sf).withColumn("digest", text.raw_sha256(F.decode("content", "UTF-8")))
-    return curation.group_by_digest(rows, "digest", "path").select("digest", "copies", F.array_join("paths", ",").alias("paths"))
+    return curation.group_by_digest(rows, "digest", "path").select("digest", "copies", "path")
 
 
 @query
@@ -336,13 +381,31 @@ def works(spark, sf):
 
 @query
 def family_groups_having(spark, sf):
-    return curation.families(works(spark, sf), "path").select("family_key", "copies")
+    return curation.families(works(spark, sf), "path").select("family_key", "copies", "path")
 
 
 @query
 def selection_sequence(spark, sf):
     out = curation.selection(works(spark, sf), "doc_id", "path", F.lit("corpus"), excluded=(4, 6, 8, 46, 47))
-    return out
+    return out.select("candidate_order", "work_id", "path", "selected", "selection_reason", "notes")
+
+
+@query
+def numbered_with_gaps(spark, sf):
+    """Candidates by an order that has ties and nulls: they are numbered from 1 without a gap, nulls last."""
+    rows = docs(spark, sf).select("doc_id", F.when(F.pmod("doc_id", F.lit(10)) > 0, F.floor(F.col("n_chars") / 100)).alias("order"))
+    out = curation.numbered(rows, "order")
+    return out.groupBy("order").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def name_templates(spark, sf):
+    rows, n = docs(spark, sf), F.col("doc_id")
+    title = F.concat_ws(" ", "lang", "source", F.col("doc_id").cast("string"))
+    return rows.select(
+        "doc_id", text.article_identifier(F.col("lang"), n).alias("identifier"), text.dataset_name(F.col("lang"), F.lit("20240101"), F.col("source"), n, n + 5).alias("dataset"),
+        text.text_file_name(n, F.sha2("text", 256)).alias("file"), text.article_url("https://wiki.example/", title).alias("url"),
+    )
 
 
 @query
@@ -379,15 +442,15 @@ def funnel_counts(spark, sf):
 # Markup
 
 
-def markup(spark, sf, whole=False):
-    """Each document in markup: the beginning of its text, as the SQL has it, or all of it."""
-    body = F.concat(F.lit("== "), "lang", F.lit(" ==\r\n* '''"), F.col("text") if whole else F.substring("text", 1, 200), F.lit("''' <!-- note -->\n{| a\n| b {| c |} |}\n  # tail<ref name=\"x\">y</ref> <math>z</math>   end  \n\n\n\n: last"))
+def markup(spark, sf):
+    """Each document's whole text in markup."""
+    body = F.concat(F.lit("== "), "lang", F.lit(" ==\r\n* '''"), F.col("text"), F.lit("''' <!-- note -->\n{| a\n| b {| c |} |}\n  # tail<ref name=\"x\">y</ref> <math>z</math>   end  \n\n\n\n: last"))
     return docs(spark, sf).select("doc_id", body.alias("text"))
 
 
 @query
 def postprocess_text(spark, sf):
-    return docs(spark, sf).select("doc_id", wikitext.postprocessed(F.concat(F.lit("== H ==\n* "), "text")).alias("text"))
+    return docs(spark, sf).select("doc_id", F.sha2(wikitext.postprocessed(F.concat(F.lit("== H ==\n* "), "text")), 256).alias("text_sha256"))
 
 
 @query
@@ -401,13 +464,33 @@ def clean_ratio(spark, sf):
 
 
 @query
-def comments_and_tags_whole(spark, sf):
-    return markup(spark, sf, whole=True).select("doc_id", wikitext.without_tags(wikitext.without_comments(F.col("text"))).alias("text"))
+def table_strip(spark, sf):
+    """Each text inside nested tables, after one that is not closed, or beside a stray end."""
+    k, t = F.pmod("doc_id", F.lit(3)), F.col("text")
+    body = F.when(k == 0, F.concat(F.lit("a{| "), t, F.lit(" {| "), "lang", F.lit(" |} |}b"))).when(k == 1, F.concat(F.lit("{| "), t)).otherwise(F.concat(t, F.lit(" |} z")))
+    return docs(spark, sf).select("doc_id", F.sha2(wikitext.tables_stripped(body), 256).alias("text_sha256"))
+
+
+#: Templates, and what each leaves behind.
+TEMPLATES = {"lang|la|agri": "agri", "Siglo|XX": "siglo XX", "unidad|3|km": "3 km", "Ficha de x|a=b": "", "cita web|u": "", "sfn|a": "", "x|k=v": "v", "x|a|b": "", "x|{{lang|la|uno}}": "uno"}
+#: Links, and what each leaves behind.
+LINKS = {"[[A|b c]]": "b c", "[[A#s]]": "A", "[[File:x.png|thumb]]": "", "[http://a.b t u]": "t u", "[//a.b]": "", "[[a|[[b|c]]]]": "c", "[[1|[[2|[[3|[[4|[[5|[[6|[[7|x]]]]]]]]]]]]]]": "x"}
+
+
+def planted(spark, sf, values):
+    """Each whole text with one of the values after it."""
+    value = F.element_at(F.array(*map(F.lit, values)), (F.pmod("doc_id", F.lit(len(values))) + 1).cast("int"))
+    return docs(spark, sf).select("doc_id", F.concat(F.col("text"), F.lit(" "), value, F.lit(" end")).alias("text"))
+
+
+@query
+def template_rules(spark, sf):
+    return planted(spark, sf, [f"{{{{{x}}}}}" for x in TEMPLATES]).select("doc_id", F.sha2(wikitext.templates_resolved(F.col("text")), 256).alias("text_sha256"))
 
 
 @query
-def clean_ratio_whole(spark, sf):
-    return markup(spark, sf, whole=True).select("doc_id", wikitext.clean(F.col("text")).alias("c")).select("doc_id", "c.original_characters", "c.cleaned_characters", "c.removed_characters", F.sha2("c.text", 256).alias("text_sha256"))
+def link_rewrite(spark, sf):
+    return planted(spark, sf, LINKS).select("doc_id", F.sha2(wikitext.links_resolved(F.col("text")), 256).alias("text_sha256"))
 
 
 @query
@@ -421,20 +504,128 @@ def page_comments(spark, sf):
 
 @query
 def renderings(spark, sf):
-    t = F.substring("text", 1, 60)
+    """Renderings of whole texts, the long ones by digest."""
+    t = F.col("text")
     return docs(spark, sf).select(
-        "doc_id", text.visible(t).alias("visible"), text.spaced_hex(F.encode(F.substring("text", 1, 5), "UTF-8")).alias("hex"), text.elapsed(F.col("n_chars")).alias("elapsed"),
+        "doc_id", F.sha2(text.visible(t), 256).alias("visible_sha256"), F.sha2(text.spaced_hex(F.encode(t, "UTF-8")), 256).alias("hex_sha256"), text.elapsed(F.col("n_chars")).alias("elapsed"),
         F.char_length("text").alias("characters"), F.octet_length("text").alias("bytes"), F.round(text.percent(F.char_length("text"), F.octet_length("text")), 6).alias("share"),
     )
 
 
-@query
-def renderings_whole(spark, sf):
-    """visible and hex of whole texts, by digest."""
-    return docs(spark, sf).select("doc_id", F.sha2(text.visible(F.col("text")), 256).alias("visible_sha256"), F.sha2(text.spaced_hex(F.encode("text", "UTF-8")), 256).alias("hex_sha256"))
-
-
 @query
 def token_descriptions(spark, sf):
     rows = codec.represent(tokens.tokenize(docs(spark, sf), "doc_id"), words(spark, sf)).where("type = 'WORD'")
     return evaluate.described(rows).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Sources and sinks: written to the shared folder and read back
+
+
+@query
+def dictionary_file(spark, sf):
+    at = writers.scratch(spark, "dictionary")
+    writers.dictionary(words(spark, sf), at)
+    return readers.dictionary(spark, at)
+
+
+@query
+def dump_file(spark, sf):
+    """Documents as pages of an XML dump; texts in base64, as XML can't hold all characters."""
+    at = writers.scratch(spark, "dump")
+    writers.dump(articles(spark, sf).withColumns({"title": F.concat(F.lit("Page <"), "id", F.lit("> & \u00fc")), "wikitext": F.base64(F.encode("wikitext", "UTF-8"))}), at)
+    return readers.dump(spark, at).select("id", "title", "ns", "redirect", F.sha2(F.unbase64("wikitext"), 256).alias("text_sha256"))
+
+
+@query
+def json_manifest_file(spark, sf):
+    at = writers.scratch(spark, "manifest")
+    rows = docs(spark, sf).select((F.col("doc_id") + 1).cast("int").alias("selection_order"), F.col("doc_id").cast("string").alias("page_id"), F.col("text").alias("title"), F.col("n_chars").cast("int").alias("cleaned_characters"), (F.col("n_chars") / 7).alias("reduction_ratio"))
+    writers.json_manifest(rows, at)
+    return readers.json_manifest(spark, at).select("selection_order", "page_id", F.sha2("title", 256).alias("title_sha256"), "cleaned_characters", F.round("reduction_ratio", 6).alias("reduction_ratio"), "segment")
+
+
+def manifest(spark, sf):
+    rows = curation.dataset_manifest(files(spark, sf), "path", "content", F.decode("content", "UTF-8"))
+    return curation.manifest_rows(rows, F.lit("corpus"), "path", F.lit(0).cast("long")).withColumn("CandidateOrder", F.regexp_extract("RelativePath", r"_(\d+)\.PDF$", 1).cast("long"))
+
+
+@query
+def manifest_file(spark, sf):
+    """The dedup manifest in its ten columns, through a CSV file."""
+    at = writers.scratch(spark, "manifest")
+    writers.csv(manifest(spark, sf).drop("CandidateOrder"), at)
+    return readers.headed(spark, at)
+
+
+@query
+def extraction_manifest_file(spark, sf):
+    """Rows of the manifest file that were extracted, in order of candidates."""
+    at = writers.scratch(spark, "manifest")
+    writers.csv(manifest(spark, sf), at)
+    return readers.extraction_manifest(spark, at).select("CandidateOrder", "RelativePath", "TextSHA256")
+
+
+@query
+def selection_file(spark, sf):
+    """The selection in its twelve columns, through a CSV file; those that are selected."""
+    at = writers.scratch(spark, "selection")
+    writers.csv(curation.selection_rows(manifest(spark, sf).withColumnRenamed("CandidateOrder", "place"), "place", excluded=(4, 6, 8, 46, 47)), at)
+    return readers.selected(spark, at)
+
+
+@query
+def checkpoint_file(spark, sf):
+    """A manifest of a run that was resumed: each document failed before it was extracted, and some rows are broken."""
+    at = writers.scratch(spark, "checkpoint")
+    rows = docs(spark, sf).select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    rows = rows.orderBy("turn", "doc_id").select(F.when((F.col("turn") == 0) & (F.pmod("doc_id", F.lit(5)) == 0), "none").otherwise(F.col("doc_id").cast("string")).alias("CandidateOrder"), F.when(F.col("turn") == 0, "ERROR").otherwise("EXTRACTED").alias("ExtractionStatus"))
+    writers.csv(rows.coalesce(1), at)
+    return readers.checkpoint(spark, at)
+
+
+@query
+def text_files(spark, sf):
+    """Whole files, with line ends as they are and as LF, and their bytes."""
+    at = writers.scratch(spark, "texts")
+    table(spark, sf, "nation").select("n_nationkey", F.concat("n_name", F.lit("\r\n\u00e9"), F.col("n_nationkey").cast("string"), F.lit("\rx")).alias("value")).write.partitionBy("n_nationkey").option("lineSep", "\n").text(at)
+    key = F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int").alias("n_nationkey")
+    raw = readers.raw_texts(spark, at).select(key, "bytes", F.hex(F.encode("text", "UTF-8")).alias("raw"))
+    return raw.join(readers.texts(spark, at).select(key, F.hex(F.encode("text", "UTF-8")).alias("lf")), "n_nationkey")
+
+
+@query
+def text_status(spark, sf):
+    """Manifest rows held against files: some aren't there, some have another size."""
+    listed = docs(spark, sf).select(F.format_string("t/%d.txt", "doc_id").alias("local_path"), (F.octet_length("text") + F.when(F.pmod("doc_id", F.lit(9)) == 1, 1).otherwise(0)).alias("size"), "doc_id")
+    found = docs(spark, sf).where(F.pmod("doc_id", F.lit(11)) > 0).select(F.format_string("t/%d.txt", "doc_id").alias("path"), F.octet_length("text").alias("bytes"), "text")
+    return readers.checked_texts(listed, found, "local_path", "size").select("doc_id", "status", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def file_manifest_check(spark, sf):
+    """Manifests held against a listing: as it is, and with a missing file, a blank digest and an order that is there twice."""
+    rows = files(spark, sf).select("doc_id", "path", F.sha2("content", 256).alias("sha"))
+    n = docs(spark, sf).count()
+    cases = {
+        "whole": (rows, rows), "file": (rows, rows.where("doc_id <> 3")), "digest": (rows.withColumn("sha", F.when(F.col("doc_id") == 4, " ").otherwise(F.col("sha"))), rows),
+        "order": (rows.withColumn("doc_id", F.when(F.col("doc_id") == 5, 6).otherwise(F.col("doc_id"))), rows), "count": (rows.where("doc_id <> 7"), rows),
+    }
+    out = [curation.file_problems(m, listing, "doc_id", "path", "sha", n).withColumn("variant", F.lit(name)) for name, (m, listing) in cases.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+@query
+def stored_texts(spark, sf):
+    at = writers.scratch(spark, "texts")
+    writers.texts(docs(spark, sf), at, "doc_id")
+    return spark.read.parquet(at).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def upsert_file(spark, sf):
+    """A benchmark file with the rows of some languages replaced and the rest kept."""
+    old, new = writers.scratch(spark, "results"), writers.scratch(spark, "results")
+    rows = docs(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("documents")).select(F.lit("documents").alias("dictionary"), F.explode(F.array(F.lit(SIZE), F.lit(65000))).alias("dictionary_size"), F.col("lang").alias("dataset"), "documents")
+    status = writers.upsert_csv(spark, rows, None, old)
+    again = writers.upsert_csv(spark, rows.where((F.col("dictionary_size") == SIZE) & (F.col("dataset") > "en")).withColumn("documents", -F.col("documents")), old, new)
+    return readers.headed(spark, new).withColumn("status", F.lit(f"{status} {again}"))

@@ -51,9 +51,9 @@ def json_manifest(spark: SparkSession, path: str, schema: str = MANIFEST) -> Dat
 
 
 def extraction_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a CSV manifest that were extracted, with CandidateOrder as a number; ordered by it when shown, not here."""
+    """Rows of a CSV manifest that were extracted, with CandidateOrder as a number, in its order."""
     rows = headed(spark, path).where(F.upper(strip(F.col("ExtractionStatus"))) == "EXTRACTED")
-    return rows.withColumn("CandidateOrder", F.col("CandidateOrder").cast("int"))
+    return rows.withColumn("CandidateOrder", F.col("CandidateOrder").cast("int")).orderBy("CandidateOrder")
 
 
 def selected(spark: SparkSession, path: str) -> DataFrame:
@@ -82,10 +82,17 @@ def raw_texts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", F.col("length").alias("bytes"), F.decode("content", "UTF-8").alias("text"))
 
 
+def checked_texts(manifest: DataFrame, found: DataFrame, path: str, size: str) -> DataFrame:
+    """manifest with text and status: OK, FILE_NOT_FOUND, or SIZE_DIFFERS where raw_texts() has other bytes than it says."""
+    rows = manifest.join(found.select(F.col("path").alias("found_path"), F.col("bytes").alias("found_bytes"), "text"), F.col(path) == F.col("found_path"), "left")
+    status = F.when(F.col("found_path").isNull(), "FILE_NOT_FOUND").when(F.col("found_bytes") != F.col(size), "SIZE_DIFFERS").otherwise("OK")
+    return rows.withColumn("status", status).drop("found_path", "found_bytes")
+
+
 def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, length and content of all PDF files below a folder."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return rows.where(F.col("path").rlike(r"(?i)\.pdf$")).select("path", "length", "content")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
+    return rows.select("path", "length", "content")
 
 
 def pdf_text(files: DataFrame, keep_empty_pages: bool = False) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,16 @@ from glyphmill.operators.evaluate import KEY, upsert
 from .readers import headed
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path below spark.checkpoint.dir, which driver and executors share; where that is unset, a temporary one, on one machine only."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
+    return f"{at.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
 
@@ -25,6 +39,15 @@ def json_manifest(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
+def dump(df: DataFrame, path: str) -> None:
+    """Pages (id, title, ns, redirect, wikitext) as an XML dump."""
+    page = df.select(
+        "title", "ns", "id", F.when(F.col("redirect"), F.struct(F.lit("target").alias("_title"))).alias("redirect"),
+        F.struct(F.struct(F.col("wikitext").alias("_VALUE"), F.lit("preserve").alias("_space")).alias("text")).alias("revision"),
+    )
+    page.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").mode("errorifexists").save(path)
+
+
 def texts(df: DataFrame, path: str, *keys: str) -> None:
     """One Parquet row a document, not a file each: small files don't scale."""
     df.select(*keys, "text").write.mode("errorifexists").parquet(path)

@@ -188,13 +188,13 @@ def test_one_word_class_per_character(spark):
 
 def long_texts(spark, at):
     texts = ["word " * 60 + "\tend\r\n\u00fc\u20ac", "a\tb", "x" * 300 + "<!-- far --> kept <ref name=\"r\">gone</ref> <math>m</math> tail"]
-    spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(k, t, "en", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, n_chars long").write.parquet(f"{at}/documents.parquet")
     return texts
 
 
 def test_whole_renderings(spark, tmp_path):
     texts = long_texts(spark, tmp_path)
-    out = {r.doc_id: r for r in QUERIES["renderings_whole"](spark, str(tmp_path)).collect()}
+    out = {r.doc_id: r for r in QUERIES["renderings"](spark, str(tmp_path)).collect()}
     for k, t in enumerate(texts):
         shown = t.replace("\t", "\\t").replace("\r", "\\r").replace("\n", "\\n")
         assert out[k].visible_sha256 == hashlib.sha256(shown.encode()).hexdigest()
@@ -204,9 +204,9 @@ def test_whole_renderings(spark, tmp_path):
 def test_whole_markup(spark, tmp_path):
     texts = long_texts(spark, tmp_path)
     wrapped = [f"== en ==\r\n* '''{t}''' <!-- note -->\n{{| a\n| b {{| c |}} |}}\n  # tail<ref name=\"x\">y</ref> <math>z</math>   end  \n\n\n\n: last" for t in texts]
-    out = {r.doc_id: r.text for r in QUERIES["comments_and_tags_whole"](spark, str(tmp_path)).collect()}
+    out = {r.doc_id: r.text for r in QUERIES["comments_and_tags"](spark, str(tmp_path)).collect()}
     assert [out[k] for k in range(3)] == [re.sub(r"(?s)<!--.*?-->|<ref\b[^<>]*>.*?</ref>|<math>.*?</math>", "", w) for w in wrapped]
-    ratio = {r.doc_id: r for r in QUERIES["clean_ratio_whole"](spark, str(tmp_path)).collect()}
+    ratio = {r.doc_id: r for r in QUERIES["clean_ratio"](spark, str(tmp_path)).collect()}
     assert [ratio[k].original_characters for k in range(3)] == [len(w) for w in wrapped]
     assert ratio[2].cleaned_characters - ratio[1].cleaned_characters == len("x" * 300 + " kept tail") - len("a b")
     assert all(r.original_characters - r.cleaned_characters == r.removed_characters for r in ratio.values())
