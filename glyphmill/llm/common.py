@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes at a time; a longer single text is a pass of its own.
@@ -72,6 +73,31 @@ def matched(rows: DataFrame, keyed: DataFrame, on: list[str], by: str, how: str
     return dealt.join(salted, [*on, "salt"], how).drop("salt")
 
 
+#: Bits of a sieve: what reaches the driver and the tasks is 8 MB at most, however many keys there are.
+SIEVE_BITS = 26
+
+
+def sieve(keys: DataFrame, column: str) -> Callable[[str], Column]:
+    """A test of a column of 64-bit hashes: false only for values that keys doesn't have, and mostly for those.
+
+    Rows that fail it need no join with keys. With far more keys than bits all rows pass it.
+    """
+    spark, bucket = keys.sparkSession, 1 << 15
+    at = F.pmod(F.col(column), F.lit(1 << SIEVE_BITS))
+    rows = keys.select(F.floor(at / bucket).cast("int").alias("bucket"), (at % bucket).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bits = np.zeros((1 << SIEVE_BITS) // bucket, f"V{bucket // 8}")
+    for row in rows.collect():  # as many rows as buckets at most, of 4 KB each
+        bits[row.bucket] = np.frombuffer(bytes(row.bits), bits.dtype)[0]
+    sent = spark.sparkContext.broadcast(bits.tobytes())
+
+    @F.pandas_udf("boolean")
+    def has(values: pd.Series) -> pd.Series:
+        place = values.to_numpy(np.int64) & ((1 << SIEVE_BITS) - 1)
+        return pd.Series((np.frombuffer(sent.value, np.uint8)[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool))
+
+    return has
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system of a URI (file, s3, gs, hdfs) and the path in it; for tasks that read or write ranges of bytes."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))

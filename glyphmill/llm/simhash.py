@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, joined, kept_columns, matched, slices, table, utf8, written
+from .common import dropped, joined, kept_columns, matched, sieve, slices, table, utf8, written
 from .graph import components
 from .suffixes import packed
 from .words import mixed, repeats, shingle_sets
@@ -475,7 +475,7 @@ def exact(texts: DataFrame, candidates: DataFrame, shingle: int, similarity: flo
     """
     candidates = written(candidates, "links")
     near = written(components(candidates.select("u", "v")), "candidates")
-    own = texts.select(F.col("node").alias("key"), F.octet_length("text").alias("n"), "text")
+    own = texts.where(sieve(near, "node")("node")).select(F.col("node").alias("key"), F.octet_length("text").alias("n"), "text")
     few = packed(own).withColumnRenamed("key", "fp").join(near.select(F.col("root").alias("root"), F.col("node").alias("fp")), "fp").dropDuplicates(["fp"])
     few = written(few.select("fp", "root", "n", F.col("z").alias("sets")), "texts")
     top = candidates.groupBy("u").agg(F.max(F.struct("score", "v")).alias("top"))
@@ -537,10 +537,11 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dis
     groups = named(docs, shingle, similarity, distance)
     # the row is one column, so that its names meet none of those used here
     rows = docs.select(F.struct(*[f"`{n}`" for n in names]).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("row", "doc_id", F.xxhash64("text").alias("node"), identity("text").alias("own")).join(groups, ["node", "own"], "left")
+    rows = rows.select("row", "doc_id", F.xxhash64("text").alias("node"), identity("text").alias("own"), sieve(groups, "node")(F.xxhash64("text")).alias("maybe"))
+    found = rows.where("maybe").join(groups, ["node", "own"], "left")  # only texts that may be in a group are moved
     back = [F.col(f"row.`{n}`").alias(n) for n in names]
-    kept = rows.where(F.col("root").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first")))
-    return rows.where("root is null").select(*back).unionByName(kept.dropDuplicates(["root"]).select(*back))
+    kept = found.where(F.col("root").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["root"])
+    return rows.where("not maybe").select(*back).unionByName(found.where("root is null").select(*back)).unionByName(kept.select(*back))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,6 +218,18 @@ def test_pipeline(spark, tmp_path):
     assert digest(again) == digest(docs)
 
 
+def test_sieve(spark):
+    from glyphmill.llm.common import sieve
+
+    rng = random.Random(3)
+    keys, others = ([(rng.randrange(-(1 << 63), 1 << 63),) for _ in range(2000)] for _ in range(2))
+    keys += [(-1,), (0,), ((1 << 26) - 1,), (1 << 15,)]
+    has = sieve(spark.createDataFrame(keys, "k long"), "k")
+    assert spark.createDataFrame(keys, "k long").where(~has("k")).count() == 0
+    assert spark.createDataFrame(others, "k long").where(has("k")).count() < 20
+    assert spark.createDataFrame(keys, "k long").where(sieve(spark.createDataFrame([], "k long"), "k")("k")).count() == 0
+
+
 def test_stages_with_awkward_input(spark, tmp_path):
     """Nulls, empty and long texts, repeated rows, columns named like the operators' own, and empty tables."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
