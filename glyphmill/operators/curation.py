@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.text import base_name, family_key, strip, text_sha256, work_id
+from glyphmill.sources.shared import kept
 
 from .wikitext import clean
 
@@ -64,12 +65,12 @@ def deduplicate(files: DataFrame, path: str, digest: Column, status: str) -> Dat
 def dataset_manifest(files: DataFrame, path: str, content: str, text: Column) -> DataFrame:
     """Two-level dedup: by bytes, then by normalized text of what is unique by bytes.
 
-    status: BINARY_DUPLICATE, NO_TEXT, TEXT_DUPLICATE or EXTRACTED. Digests and sizes are made of all files in one scan; only
-    those narrow rows are joined and shuffled.
+    status: BINARY_DUPLICATE, NO_TEXT, TEXT_DUPLICATE or EXTRACTED. Digests and sizes are made of all files in one scan and
+    kept in the shared folder; only those narrow rows are joined and shuffled.
     """
     has = F.coalesce(strip(text) != "", F.lit(False))
     made = {"binary_sha256": F.sha2(F.col(content), 256), "text_sha256": F.when(has, text_sha256(text)), "extracted_characters": F.coalesce(F.char_length(text), F.lit(0)), "extracted_utf8_bytes": F.coalesce(F.octet_length(text), F.lit(0))}
-    narrow = files.withColumns(made).drop(content)
+    narrow = kept(files.withColumns(made).drop(content), "manifest")
     level1 = deduplicate(narrow, path, F.col("binary_sha256"), "BINARY_DUPLICATE").withColumnsRenamed({"status": "_status", "duplicate_of": "_duplicate_of"})
     # the second level is that of files that are first by bytes; others keep no text
     own = F.when(F.col("_status").isNull(), F.col("text_sha256"))

@@ -23,7 +23,7 @@ def query(f: Query) -> Query:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return readers.spread(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

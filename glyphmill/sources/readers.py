@@ -17,6 +17,17 @@ MANIFEST = "selection_order INT, valid_article_order INT, identifier STRING, sou
 # End of the fixed values.
 
 
+#: Bytes of input a core below which rows are dealt out: a small file can be one row group, which one task would read alone.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table, its rows dealt out to all cores; a large one as it is, as it has splits enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(size) < cores * SPREAD_BYTES else df
+
+
 def headed(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with a header, all columns as strings; a byte order mark is passed over."""
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(path)

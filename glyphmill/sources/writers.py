@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.operators.evaluate import KEY, upsert
 
 from .readers import headed
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path below spark.checkpoint.dir, which driver and executors share; where that is unset, a temporary one, on one machine only."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
-    return f"{at.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+from .shared import scratch  # noqa: F401
 
 
 def csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -32,6 +32,10 @@ def test_markup_rules():
         assert wikitext.template_text(inside) == want, inside
     for inside, want in (("A|b c", "b c"), ("A#s", "A"), ("File:x.png|thumb", ""), ("Categoría:X", "")):
         assert wikitext.link_text(inside) == want
+    deep = "x"
+    for k in range(12):
+        deep = f"[[{k}|{deep}]]"
+    assert wikitext.plain(deep) == "x" and wikitext.plain_or_same("[[A]]") == "A"
     assert wikitext.plain("{{x|{{lang|la|uno}}}} [[B|c]] [http://a.b t u] &amp; <b>d</b>") == "uno c t u & d"
 
 
@@ -83,6 +87,48 @@ def test_dump_and_funnel(spark, tmp_path):
     assert rows.where("stage = 'ACCEPTED'").first().cleaned.text == "hola mundo"
 
 
+def test_manifest_dedup_reads_files_once(spark, tmp_path):
+    spark.createDataFrame([("a.pdf", b"one"), ("b.pdf", "dös".encode())], "path string, content binary").write.parquet(f"{tmp_path}/files")
+    out = curation.dataset_manifest(spark.read.parquet(f"{tmp_path}/files"), "path", "content", F.decode("content", "UTF-8"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "content" not in plan and out.count() == 2
+
+
+def test_numbers_of_nulls_and_ties(spark):
+    rows = spark.createDataFrame([(k, o) for k, o in enumerate((2, 1, None, 2, 1_000_000))], "k long, o long")
+    out = sorted((r.n, r.o) for r in curation.numbered(rows, "o").collect())
+    assert [n for n, _ in out] == [1, 2, 3, 4, 5] and [o for _, o in out] == [1, 2, 2, 1_000_000, None]
+    assert curation.numbered(rows.where("k < 0"), "o").count() == 0
+    skewed = spark.range(3000).select(F.when(F.col("id") < 2900, 7).otherwise(F.col("id") * F.col("id")).alias("o"))
+    assert sorted(r.n for r in curation.numbered(skewed, "o").collect()) == list(range(1, 3001))
+
+
+def test_token_problems(spark):
+    rows = [("ab c", [("ab", 0, 2), (" ", 2, 3), ("c", 3, 4)], None), ("ab", [("ab", 0, 2), ("c", 2, 3)], "CONTENT"), ("ab", [], "COVERAGE"), ("", [], None), (None, None, None), ("ab", [("a", 0, 1), ("b", 0, 2)], "GAP"), ("ab", [("a", 0, 0)], "RANGE"), ("ab", [(None, 0, 1)], "EMPTY_TOKEN")]
+    df = spark.createDataFrame(rows, "text string, tokens array<struct<token: string, start: int, end: int>>, want string")
+    assert all(r.got == r.want for r in df.select("want", tokens.token_problem(F.col("text"), F.col("tokens")).alias("got")).collect())
+
+
+def test_pdf_text(spark, tmp_path):
+    """With a stand-in for the PDF package: pages are joined, empty ones kept or not, and a broken file is a row's status."""
+    (tmp_path / "pypdf.py").write_text("class Page:\n    def __init__(self, t): self.t = t\n    def extract_text(self): return self.t\nclass PdfReader:\n    def __init__(self, f, strict):\n        data = f.read().decode()\n        if data == 'bad': raise ValueError('broken')\n        self.pages = [Page(t) for t in data.split('|')]\n")
+    spark.sparkContext.addPyFile(f"{tmp_path}/pypdf.py")
+    (tmp_path / "in").mkdir()
+    for name, data in (("a.pdf", "one||two"), ("B.PDF", " | "), ("c.Pdf", "bad"), ("d.txt", "no")):
+        (tmp_path / "in" / name).write_text(data)
+    found = readers.pdf_files(spark, f"{tmp_path}/in")
+    rows = {r.path.rsplit("/", 1)[1]: r for r in readers.pdf_text(found).collect()}
+    assert {k: (r.text, r.pages, r.pages_with_text, r.status) for k, r in rows.items()} == {"a.pdf": ("one\ntwo", 3, 2, "EXTRACTED"), "B.PDF": ("", 2, 0, "NO_TEXT"), "c.Pdf": (None, 0, 0, "ERROR")}
+    assert "broken" in rows["c.Pdf"].error
+    assert readers.pdf_text(found.where("path like '%a.pdf'"), keep_empty_pages=True).first().text == "one\n\ntwo"
+
+
+def test_first_difference_of_long_texts(spark):
+    long = "xy" * 100_000
+    d = one(spark, text.first_difference(F.col("a"), F.col("b")), a=long + "a", b=long + "b")
+    assert (d["index"], d.left, d.right) == (200_000, "a", "b")
+
+
 def test_dictionary_files(spark, tmp_path, words):
     (tmp_path / "Words_20_x.csv").write_text("﻿Ranking,Token,Palabra,Frecuencia\n1,536, hola ,2\n2,537,mundo,\n", encoding="utf-8")
     (tmp_path / "other.csv").write_text("a\n1\n")
@@ -165,19 +211,23 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["token_type_counts", "compression_by_lang", "decode_stats", "normalized_text_dedup", "coverage_rollup"])
+@pytest.mark.parametrize("name", [
+        "token_type_counts", "compression_by_lang", "decode_stats", "normalized_text_dedup", "coverage_rollup", "token_validate", "dict_validate", "collision_pairs", "first_difference", "decode_errors", "clean_ratio", "postprocess_text",
+        "table_strip", "template_rules", "link_rewrite", "numbered_with_gaps", "name_templates", "dump_file", "manifest_file", "selection_file", "checkpoint_file", "text_files", "text_status", "file_manifest_check", "upsert_file",
+    ])
 def test_queries_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations", "labels", "pages"):
+    for t in ("documents", "conversations", "labels", "pages", "nation"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = QUERIES[name](spark, SF)
     want = con.sql(ORACLES[name])
     names = sorted(got.columns)
     assert names == sorted(want.columns)
+    quoted = ", ".join(f'"{n}"' for n in names)
     plain = lambda rows: sorted(repr(tuple(round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r)) for r in rows)
-    assert plain(got.select(*names).collect()) == plain(con.sql(f"select {', '.join(names)} from ({ORACLES[name]})").fetchall())
+    assert plain(got.select(*names).collect()) == plain(con.sql(f"select {quoted} from ({ORACLES[name]})").fetchall())
 
 
 def test_one_word_class_per_character(spark):
