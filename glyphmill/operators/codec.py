@@ -100,19 +100,20 @@ def emitted(rows: DataFrame) -> DataFrame:
 
 
 def dealt(docs: DataFrame, key: str, *columns: str) -> DataFrame:
-    return docs.select(key, "text", *[c for c in columns if c not in (key, "text")]).repartition(key)
+    """The columns asked for, with _row, a number of each row, by which rows are dealt out: documents that repeat a key stay apart."""
+    return docs.select(key, "text", *[c for c in columns if c not in (key, "text")]).withColumn("_row", F.monotonically_increasing_id()).repartition("_row")
 
 
 def coded(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", *columns: str) -> DataFrame:
     """placed() rows of whole documents; a document without tokens keeps a row of nulls."""
-    return placed(represent(tokenize(dealt(docs, key, *columns), key, *columns, outer=True), dictionary), key)
+    return placed(represent(tokenize(dealt(docs, key, *columns), "_row", key, *columns, outer=True), dictionary), "_row")
 
 
 def encode(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id") -> DataFrame:
     """key and encoded (bytes; empty for an empty text, null for null)."""
     rows = emitted(coded(docs.withColumn("_null", F.col("text").isNull()), dictionary, key, "_null"))
     codes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hex"))), lambda x: x["hex"]), "")
-    return rows.groupBy(key).agg(codes.alias("codes"), F.first("_null").alias("_null")).select(key, F.when(~F.col("_null"), F.unhex("codes")).alias("encoded"))
+    return rows.groupBy("_row", key).agg(codes.alias("codes"), F.first("_null").alias("_null")).select(key, F.when(~F.col("_null"), F.unhex("codes")).alias("encoded"))
 
 
 def token_counters() -> dict[str, Column]:
@@ -144,7 +145,7 @@ def statistics(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", *col
     rows = coded(docs, dictionary, key, *columns)
     sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for n, c in counters.items()]
     sizes = [F.coalesce(F.sum(f("token")), F.lit(0)).cast("long").alias(n) for n, f in (("characters", F.char_length), ("utf8_bytes", F.octet_length))]
-    return reduced(rows.groupBy(key, *columns).agg(F.count("token").alias("tokens"), *sizes, *sums))
+    return reduced(rows.groupBy("_row", key, *columns).agg(F.count("token").alias("tokens"), *sizes, *sums).drop("_row"))
 
 
 def reduced(stats: DataFrame) -> DataFrame:
@@ -169,12 +170,12 @@ def cut_literal() -> Column:
 
 
 def units(encoded: DataFrame, dictionary: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A row a unit of the code stream: key, size (of the stream), pos, unit, code (null for literals), kind, value, plain and error."""
-    rows = encoded.select(key, F.decode(F.col("encoded"), "ISO-8859-1").alias("stream")).repartition(key)
+    """A row a unit of the code stream: _row, key, size (of the stream), pos, unit, code (null for literals), kind, value, plain and error."""
+    rows = encoded.select(key, F.decode(F.col("encoded"), "ISO-8859-1").alias("stream"), F.monotonically_increasing_id().alias("_row")).repartition("_row")
     rows = rows.withColumn("units", F.regexp_extract_all("stream", F.lit(UNIT), F.lit(0)))
     rows = rows.withColumns({"size": F.char_length("stream"), "cut": cut_literal()})  # below the explode, which then carries neither stream nor units
-    rows = rows.select(key, "size", "cut", F.posexplode_outer("units").alias("pos", "unit"))
-    w = Window.partitionBy(key).orderBy("pos")
+    rows = rows.select("_row", key, "size", "cut", F.posexplode_outer("units").alias("pos", "unit"))
+    w = Window.partitionBy("_row").orderBy("pos")
     u = F.col("unit")
     literal = F.char_length(u) > 2
     rows = rows.withColumn("code", F.when(~literal, F.ascii(F.substring(u, 1, 1)) * 256 + F.ascii(F.substring(u, 2, 1))))
@@ -208,14 +209,14 @@ def decode(encoded: DataFrame, dictionary: DataFrame, key: str = "doc_id") -> Da
     error is the first of the stream, by position; text is null then, and for null bytes.
     """
     rows = units(encoded.select(key, "encoded"), dictionary, key)
-    w = Window.partitionBy(key).orderBy("pos")
+    w = Window.partitionBy("_row").orderBy("pos")
     # a modifier and the unit after it are one word: spaces follow the unit before the modifier
     prior = F.when(F.lag("kind").over(w) == "MODIFIER", F.lag("plain", 2).over(w)).otherwise(F.lag("plain").over(w))
     rows = rows.withColumn("gap", F.col("plain") & F.coalesce(prior, F.lit(False)))
     one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     kind = F.col("kind")
     parts = F.array_sort(F.collect_list(F.when(kind != "MODIFIER", F.struct("pos", F.concat(F.when(F.col("gap"), " ").otherwise(""), F.coalesce("value", F.lit(""))).alias("value")))))
-    out = rows.groupBy(key).agg(
+    out = rows.groupBy("_row", key).agg(
         F.array_join(F.transform(parts, lambda x: x["value"]), "").alias("text"), F.min(F.when(F.col("error").isNotNull(), F.struct("pos", "error"))).alias("first"),
         F.coalesce(F.sum(F.char_length("unit")), F.lit(0)).alias("parsed"), F.max("size").alias("size"), F.max_by("kind", "pos").alias("end"),
         one(kind == "LEXICAL").alias("lexical_items"), one(kind == "DIRECT").alias("direct_items"), one(kind == "LITERAL").alias("literal_items"), one(kind == "MODIFIER").alias("modifier_items"),

@@ -85,6 +85,15 @@ def test_broken_streams(spark, words):
         codec.decode_strict(spark.createDataFrame(rows[:1], "doc_id long, encoded binary"), words).collect()
 
 
+def test_repeated_keys_stay_apart(spark, words):
+    docs = spark.createDataFrame([(1, "hola mundo"), (1, "Hola"), (None, "mundo"), (None, "mundo")], "doc_id long, text string").repartition(3)
+    encoded = codec.encode(docs, words)
+    both = [sorted((str(r.doc_id), bytes(r.encoded)) for r in e.collect()) for e in (encoded, arrowcodec.encode(docs, words))]
+    assert both[0] == both[1] and len(both[0]) == 4
+    assert sorted((str(r.doc_id), r.text) for r in codec.decode(encoded, words).collect()) == sorted((str(r.doc_id), r.text) for r in docs.collect())
+    assert codec.statistics(docs, words).count() == 4
+
+
 def test_long_literal(spark, words):
     text = "ж" * 300_000 + "\0" * 2000 + "я" * 1000
     _, back, _ = round_trip(spark, [text], words)
