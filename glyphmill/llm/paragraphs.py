@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, joined, kept_columns, slices, table, utf8, written
+from .common import dropped, joined, kept_columns, sieve, slices, table, utf8, written
 from .graph import components
 from .simhash import dealt, verified
 from .suffixes import least, packed
@@ -260,9 +260,9 @@ def runs(docs: DataFrame, texts: DataFrame, width: int, window: int, least_run:
     first place of that seed. texts: key, n and doc, the least doc_id that has the text.
     """
     seeds = written(seeded(docs, width, window), "seeds")
-    place = F.struct("key", "n", "first")
+    place = F.xxhash64("key", "n", "first")  # one number, as these are the most rows of all
     again = written(seeds.groupBy("unit").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("unit"), "seeds-again")
-    shared = written(seeds.join(again, "unit").join(texts, ["key", "n"]), "seeds-shared")
+    shared = written(seeds.where(sieve(again, "unit")("unit")).join(again, "unit").join(texts, ["key", "n"]), "seeds-shared")
     dropped(seeds)
     dropped(again)
     order = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "key", "n", "first", "link")
@@ -315,7 +315,7 @@ def linked_units(docs: DataFrame, units: DataFrame, shingle: int, similarity: fl
     """node and root of the paragraphs that have near-duplicates of other words: those that share a band key are verified."""
     keys = units.select("unit", F.posexplode("keys").alias("band", "value")).select("unit", F.xxhash64("band", "value").alias("key"))
     shared = written(keys.groupBy("key").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low < high").select("key"), "bands")
-    meet = written(keys.join(shared, "key").distinct(), "meet")
+    meet = written(keys.where(sieve(shared, "key")("key")).join(shared, "key").distinct(), "meet")
     places = units.join(meet.select("unit").distinct(), "unit", "left_semi").groupBy("unit").agg(F.min(F.struct("key", "n", "at")).alias("one"))
     need = places.groupBy("one.key", "one.n").agg(F.collect_list(F.struct("unit", "one.at")).alias("need"))
     sets = shingle_sets(packed(docs).join(written(need, "need"), ["key", "n"]), shingle, least_words).dropDuplicates(["fp"])
@@ -331,10 +331,11 @@ def removals(places: DataFrame, group: Column, texts: DataFrame) -> DataFrame:
 
     The first place stays, and so do those that overlap it.
     """
-    place = F.struct("key", "n", "start", "end")
+    place = F.xxhash64("key", "n", "start", "end")
     rows = places.withColumn("group", group)
     again = rows.groupBy("group").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("group")
-    rows = written(rows.join(again, "group").join(texts, ["key", "n"]).select("group", "doc", "key", "n", "start", "end"), "repeats")
+    again = written(again, "groups")
+    rows = written(rows.where(sieve(again, "group")("group")).join(again, "group").join(texts, ["key", "n"]).select("group", "doc", "key", "n", "start", "end"), "repeats")
     firsts = rows.groupBy("group").agg(F.min(F.struct(F.col("doc").isNotNull().alias("known"), "doc", "start", "key", "n", "end")).alias("f"))
     within = (F.col("key") == F.col("f.key")) & (F.col("n") == F.col("f.n")) & (F.col("start") < F.col("f.end"))
     return rows.join(written(firsts, "firsts"), "group").select("key", "n", "start", "end", F.col("f.key").alias("mkey"), F.col("f.n").alias("mn"), F.col("f.start").alias("mat"), F.col("f.doc").alias("doc"), (~within).alias("gone"))
