@@ -38,7 +38,7 @@ from .words import mixed, repeats, shingle_sets
 SEGMENTS, DISTANCE, SHINGLE, SEED = (22, 21, 21), 3, 3, 42
 #: The segment that has no error and the one that has one at most.
 PAIRS_OF_SEGMENTS = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
-BLOCK_ROWS, BLOCK_SHINGLES, PAIRS, FOREST = 8192, 1 << 18, 1 << 21, 1 << 20
+BLOCK_ROWS, TASK_PRINTS, BLOCK_SHINGLES, PAIRS, FOREST = 8192, 1 << 13, 1 << 18, 1 << 21, 1 << 20
 #: Samples of a document for similar(): 0.99 of pairs at 0.8 share one of 9 of 4 shingles' min-hashes.
 BANDS, ROWS, SKETCH, CELLS = 9, 4, 128, 1 << 21
 #: Standard errors of the sketch's estimate below the similarity at which a pair is still a candidate.
@@ -139,7 +139,12 @@ class Keys:
 
 
 def keyed(fps: DataFrame) -> DataFrame:
-    """key, side and fp for each fuzzy key of the fingerprints in column fp."""
+    """key, side and fp for each fuzzy key of the distinct fingerprints in column fp.
+
+    A fingerprint has some 70 keys, so they are dealt out by their number of keys and not by their own size.
+    """
+    least = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = fps.select("fp").repartition(max(least, -(-fps.count() // TASK_PRINTS)), "fp")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Keys()
