@@ -205,3 +205,15 @@ def media_columns(docs: DataFrame, folder: str) -> DataFrame:
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media_columns(table(spark, sf_dir, "documents"), scratch(spark, "shards")).withColumn("shard", F.element_at(F.split("shard", "/"), -1))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset", "length")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op2_media's columns: lengths and the digest of the payload that was read back."""
+    return op2_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+PAYLOADS_SQL = """
+with d as (select doc_id, encode(coalesce(text, '')) as t, octet_length(encode(coalesce(text, ''))) as n from documents),
+p as (select *, greatest(1, (n + 63) // 64) * 64 as m from d)
+select doc_id, n::bigint as n_bytes, m::bigint as payload_bytes, sha256(t || unhex(repeat('00', (m - n)::int))) as payload_sha256 from p
+"""

@@ -223,3 +223,20 @@ def copied(docs: DataFrame, **how: object) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op3_mixing's columns: sizes, targets, and that no document is taken more than twice."""
+    rows = op3_mixing(spark, sf_dir)
+    whole = F.col("taken") == F.when(F.col("size") > 0, F.col("size") * F.round(F.try_divide(F.col("taken"), F.col("size")))).otherwise(0)
+    return rows.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (whole & (F.col("taken") <= 2 * F.col("size"))).alias("whole"))
+
+
+TARGETS_SQL = r"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as k from d group by source),
+c as (select *, case k % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end as w, 2.0 * source_size as cap, 1.5 * sum(source_size) over () as whole from s),
+o as (select *, cap / w as q, (whole - coalesce(sum(cap) over (order by cap / w, k rows between unbounded preceding and 1 preceding), 0)) / sum(w) over (order by cap / w, k rows between current row and unbounded following) as level from c),
+l as (select min(level) as level from (select level, q from o where q > level order by q, k limit 1))
+select doc_id, size, source_size, round(least(cap, w * coalesce((select level from l), 1e300))::double, 3) as target, true as whole from d join o on d.source is not distinct from o.source
+"""
