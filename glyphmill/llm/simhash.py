@@ -144,7 +144,7 @@ def keyed(fps: DataFrame) -> DataFrame:
     A fingerprint has some 70 keys, so they are dealt out by their number of keys and not by their own size.
     """
     least = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fps = fps.select("fp").repartition(max(least, -(-fps.count() // TASK_PRINTS)), "fp")
+    fps = fps.select("fp").repartition(max(least, -(-fps.count() // TASK_PRINTS)), F.xxhash64("fp"))  # by another key than theirs, which Spark would coalesce
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Keys()
