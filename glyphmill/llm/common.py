@@ -77,25 +77,37 @@ def matched(rows: DataFrame, keyed: DataFrame, on: list[str], by: str, how: str
 SIEVE_BITS = 26
 
 
-def sieve(keys: DataFrame, column: str) -> Callable[[str], Column]:
-    """A test of a column of 64-bit hashes: false only for values that keys doesn't have, and mostly for those.
+class Sieve:
+    """A test of 64-bit hashes, as an array or (called) a column: false only for values that the keys don't have, and mostly for those.
 
-    Rows that fail it need no join with keys. With far more keys than bits all rows pass it.
+    Rows that fail it need no join with the keys. With far more keys than bits all rows pass it.
     """
+
+    def __init__(self, sent):
+        self.sent = sent
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        place = values.astype(np.int64, copy=False) & ((1 << SIEVE_BITS) - 1)
+        return (np.frombuffer(self.sent.value, np.uint8)[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+    def __call__(self, column: str | Column) -> Column:
+        own = self
+
+        @F.pandas_udf("boolean")
+        def test(values: pd.Series) -> pd.Series:
+            return pd.Series(own.has(values.to_numpy()))
+
+        return test(column)
+
+
+def sieve(keys: DataFrame, column: str) -> Sieve:
     spark, bucket = keys.sparkSession, 1 << 15
     at = F.pmod(F.col(column), F.lit(1 << SIEVE_BITS))
     rows = keys.select(F.floor(at / bucket).cast("int").alias("bucket"), (at % bucket).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     bits = np.zeros((1 << SIEVE_BITS) // bucket, f"V{bucket // 8}")
     for row in rows.collect():  # as many rows as buckets at most, of 4 KB each
         bits[row.bucket] = np.frombuffer(bytes(row.bits), bits.dtype)[0]
-    sent = spark.sparkContext.broadcast(bits.tobytes())
-
-    @F.pandas_udf("boolean")
-    def has(values: pd.Series) -> pd.Series:
-        place = values.to_numpy(np.int64) & ((1 << SIEVE_BITS) - 1)
-        return pd.Series((np.frombuffer(sent.value, np.uint8)[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool))
-
-    return has
+    return Sieve(spark.sparkContext.broadcast(bits.tobytes()))
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -40,7 +40,7 @@ SEGMENTS, DISTANCE, SHINGLE, SEED = (22, 21, 21), 3, 3, 42
 PAIRS_OF_SEGMENTS = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
 BLOCK_ROWS, TASK_PRINTS, BLOCK_SHINGLES, PAIRS, FOREST = 8192, 1 << 13, 1 << 18, 1 << 21, 1 << 20
 #: Samples of a document for similar(): 0.99 of pairs at 0.8 share one of 9 of 4 shingles' min-hashes.
-BANDS, ROWS, SKETCH, CELLS = 9, 4, 128, 1 << 21
+BANDS, ROWS, SKETCH, CELLS, PROFILE_BYTES = 9, 4, 128, 1 << 19, 1 << 18
 #: Standard errors of the sketch's estimate below the similarity at which a pair is still a candidate.
 MARGIN = 5.0
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the Golay code of 23 bits, 12 of them information.
@@ -358,7 +358,7 @@ def profiled(texts: DataFrame, shingle: int, bands: int, rows: int, sketch: int)
         seen = set()
         for batch in batches:
             fresh = [k for k, x in enumerate(batch.column(0).to_pylist()) if not (x in seen or seen.add(x))]
-            for part in slices(batch.take(pa.array(fresh, pa.int64()))):
+            for part in slices(batch.take(pa.array(fresh, pa.int64())), most=PROFILE_BYTES):
                 h, first = shingle_sets(*joined(utf8(part.column(1))), shingle)
                 size = np.diff(first)
                 some = np.flatnonzero(size)
@@ -480,8 +480,8 @@ def exact(texts: DataFrame, candidates: DataFrame, shingle: int, similarity: flo
     """
     candidates = written(candidates, "links")
     near = written(components(candidates.select("u", "v")), "candidates")
-    own = texts.where(sieve(near, "node")("node")).select(F.col("node").alias("key"), F.octet_length("text").alias("n"), "text")
-    few = packed(own).withColumnRenamed("key", "fp").join(near.select(F.col("root").alias("root"), F.col("node").alias("fp")), "fp").dropDuplicates(["fp"])
+    own = texts.select(F.col("node").alias("key"), F.octet_length("text").alias("n"), "text")
+    few = packed(own, sieve(near, "node")).withColumnRenamed("key", "fp").join(near.select(F.col("root").alias("root"), F.col("node").alias("fp")), "fp").dropDuplicates(["fp"])
     few = written(few.select("fp", "root", "n", F.col("z").alias("sets")), "texts")
     top = candidates.groupBy("u").agg(F.max(F.struct("score", "v")).alias("top"))
     pairs = top.select(F.least("u", "top.v").alias("u"), F.greatest("u", "top.v").alias("v")).distinct().withColumn("key", F.xxhash64("u", "v"))

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, joined, kept_columns, slices, table, utf8, written
+from .common import Sieve, dropped, joined, kept_columns, slices, table, utf8, written
 from .words import BACK, BASE, mixed, powers
 
 LENGTH, GRAM = 200, 32
@@ -116,14 +116,16 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("key", "n", "text").mapInArrow(make, ROW)
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """key, n and z (the text, compressed), once for each task that has the text."""
+def packed(docs: DataFrame, among: Sieve | None = None) -> DataFrame:
+    """key, n and z (the text, compressed), once for each task that has the text; only of keys that pass among, if given."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, pack = set(), zstandard.ZstdCompressor(3)
         for batch in batches:
             for part in slices(batch):
                 rows = [k for k, x in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)) if not (x in seen or seen.add(x))]
+                if among is not None:
+                    rows = np.array(rows, np.int64)[among.has(part.column(0).to_numpy(zero_copy_only=False)[rows])].tolist()
                 few = part.take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array([pack.compress(x.as_py()) for x in utf8(few.column(2))], pa.binary())], names=["key", "n", "z"])
 
