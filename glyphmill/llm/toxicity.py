@@ -28,7 +28,7 @@ from .words import LOWER, Words, mixed
 
 FOLDS, POSITIVES, UNLABELLED, FEATURES, BITS = 5, 3000, 9000, 1024, 20
 GRAMS, STEMS, LEAST_Z, LEAST_SHARE = (4, 5, 6), (5, 6, 7, 8), 5.0, 0.02
-STEPS, RATE, DECAY, SLACK = 800, 0.05, 3e-4, 0.0
+STEPS, RATE, DECAY, SLACK, PART_BYTES = 800, 0.05, 3e-4, 0.0, 1 << 18
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[128:] = True
 
@@ -90,7 +90,7 @@ def chosen(sample: DataFrame, features: int) -> list[int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, docs = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=PART_BYTES):
                 raw, off = joined(utf8(part.column(0)))
                 toxic = part.column(1).to_numpy(zero_copy_only=False)
                 docs += np.bincount(toxic, minlength=2)
@@ -162,7 +162,7 @@ def trained(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unla
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=PART_BYTES):
                 rows = np.packbits(present(part, 0, place, len(top)), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), part.column(1)], names=["bits", "toxic"])
 
@@ -180,7 +180,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, weight, intercept = sent.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=PART_BYTES):
                 sums = present(part, column, place, len(weight)) @ weight + intercept
                 with np.errstate(over="ignore"):
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-sums)))], names=[*names, "score"])
