@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,8 +11,15 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, as a regex class body; narrower classes like \s miss some of it.
 WS = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: A letter with letters and marks after it, a run of white space, or one other character.
-TOKEN = rf"\p{{L}}[\p{{L}}\p{{M}}]*|[{WS}]+|[\s\S]"
+#: A letter with letters and marks after it.
+WORD = r"\p{L}[\p{L}\p{M}]*"
+#: A word, a run of white space, or one other character.
+TOKEN = rf"{WORD}|[{WS}]+|[\s\S]"
+
+
+def let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), where value is worked out once, however often make uses it."""
+    return F.transform(F.array(value), make)[0]
 
 
 def is_letter(char: Column) -> Column:

@@ -3,6 +3,7 @@
 import bz2
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -260,3 +261,19 @@ def test_whole_markup(spark, tmp_path):
     assert [ratio[k].original_characters for k in range(3)] == [len(w) for w in wrapped]
     assert ratio[2].cleaned_characters - ratio[1].cleaned_characters == len("x" * 300 + " kept tail") - len("a b")
     assert all(r.original_characters - r.cleaned_characters == r.removed_characters for r in ratio.values())
+
+
+def test_tokens_of_a_long_text_take_linear_time(spark):
+    df = spark.createDataFrame([("ab, " * 100_000,)], "text string").withColumn("tokens", tokens.placed(F.col("text")))
+    began = time.monotonic()
+    out = df.select(F.size("tokens").alias("n"), F.element_at("tokens", -1).alias("last"), tokens.token_problem(F.col("text"), F.col("tokens")).alias("error")).first()
+    assert (out.n, out.error, tuple(out.last)) == (300_000, None, (" ", 399_999, 400_000)) and time.monotonic() - began < 30
+
+
+def test_first_token_problem_counts(spark):
+    rows = [
+        ("abc", [("a", 0, 1), ("x", 1, 2), ("c", 5, 6)], "CONTENT"), ("abc", [("a", 0, 1), ("b", 5, 6), ("x", 6, 7)], "GAP"), ("abc", [("a", 0, 1), ("bc", 1, 2)], "CONTENT"), ("abc", [("x", 0, 1), ("", 1, 2)], "CONTENT"),
+        ("ab", [("ab", 0, 5)], "COVERAGE"), ("ab", [("ab", 0, 5), ("c", 5, 6)], "CONTENT"), ("ab", [("a", 0, None)], "RANGE"), ("ab", [("a", None, 1)], "GAP"), ("ab", [None], "EMPTY_TOKEN"),
+    ]
+    df = spark.createDataFrame(rows, "text string, tokens array<struct<token: string, start: int, end: int>>, want string")
+    assert [(r.text, r.got) for r in df.select("text", tokens.token_problem(F.col("text"), F.col("tokens")).alias("got")).collect()] == [(t, w) for t, _, w in rows]
