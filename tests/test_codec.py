@@ -132,3 +132,29 @@ def test_both_codecs_agree(spark, words):
     rows = [(k, bytearray.fromhex(h)) for k, h in enumerate(BROKEN)]
     out = {r.doc_id: (r.error, r.text) for r in arrowcodec.decode(spark.createDataFrame(rows, "doc_id long, encoded binary"), words).collect()}
     assert out == {k: (e, None) for k, e in enumerate(BROKEN.values())}
+
+
+def main_plan(df):
+    """The lines of a plan without those of its subqueries."""
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if not line.lstrip().startswith(":")]
+
+
+def test_documents_are_coded_whole(spark, words):
+    docs = spark.createDataFrame([(1, "hola mundo")], "doc_id long, text string")
+    encoded = codec.encode(docs, words)
+    for df in (encoded, codec.decode(encoded, words), codec.statistics(docs, words)):
+        lines = main_plan(df)
+        assert not any(name in line for line in lines for name in ("Generate", "Window", "Aggregate", "Sort", "Join")), lines
+        assert not any("AS _table#" in line for line in lines)  # else each row gets a copy of the dictionary
+
+
+def test_words_of_all_cases_in_a_large_dictionary(spark):
+    """Against the codec over Arrow batches: many words share a list of token_codes()."""
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("aeinorstßéж") for _ in range(rng.randrange(1, 6))) for _ in range(30_000)})
+    many = spark.createDataFrame([(k + 1, 536 + k, w, 1) for k, w in enumerate(names)], "ranking int, token int, word string, frequency long").cache()
+    texts = [" ".join(rng.choice((str.lower, str.upper, str.capitalize, str.swapcase))(rng.choice(names)) for _ in range(500)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    encoded = codec.encode(docs, many).cache()
+    assert {r.doc_id: r.encoded for r in encoded.collect()} == {r.doc_id: r.encoded for r in arrowcodec.encode(docs, many).collect()}
+    assert {r.doc_id: (r.text, r.error) for r in codec.decode(encoded, many).collect()} == {k: (t, None) for k, t in enumerate(texts)}
