@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.text import first_difference, percent
 
-from .codec import COUNTERS, decode, encode, statistics
+from .codec import COUNTERS, decode, measured
 
 KEY = ("dictionary", "dictionary_size", "dataset")
 
@@ -22,10 +22,12 @@ def outcome() -> Column:
 
 def round_trip(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", *columns: str) -> DataFrame:
     """Per document: the encoder's statistics, the decoder's, outcome and difference (index, left, right; null if equal)."""
-    stats = statistics(docs, dictionary, key, *columns)
-    back = decode(encode(docs, dictionary, key), dictionary, key)
-    back = back.select(key, F.col("text").alias("decoded"), "error", F.col("encoded_bytes").alias("stream_bytes"), F.col("lexical_items").alias("decoded_lexical"), F.col("modifier_items").alias("decoded_modifiers"), "reconstructed_implicit_spaces")
-    rows = docs.select(key, "text").join(stats, key).join(back, key)
+    stats = measured(docs, dictionary, key, *columns)
+    names = [n for n in stats.columns if n not in (key, "encoded")]
+    carried = stats.select(key, "encoded", F.struct(*names).alias("stats"))
+    back = decode(carried, dictionary, key, "stats")
+    back = back.select(key, "stats", F.col("text").alias("decoded"), "error", F.col("encoded_bytes").alias("stream_bytes"), F.col("lexical_items").alias("decoded_lexical"), F.col("modifier_items").alias("decoded_modifiers"), "reconstructed_implicit_spaces")
+    rows = back.select(key, "stats.*", *back.columns[2:])
     return rows.withColumn("outcome", outcome()).withColumn("difference", F.when(~F.col("text").eqNullSafe(F.col("decoded")), first_difference(F.coalesce("text", F.lit("")), F.coalesce("decoded", F.lit(""))))).drop("decoded")
 
 

@@ -277,3 +277,12 @@ def test_first_token_problem_counts(spark):
     ]
     df = spark.createDataFrame(rows, "text string, tokens array<struct<token: string, start: int, end: int>>, want string")
     assert [(r.text, r.got) for r in df.select("text", tokens.token_problem(F.col("text"), F.col("tokens")).alias("got")).collect()] == [(t, w) for t, _, w in rows]
+
+
+def test_a_round_trip_is_one_pass(spark):
+    docs = spark.createDataFrame([(1, "hola"), (1, "Hola mundo"), (2, None)], "doc_id long, text string")
+    words = spark.createDataFrame([(1, 536, "hola", 2)], "ranking int, token int, word string, frequency long").cache()
+    rows = evaluate.round_trip(docs, words)
+    assert sorted((r.doc_id, r.text or "", r.outcome) for r in rows.collect()) == [(1, "Hola mundo", "OK"), (1, "hola", "OK"), (2, "", "OK")]
+    lines = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().split("\n") if not line.lstrip().startswith(":")]
+    assert not any("Join" in line for line in lines)
