@@ -33,8 +33,8 @@ def round_trip(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", *col
 
 def collisions(encoded: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Digests of code streams that come from several texts."""
-    rows = encoded.join(docs.select(key, "text"), key)
-    return rows.groupBy(F.sha2("encoded", 256).alias("digest")).agg(F.count_distinct(F.sha2("text", 256)).alias("texts"), F.count(F.lit(1)).alias("documents")).where("texts > 1")
+    rows = encoded.select(key, F.sha2("encoded", 256).alias("digest")).join(docs.select(key, F.sha2("text", 256).alias("text")), key)
+    return rows.groupBy("digest").agg(F.count_distinct("text").alias("texts"), F.count(F.lit(1)).alias("documents")).where("texts > 1")
 
 
 def classifier(correct: Column, evaluated: Column, exceptions: Column, statistics_errors: Column) -> Column:

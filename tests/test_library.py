@@ -286,3 +286,11 @@ def test_a_round_trip_is_one_pass(spark):
     assert sorted((r.doc_id, r.text or "", r.outcome) for r in rows.collect()) == [(1, "Hola mundo", "OK"), (1, "hola", "OK"), (2, "", "OK")]
     lines = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().split("\n") if not line.lstrip().startswith(":")]
     assert not any("Join" in line for line in lines)
+
+
+def test_collisions_move_digests_only(spark):
+    docs = spark.createDataFrame([(1, "hola"), (2, None)], "doc_id long, text string")
+    words = spark.createDataFrame([(1, 536, "hola", 2)], "ranking int, token int, word string, frequency long").cache()
+    lines = evaluate.collisions(codec.encode(docs, words), docs)._jdf.queryExecution().executedPlan().toString().split("\n")
+    moved = [lines[k + 1] for k, line in enumerate(lines) if re.search(r"Exchange hashpartitioning\(doc_id|BroadcastExchange HashedRelationBroadcastMode\(List\(input\[0, bigint", line)]
+    assert moved and all("sha2(" in line for line in moved)
