@@ -294,3 +294,9 @@ def test_collisions_move_digests_only(spark):
     lines = evaluate.collisions(codec.encode(docs, words), docs)._jdf.queryExecution().executedPlan().toString().split("\n")
     moved = [lines[k + 1] for k, line in enumerate(lines) if re.search(r"Exchange hashpartitioning\(doc_id|BroadcastExchange HashedRelationBroadcastMode\(List\(input\[0, bigint", line)]
     assert moved and all("sha2(" in line for line in moved)
+
+
+@pytest.mark.parametrize("name", ["decode_errors"])
+def test_decoding_queries_take_documents_whole(spark, name):
+    lines = [line for line in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n") if not line.lstrip().startswith(":")]
+    assert not any(node in line for line in lines for node in ("Generate", "Window", "Aggregate", "Join", "AS _table#"))
