@@ -158,3 +158,12 @@ def test_words_of_all_cases_in_a_large_dictionary(spark):
     encoded = codec.encode(docs, many).cache()
     assert {r.doc_id: r.encoded for r in encoded.collect()} == {r.doc_id: r.encoded for r in arrowcodec.encode(docs, many).collect()}
     assert {r.doc_id: (r.text, r.error) for r in codec.decode(encoded, many).collect()} == {k: (t, None) for k, t in enumerate(texts)}
+
+
+def test_counters_of_broken_streams(spark, words):
+    rows = [(0, bytearray.fromhex("02180219" + "0002" + "0218")), (1, bytearray.fromhex("0218FFFF0020" + "0000410001" + "02")), (2, bytearray.fromhex("0003" + "00010002")), (3, None)]
+    out = {r.doc_id: r for r in codec.decode(spark.createDataFrame(rows, "doc_id long, encoded binary"), words).collect()}
+    counters = lambda r: (r.error, r.lexical_items, r.direct_items, r.literal_items, r.modifier_items, r.explicit_whitespace_items, r.reconstructed_implicit_spaces)
+    assert counters(out[0]) == (None, 3, 0, 0, 1, 0, 2) and out[0].text == "hola mundo Hola"
+    assert counters(out[1]) == ("UNKNOWN_TOKEN", 2, 1, 1, 0, 1, 1) and out[1].encoded_bytes == 12
+    assert counters(out[2]) == ("LITERAL_END_OUTSIDE", 0, 1, 0, 2, 0, 0) and counters(out[3]) == (None, 0, 0, 0, 0, 0, 0)

@@ -296,7 +296,7 @@ def test_collisions_move_digests_only(spark):
     assert moved and all("sha2(" in line for line in moved)
 
 
-@pytest.mark.parametrize("name", ["decode_errors"])
+@pytest.mark.parametrize("name", ["decode_errors", "decode_stats"])
 def test_decoding_queries_take_documents_whole(spark, name):
     lines = [line for line in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n") if not line.lstrip().startswith(":")]
     assert not any(node in line for line in lines for node in ("Generate", "Window", "Aggregate", "Join", "AS _table#"))
