@@ -257,7 +257,7 @@ def decode_roundtrip_native(spark, sf):
 @query
 def decode_stats(spark, sf):
     known = dictionary.held(words(spark, sf))
-    return codec.decode(codec.encode(docs(spark, sf), known), known).drop("text").withColumn("error", F.coalesce("error", F.lit("OK")))
+    return arrowcodec.decode(arrowcodec.encode(docs(spark, sf), known), known).drop("text").withColumn("error", F.coalesce("error", F.lit("OK")))
 
 
 # Tails that break a stream, with what the decoder says of them; an empty one breaks nothing.

@@ -167,3 +167,14 @@ def test_counters_of_broken_streams(spark, words):
     assert counters(out[0]) == (None, 3, 0, 0, 1, 0, 2) and out[0].text == "hola mundo Hola"
     assert counters(out[1]) == ("UNKNOWN_TOKEN", 2, 1, 1, 0, 1, 1) and out[1].encoded_bytes == 12
     assert counters(out[2]) == ("LITERAL_END_OUTSIDE", 0, 1, 0, 2, 0, 0) and counters(out[3]) == (None, 0, 0, 0, 0, 0, 0)
+
+
+def test_counters_of_both_codecs_agree(spark, words):
+    tails = ["", *BROKEN, "0003", "0000", "0002FFFF", "0000410001" * 3, "0218000302190219", "0002000041000102"]
+    rows = [(k, bytearray.fromhex(a + b)) for k, (a, b) in enumerate(itertools.product(["", "0218", "00020218001F", "0020021902180061", "0000C3A900010218", "0000000000010003"], tails))]
+    rng = random.Random(8)
+    rows += [(len(rows) + k, bytearray(rng.choice([0, 0, 1, 2, 3, 24, 25, 65, 97, 255]) for _ in range(rng.randrange(24)))) for k in range(1500)] + [(-1, None)]
+    streams = spark.createDataFrame(rows, "doc_id long, encoded binary").cache()
+    slow, fast = codec.decode(streams, words), arrowcodec.decode(streams, words)
+    assert slow.columns == fast.columns and slow.dtypes == fast.dtypes
+    assert sorted(map(tuple, slow.collect()), key=str) == sorted(map(tuple, fast.collect()), key=str)

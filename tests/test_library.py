@@ -300,3 +300,9 @@ def test_collisions_move_digests_only(spark):
 def test_decoding_queries_take_documents_whole(spark, name):
     lines = [line for line in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n") if not line.lstrip().startswith(":")]
     assert not any(node in line for line in lines for node in ("Generate", "Window", "Aggregate", "Join", "AS _table#"))
+
+
+@pytest.mark.parametrize("name", ["decode_stats"])
+def test_decoding_queries_code_over_arrow_batches(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
