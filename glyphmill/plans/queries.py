@@ -272,8 +272,8 @@ def decode_errors(spark, sf):
     """Each document's stream with one of the tails, decoded."""
     known = dictionary.held(words(spark, sf))
     tail = F.element_at(F.array(*map(F.lit, TAILS)), (F.pmod("doc_id", F.lit(len(TAILS))) + 1).cast("int"))
-    broken = codec.encode(docs(spark, sf), known).withColumn("encoded", F.concat("encoded", F.unhex(tail)))
-    return codec.decode(broken, known).select("doc_id", F.coalesce("error", F.lit("OK")).alias("outcome"), F.sha2("text", 256).alias("text_sha256"))
+    broken = arrowcodec.encode(docs(spark, sf), known).withColumn("encoded", F.concat("encoded", F.unhex(tail)))
+    return arrowcodec.decode(broken, known).select("doc_id", F.coalesce("error", F.lit("OK")).alias("outcome"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @query
