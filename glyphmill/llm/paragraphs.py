@@ -38,6 +38,8 @@ from .words import BACK, BASE, LOWER, SOLID, Words, mixed, powers
 
 SHINGLE, SIMILARITY, RECALL, ROWS, LEAST_WORDS, REACH = 5, 0.8, 0.985, 3, 8, 6
 BLOCK_ROWS = 512
+#: Texts whose seeds or words a task holds as arrays at a time.
+TEXTS = 512
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -196,6 +198,30 @@ def seeded(docs: DataFrame, width: int, window: int) -> DataFrame:
     return docs.select("key", "n", "text").mapInArrow(make, "unit long, key long, n int, first int, next int, link long")
 
 
+def covered(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """stretches() of Arrow batches (key, n, seeds), as arrays of a few texts at a time."""
+    for batch in (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS)):
+        seeds = batch.column(2)
+        text = np.repeat(np.arange(len(seeds)), np.diff(seeds.offsets.to_numpy()))
+        x = {f.name: c.to_numpy(zero_copy_only=False) for f, c in zip(seeds.type.value_type, seeds.flatten().flatten(), strict=True)}
+        order = np.lexsort((x["first"], text))
+        text, x = text[order], {k: v[order] for k, v in x.items()}
+        if not len(text):
+            continue
+        first, after = x["first"].astype(np.int64), x["next"].astype(np.int64)
+        end = first + width
+        follows = np.flatnonzero((text[1:] == text[:-1]) & (first[1:] == after[:-1]) & (after[:-1] > 0) & (x["link"] == x["own"])[:-1])
+        end[follows] = np.maximum(end, after)[follows]  # that seed goes on from there
+        base = text.astype(np.int64) << 32  # so that no text reaches into the next
+        begins = np.concatenate([[True], (base + first)[1:] > np.maximum.accumulate(base + end)[:-1]])
+        a = np.flatnonzero(begins)
+        b = np.append(a[1:], len(text)) - 1
+        of = pa.array(text[a])
+        ints = (first[a], first[b] + width, x["key"][a], x["m"][a], x["to"][a], x["key"][b], x["m"][b], x["to"][b] + width)
+        columns = [pa.array(v, pa.int64() if k in (2, 5) else pa.int32()) for k, v in enumerate(ints)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *columns], names=["key", "n", "first", "end", "lkey", "ln", "lat", "rkey", "rn", "rat"])
+
+
 def stretches(seeds: DataFrame, width: int) -> DataFrame:
     """The stretches of words of each text that its seeds in `seeds` cover, with the places that they begin and end like.
 
@@ -203,29 +229,8 @@ def stretches(seeds: DataFrame, width: int) -> DataFrame:
     (as m), first (as to) and link (as own). A seed whose link is its first place's covers the words up to the next one too.
     """
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, n, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.sort(key=lambda x: x["first"])
-                open_ = None
-                for k, x in enumerate(held):
-                    end = x["first"] + width
-                    if x["next"] and x["link"] == x["own"] and k + 1 < len(held) and held[k + 1]["first"] == x["next"]:
-                        end = max(end, x["next"])  # that seed goes on from there
-                    if open_ is not None and x["first"] <= open_[1]:
-                        open_ = (open_[0], max(open_[1], end), open_[2], x)
-                    else:
-                        if open_ is not None:
-                            out.append((key, n, open_[0], open_[3]["first"] + width, open_[2], open_[3]))
-                        open_ = (x["first"], end, x, x)
-                if open_ is not None:
-                    out.append((key, n, open_[0], open_[3]["first"] + width, open_[2], open_[3]))
-            rows = [(key, n, first, end, a["key"], a["m"], a["to"], b["key"], b["m"], b["to"] + width) for key, n, first, end, a, b in out]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["key", "n", "first", "end", "lkey", "ln", "lat", "rkey", "rn", "rat"])
-
-    return seeds.select("key", "n", "seeds").mapInArrow(make, "key long, n int, first int, end int, lkey long, ln int, lat int, rkey long, rn int, rat int")
+    kinds = "key long, n int, first int, end int, lkey long, ln int, lat int, rkey long, rn int, rat int"
+    return seeds.select("key", "n", "seeds").mapInArrow(lambda batches: covered(batches, width), kinds)
 
 
 def neighbours(texts: DataFrame, reach: int) -> DataFrame:
@@ -234,7 +239,7 @@ def neighbours(texts: DataFrame, reach: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS)):
             out = []
             for key, n, z, need in zip(*(batch.column(k) for k in range(4)), strict=True):
                 text = np.frombuffer(unpack.decompress(z.as_py()), np.uint8)
@@ -297,7 +302,7 @@ def shingle_sets(texts: DataFrame, shingle: int, least_words: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS)):
             units, sets = [], []
             for z, need in zip(batch.column(0), batch.column(1), strict=True):
                 text = np.frombuffer(unpack.decompress(z.as_py()), np.uint8)

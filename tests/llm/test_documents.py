@@ -1,11 +1,14 @@
 """Operators over documents, against brute force."""
 
 import hashlib
+import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from helpers import SCHEMA, awkward, frame, prose
@@ -532,3 +535,34 @@ def test_schema_is_kept(spark):
     docs = frame(spark)
     assert docs.schema.simpleString().count("string") == SCHEMA.count("string")
     assert docs.where(F.col("text").isNull()).count() == 2
+
+
+def test_stretches_of_seeds():
+    """Against a plain pass over each text's seeds, with repeated ones, chains that go on and texts without any; memory doesn't follow the batch."""
+    rng, width, rows = random.Random(12), 8, []
+    for key in range(5000):
+        firsts = sorted(rng.sample(range(400), rng.randrange(0, 20)))
+        held = [(f, (n if rng.random() < 0.9 else 0), rng.randrange(2), rng.randrange(5), 9, rng.randrange(50), rng.randrange(2)) for f, n in zip(firsts, [*firsts[1:], 0], strict=False)]
+        held += held[: rng.randrange(2)]
+        rng.shuffle(held)
+        rows.append((key, 7, held))
+    ints, longs = pa.int32(), pa.int64()
+    names = {"first": ints, "next": ints, "link": longs, "key": longs, "m": ints, "to": ints, "own": longs}
+    seeds = pa.array([[dict(zip(names, h, strict=True)) for h in r[2]] for r in rows], pa.list_(pa.struct(list(names.items()))))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], longs), pa.array([r[1] for r in rows], ints), seeds], names=["key", "n", "seeds"])
+    tracemalloc.start()
+    found = list(paragraphs.covered(iter([batch]), width))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = []
+    for key, n, held in rows:
+        open_ = []
+        for first, after, link, k, m, to, own in sorted(held):
+            end = max(first + width, after if after and link == own and any(h[0] == after for h in held) else 0)
+            if open_ and first <= open_[-1][1]:
+                open_[-1][1], open_[-1][3] = max(open_[-1][1], end), (first, k, m, to)
+            else:
+                open_.append([first, end, (first, k, m, to), (first, k, m, to)])
+        want += [(key, n, o[0], o[3][0] + width, *o[2][1:], *o[3][1:3], o[3][3] + width) for o in open_]
+    assert sorted(tuple(r.values()) for b in found for r in b.to_pylist()) == sorted(want) and len(want) > 5000
+    assert peak < 8 << 20
