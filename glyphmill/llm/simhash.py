@@ -38,7 +38,8 @@ from .words import mixed, repeats, shingle_sets
 SEGMENTS, DISTANCE, SHINGLE, SEED = (22, 21, 21), 3, 3, 42
 #: The segment that has no error and the one that has one at most.
 PAIRS_OF_SEGMENTS = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
-BLOCK_ROWS, TASK_PRINTS, BLOCK_SHINGLES, PAIRS, FOREST = 8192, 1 << 13, 1 << 18, 1 << 21, 1 << 20
+#: PAIRS and FOREST bound what a task holds at a time, not what it finds.
+BLOCK_ROWS, TASK_PRINTS, BLOCK_SHINGLES, PAIRS, FOREST = 8192, 1 << 13, 1 << 18, 1 << 18, 1 << 17
 #: Samples of a document for similar(): 0.99 of pairs at 0.8 share one of 9 of 4 shingles' min-hashes.
 BANDS, ROWS, SKETCH, CELLS, PROFILE_BYTES = 9, 4, 128, 1 << 19, 1 << 18
 #: Standard errors of the sketch's estimate below the similarity at which a pair is still a candidate.
@@ -400,7 +401,7 @@ def similar(profiles: DataFrame, similarity: float = 0.8, sketch: int = SKETCH,
     return met(rows.select("block", "key", "side", "fp", "sketch"), alike, 1 << 15, best=True)
 
 
-def similar_pairs(side: np.ndarray, sets: list[np.ndarray], similarity: float, cells: int = 1 << 23) -> tuple[np.ndarray, np.ndarray]:
+def similar_pairs(side: np.ndarray, sets: list[np.ndarray], similarity: float, cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of one group's rows whose sets are that similar; rows of side 0 meet those of side 1, of side 2 each other.
 
     The matrix product is taken over columns in turn, so that no matrix has more than `cells` or rows x rows cells.

@@ -566,3 +566,22 @@ def test_stretches_of_seeds():
         want += [(key, n, o[0], o[3][0] + width, *o[2][1:], *o[3][1:3], o[3][3] + width) for o in open_]
     assert sorted(tuple(r.values()) for b in found for r in b.to_pylist()) == sorted(want) and len(want) > 5000
     assert peak < 8 << 20
+
+
+def test_a_block_of_near_fingerprints_needs_little_memory():
+    """All pairs of a large block are looked at, a bounded number at a time."""
+    rng, n = np.random.default_rng(1), 4096
+    flips = (np.uint64(1) << rng.integers(0, 64, (3, 4 * n)).astype(np.uint64))
+    fp = np.unique(np.uint64(0x123456789ABCDEF) ^ np.bitwise_xor.reduce(flips))[:n].view(np.int64)
+    bits = fp.view(np.uint64)
+    rows, links = [np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, 2, np.int8), fp], simhash.Links()
+    tracemalloc.start()
+    simhash.linked(rows[0], rows, lambda r, a, b: np.bitwise_count(bits[a] ^ bits[b]) <= 3, simhash.PAIRS, links)
+    u, v = links.cut()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 3
+    a, b = (fp[k] for k in np.nonzero(np.triu(near, 1)))
+    want = simhash.forest(a, b)
+    assert len(fp) == n and np.array_equal(u, want[0]) and np.array_equal(v, want[1])
+    assert peak < 48 << 20
